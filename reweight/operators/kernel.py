@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reweight.functions.dense import kernel_dot, median_distance, sq_dists
-from reweight.functions.qp import BOX
-from reweight.operators.bags import Bags, row_index
+from reweight.functions.qp import BOX, project
+from reweight.operators.bags import Bags, whole_bag
 from reweight.operators.lineage import broadcast_if, task_count
 
 # Bytes and rows of a block; a bag that is solved in one task may have at most BAG_ROWS rows.
@@ -59,19 +59,241 @@ def pack(rows: DataFrame, bag: str, rows_per_block: int, *extra: str) -> DataFra
     )
 
 
-def kernel_udf(width: int, weighted: bool):
-    """Row sums of one block pair."""
+def sum_udf(width: int, weighted: bool):
+    """Kernel row sums of one block pair, optionally weighted by the right-hand row."""
 
-    def sums(x: pd.Series, z: pd.Series, gamma: pd.Series, w: pd.Series | None = None) -> pd.Series:
-        ws = w if w is not None else [None] * len(x)
-        return pd.Series(
-            [
-                kernel_dot(a.reshape(-1, width), b.reshape(-1, width), c, g)
-                for a, b, c, g in zip(x, z, ws, gamma, strict=True)
-            ],
-            dtype=object,
-        )
+    def plain(x: pd.Series, z: pd.Series, gamma: pd.Series) -> pd.Series:
+        rows = zip(x, z, gamma, strict=True)
+        return pd.Series([kernel_dot(a.reshape(-1, width), b.reshape(-1, width), None, g) for a, b, g in rows])
+
+    def with_weight(x: pd.Series, z: pd.Series, gamma: pd.Series, w: pd.Series) -> pd.Series:
+        rows = zip(x, z, gamma, w, strict=True)
+        return pd.Series([kernel_dot(a.reshape(-1, width), b.reshape(-1, width), c, g) for a, b, g, c in rows])
+
+    return F.pandas_udf(with_weight if weighted else plain, "array<double>")
+
+
+def width_udf(width: int):
+    """Median pair distance of one packed bag."""
+
+    def median(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: median_distance(a.reshape(-1, width)))
+
+    return F.pandas_udf(median, "double")
+
+
+def left_rows(tr: Bags, width: int) -> int:
+    """Rows per block on the train side: a bag that fits one task stays whole."""
+    return max(tr.size, 1) if tr.size <= BAG_ROWS else block_rows(width)
+
+
+def packed_left(tr: Bags, width: int, gamma: float | None, *extra: str) -> DataFrame:
+    """Train blocks (tr_bag, tr_blk, poss, row_ids, x, gamma); gamma is global or each bag's own width."""
+    blocks = pack(tr.df.withColumnRenamed("bag_id", "tr_bag"), "tr_bag", left_rows(tr, width), *extra)
+    blocks = blocks.withColumnRenamed("blk", "tr_blk")
+    if gamma is not None:
+        return blocks.withColumn("gamma", F.lit(float(gamma)))
+    if tr.size > BAG_ROWS:
+        raise ValueError(f"a bag's own width needs bags of at most {BAG_ROWS} rows; pass a global gamma")
+    return blocks.withColumn("gamma", width_udf(width)("x"))
+
+
+def block_tasks(tr: Bags, te: Bags, pairs: DataFrame, n_pairs: int, width: int) -> tuple[DataFrame, int]:
+    """One row per (pair, train block, test block), spread over the cluster, and the number of them."""
+    left, right = left_rows(tr, width), block_rows(width)
+
+    def blocks(bags: Bags, bag: str, rows: int):
+        last = F.ceil(bags.rows(bag) / rows).cast("int") - 1
+        return F.explode(F.sequence(F.lit(0), last))
+
+    units = n_pairs * -(-max(tr.size, 1) // left) * -(-max(te.size, 1) // right)
+    tasks = (
+        pairs.withColumn("tr_blk", blocks(tr, "tr_bag", left))
+        .withColumn("te_blk", blocks(te, "te_bag", right))
+        .repartition(task_count(pairs, units))
+    )
+    return tasks, units
+
+
+def block_sums(
+    tr: Bags,
+    te: Bags,
+    pairs: DataFrame,
+    gamma: float | None,
+    width: int,
+    *,
+    weight: str | None = None,
+    n_pairs: int | None = None,
+) -> DataFrame:
+    """Packed train blocks with `ksum`, their kernel row sums over one test block each."""
+    n_pairs = pairs.count() if n_pairs is None else n_pairs
+    tasks, _ = block_tasks(tr, te, pairs, n_pairs, width)
+    left = packed_left(tr, width, gamma)
+    extra = [weight] if weight else []
+    right = pack(te.df.withColumnRenamed("bag_id", "te_bag"), "te_bag", block_rows(width), *extra)
+    right = right.select("te_bag", F.col("blk").alias("te_blk"), F.col("x").alias("z"), *extra)
+    joined = tasks.join(broadcast_if(left, tr.table_rows * (width + 2) * 8), ["tr_bag", "tr_blk"]).join(
+        broadcast_if(right, te.table_rows * (width + 1) * 8), ["te_bag", "te_blk"]
+    )
+    return joined.withColumn("ksum", sum_udf(width, bool(weight))("x", "z", "gamma", *extra)).drop("z", *extra)
+
+
+def pair_sums(tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None, width: int, **how) -> DataFrame:
+    """(pair_id, tr_bag, te_bag, pos, row_id, ksum): block sums added up per train bag row."""
+    sums = block_sums(tr, te, pairs, gamma, width, **how)
+    rows = sums.select(
+        "pair_id", "tr_bag", "te_bag", F.explode(F.arrays_zip("poss", "row_ids", "ksum")).alias("r")
+    ).select("pair_id", "tr_bag", "te_bag", "r.*")
+    keys = ["pair_id", "tr_bag", "te_bag", F.col("poss").alias("pos"), F.col("row_ids").alias("row_id")]
+    if te.size <= block_rows(width):
+        return rows.select(*keys, "ksum")
+    return rows.groupBy(*keys).agg(F.sum("ksum").alias("ksum"))
+
+
+def kappa(
+    tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None = None, *, n_pairs: int | None = None
+) -> DataFrame:
+    """(pair_id, tr_bag, te_bag, pos, row_id, kappa): -(n_tr / n_te) times the kernel sum over the test bag."""
+    sums = pair_sums(tr, te, pairs, gamma, width_of(tr.df), n_pairs=n_pairs)
+    return sums.withColumn("kappa", kappa_scale(tr, te) * F.col("ksum")).drop("ksum")
+
+
+def kappa_scale(tr: Bags, te: Bags) -> Column:
+    return -(tr.rows("tr_bag") / te.rows("te_bag"))
+
+
+def self_pairs(tr: Bags) -> DataFrame:
+    """Each bag with itself."""
+    bag = F.col("id").cast("int")
+    return tr.df.sparkSession.range(tr.count).select(
+        F.col("id").alias("pair_id"), bag.alias("tr_bag"), bag.alias("te_bag")
+    )
+
+
+def gram(tr: Bags, gamma: float | None = None) -> DataFrame:
+    """(bag_id, pos, blk, k): rows of each bag's Gram matrix, cut into array pieces of one block."""
+    width = width_of(tr.df)
+    tasks, _ = block_tasks(tr, tr, self_pairs(tr), tr.count, width)
+    right = pack(tr.df.withColumnRenamed("bag_id", "te_bag"), "te_bag", block_rows(width))
+    right = right.select("te_bag", F.col("blk").alias("te_blk"), F.col("x").alias("z"))
+    size = tr.table_rows * (width + 2) * 8
+    joined = tasks.join(broadcast_if(packed_left(tr, width, gamma), size), ["tr_bag", "tr_blk"]).join(
+        broadcast_if(right, size), ["te_bag", "te_blk"]
+    )
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                k = np.exp(-r.gamma * sq_dists(r.x.reshape(-1, width), r.z.reshape(-1, width)))
+                yield pd.DataFrame({"bag_id": r.tr_bag, "pos": r.poss, "blk": r.te_blk, "k": list(k)})
+
+    cols = joined.select("tr_bag", "te_blk", "poss", "x", "z", "gamma")
+    return cols.mapInPandas(rows, "bag_id int, pos int, blk int, k array<double>")
+
+
+def kmm_bounds(bags: DataFrame) -> DataFrame:
+    """(bag_id, n, eps, sum_lo, sum_hi, box): limits of the weights of each bag."""
+    n = F.col("n").cast("double")
+    return (
+        bags.groupBy("bag_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("eps", (F.sqrt(n) - 1.0) / F.sqrt(n))
+        .withColumn("sum_lo", n * (1.0 - F.col("eps")))
+        .withColumn("sum_hi", n * (1.0 + F.col("eps")))
+        .withColumn("box", F.lit(BOX))
+    )
+
+
+def kmm_gradient(tr: Bags, kappas: DataFrame, gamma: float | None = None) -> DataFrame:
+    """(bag_id, pos, row_id, beta, kappa, kbeta, grad); `tr.df` has `beta`, `kappas` is per (bag_id, pos)."""
+    width = width_of(tr.df)
+    prod = pair_sums(tr, tr, self_pairs(tr), gamma, width, weight="beta", n_pairs=tr.count)
+    prod = prod.select(F.col("tr_bag").alias("bag_id"), "pos", F.col("ksum").alias("kbeta"))
+    here = tr.df.select("bag_id", "pos", "row_id", "beta").join(kappas.select("bag_id", "pos", "kappa"), ["bag_id", "pos"])
+    return here.join(prod, ["bag_id", "pos"]).withColumn("grad", F.col("kbeta") + F.col("kappa"))
+
+
+def kmm_step(grads: DataFrame, rate: float) -> DataFrame:
+    """(bag_id, pos, row_id, beta): one gradient step of the given rate, clipped to the box."""
+    moved = F.col("beta") - F.lit(float(rate)) * F.col("grad")
+    return grads.select("bag_id", "pos", "row_id", F.least(F.greatest(moved, F.lit(0.0)), F.lit(BOX)).alias("beta"))
+
+
+def kmm_objective(grads: DataFrame) -> DataFrame:
+    """(bag_id, objective): beta'K beta / 2 + kappa'beta."""
+    term = F.col("beta") * (0.5 * F.col("kbeta") + F.col("kappa"))
+    return grads.groupBy("bag_id").agg(F.sum(term).alias("objective"))
+
+
+def kmm_residual(grads: DataFrame, rate: float) -> DataFrame:
+    """(bag_id, residual): largest move of one projected step; bags fit one task."""
+    item = F.struct("beta", (F.col("beta") - F.lit(float(rate)) * F.col("grad")).alias("moved"))
+    packed = grads.groupBy("bag_id").agg(F.collect_list(item).alias("r"))
+
+    def largest(beta: pd.Series, moved: pd.Series) -> pd.Series:
+        return pd.Series([np.abs(b - project(m[None])[0]).max() for b, m in zip(beta, moved, strict=True)])
+
+    return packed.select(
+        "bag_id", F.pandas_udf(largest, "double")(F.col("r.beta"), F.col("r.moved")).alias("residual")
+    )
+
+
+def bag_widths(bags: Bags) -> DataFrame:
+    """(bag_id, gamma): median distance over pairs of positions; copies of a row are at distance 0."""
+    return packed_left(bags, width_of(bags.df), None).select(F.col("tr_bag").alias("bag_id"), "gamma")
+
+
+def kernel_width(df: DataFrame, n: int | None = None) -> float:
+    """Exact median distance over all pairs of rows of the table.
+
+    Beyond one block the two middle order statistics are found by radix selection on the bits of the squared
+    distances: each pass counts the next 16 bits per block pair, so only counts leave a task.
+    """
+    n = df.count() if n is None else n
+    if n < 2:
+        return float("nan")
+    bag, width = whole_bag(df, n), width_of(df)
+    if n <= BAG_ROWS:
+        return packed_left(bag, width, None).first()["gamma"]
+    rows = block_rows(width)
+    blocks = pack(bag.df, "bag_id", rows)
+    size = n * (width + 2) * 8
+    last = -(-n // rows)
+    ids = df.sparkSession.range(last).select(F.col("id").cast("int").alias("a"))
+    tasks = ids.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(last - 1))))
+    tasks = tasks.repartition(task_count(df, last * (last + 1) // 2))
+    joined = tasks.join(
+        broadcast_if(blocks.select(F.col("blk").alias("a"), "x"), size), "a"
+    ).join(broadcast_if(blocks.select(F.col("blk").alias("b"), F.col("x").alias("z")), size), "b")
+
+    pairs = n * (n - 1) // 2
+    found = {k: (0, k) for k in {(pairs - 1) // 2, pairs // 2}}
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        prefixes = sorted({p for p, _ in found.values()})
+        digits = joined.mapInPandas(_digit_counts(width, prefixes, shift), "prefix long, digit int, n long")
+        counts = digits.groupBy("prefix", "digit").agg(F.sum("n").alias("n")).orderBy("prefix", "digit").collect()
+        for k, (prefix, rank) in found.items():
+            for c in (c for c in counts if c["prefix"] == prefix):
+                if rank < c["n"]:
+                    found[k] = ((prefix << DIGIT_BITS) | c["digit"], rank)
+                    break
+                rank -= c["n"]
+    mids = np.array([p for p, _ in found.values()], dtype=np.int64).view(np.float64)
+    return float(np.sqrt(mids).mean())
+
+
+def _digit_counts(width: int, prefixes: list[int], shift: int):
+    """Counts of the next digit of the squared distances that start with one of the prefixes."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                d2 = sq_dists(r.x.reshape(-1, width), r.z.reshape(-1, width))
+                bits = (d2[np.triu_indices(len(d2), 1)] if r.a == r.b else d2.ravel()).view(np.int64)
+                high = bits >> (shift + DIGIT_BITS) if shift + DIGIT_BITS < 64 else np.zeros_like(bits)
+                for p in prefixes:
+                    digit = (bits[high == p] >> shift) & ((1 << DIGIT_BITS) - 1)
+                    seen, n = np.unique(digit, return_counts=True)
+                    yield pd.DataFrame({"prefix": p, "digit": seen.astype("int32"), "n": n})
 
-    if weighted:
-        return F.pandas_udf(lambda x, z, g, w: sums(x, z, g, w), "array<double>")
-    return F.pandas_udf(lambda x, z, g: sums(x, z, g), "array<double>")
+    return count

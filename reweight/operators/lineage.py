@@ -23,9 +23,13 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_enough(size_bytes: float) -> bool:
+    return size_bytes <= BROADCAST_BYTES
+
+
 def broadcast_if(df: DataFrame, size_bytes: float) -> DataFrame:
     """Broadcast hint only under a proven size; otherwise the join stays a shuffle join."""
-    return F.broadcast(df) if size_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if small_enough(size_bytes) else df
 
 
 def task_count(df: DataFrame, units: int) -> int:
