@@ -20,23 +20,32 @@ DRAWS_PER_PARTITION = 250_000
 
 @dataclass(frozen=True)
 class Bags:
-    """Bag rows (bag_id INT, pos INT, row_id LONG, idx LONG, features) with ids 0..count-1."""
+    """Bag rows (bag_id INT, pos INT, row_id LONG, idx LONG, features) with ids 0..count-1.
+
+    `repeats`: drawn with replacement, every bag full. `cycle`: bags per repetition when several independent
+    cuts of the same table are held side by side, numbered repetition by repetition.
+    """
 
     df: DataFrame
     count: int
     size: int
     total: int
+    width: int = 0
     repeats: bool = False
+    cycle: int = 0
 
     def rows(self, bag_id: Column | str) -> Column:
         """Number of rows of a bag: every bag is full except the last one of a cut."""
         if self.repeats:
             return F.lit(self.size).cast("long")
         col = F.col(bag_id) if isinstance(bag_id, str) else bag_id
-        return F.least(F.lit(self.size).cast("long"), F.lit(self.total) - col.cast("long") * self.size)
+        at = (col % self.cycle if self.cycle else col).cast("long")
+        return F.least(F.lit(self.size).cast("long"), F.lit(self.total) - at * self.size)
 
     @property
     def table_rows(self) -> int:
+        if self.cycle:
+            return self.total * (self.count // self.cycle)
         return self.count * self.size if self.repeats else min(self.total, self.count * self.size)
 
 
@@ -59,8 +68,14 @@ def bag_geometry(df: DataFrame, size: int | None = None, count: int | None = Non
     return df.agg(n.alias("n"), bag_size.alias("bag_size"), bags.alias("bag_count"))
 
 
-def _indexed(df: DataFrame) -> DataFrame:
-    return df if "idx" in df.columns else row_index(df)
+def _indexed(df: DataFrame, n: int | None) -> DataFrame:
+    return df if "idx" in df.columns else row_index(df, n=n)
+
+
+def width_of(df: DataFrame) -> int:
+    """Length of the feature vectors, read from one row; 0 for an empty table or one without features."""
+    row = df.select(F.size("features").alias("w")).first() if "features" in df.columns else None
+    return row["w"] if row else 0
 
 
 def _place(df: DataFrame, size: int, *first: str) -> DataFrame:
@@ -75,37 +90,47 @@ def _place(df: DataFrame, size: int, *first: str) -> DataFrame:
     )
 
 
-def whole_bag(df: DataFrame, n: int) -> Bags:
+def whole_bag(df: DataFrame, n: int, *, width: int | None = None) -> Bags:
     """The table as its single bag."""
-    return Bags(_place(_indexed(df), max(n, 1)), min(n, 1), n, n)
+    width = width_of(df) if width is None else width
+    return Bags(_place(_indexed(df, n), max(n, 1)), min(n, 1), n, n, width)
 
 
-def partition_bags(df: DataFrame, size: int, count: int, n: int | None = None, *, tail: str = "drop") -> Bags:
+def partition_bags(
+    df: DataFrame, size: int, count: int, n: int | None = None, *, tail: str = "drop", width: int | None = None
+) -> Bags:
     """Contiguous chunks by position; rows beyond `count` chunks are left out unless ``tail="keep"``."""
     if size < 1:
         raise ValueError("a bag needs at least one row")
     n = df.count() if n is None else n
+    width = width_of(df) if width is None else width
     whole = -(-n // size)
     used = min(count, whole) if tail == "drop" else whole
-    placed = _place(_indexed(df), size).where(F.col("bag_id") < used)
-    return Bags(placed, used, size, n)
+    placed = _place(_indexed(df, n), size).where(F.col("bag_id") < used)
+    return Bags(placed, used, size, n, width)
 
 
 def bootstrap_bags(
-    df: DataFrame, size: int, count: int, seed: int, n: int | None = None, *, tag: str = "boot"
+    df: DataFrame,
+    size: int,
+    count: int,
+    seed: int,
+    n: int | None = None,
+    *,
+    tag: str = "boot",
+    width: int | None = None,
 ) -> Bags:
     """`count` bags of `size` draws with replacement."""
     if size < 1:
         raise ValueError("a bag needs at least one row")
     n = df.count() if n is None else n
+    width = width_of(df) if width is None else width
     if n == 0:
-        return Bags(_place(_indexed(df), size).limit(0), 0, size, 0, repeats=True)
+        return Bags(_place(_indexed(df, n), size).limit(0), 0, size, 0, width, repeats=True)
     draws = draw_positions(df.sparkSession, size, count, seed, n, tag)
-    return Bags(draws.join(_indexed(df), "idx").select("bag_id", "pos", "idx", *_others(df)), count, size, n, repeats=True)
-
-
-def _others(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != "idx"]
+    rest = [c for c in df.columns if c != "idx"]
+    rows = draws.join(_indexed(df, n), "idx").select("bag_id", "pos", "idx", *rest)
+    return Bags(rows, count, size, n, width, repeats=True)
 
 
 def draw_positions(spark: SparkSession, size: int, count: int, seed: int, n: int, tag: str = "boot") -> DataFrame:
@@ -117,14 +142,32 @@ def draw_positions(spark: SparkSession, size: int, count: int, seed: int, n: int
     return ids.withColumn("idx", F.floor(uniform(tag, seed, "bag_id", "pos") * F.lit(float(n))).cast("long"))
 
 
-def random_disjoint(df: DataFrame, size: int, seed: int, n: int | None = None, *, tag: str = "disjoint") -> Bags:
-    """Random chunks without replacement that cover every row; the last may be short."""
+def random_disjoint(
+    df: DataFrame,
+    size: int,
+    seed: int,
+    n: int | None = None,
+    *,
+    tag: str = "disjoint",
+    width: int | None = None,
+    reps: int = 1,
+) -> Bags:
+    """Random chunks without replacement that cover every row; the last may be short.
+
+    With ``reps`` the table is cut that many times independently, all in one shuffle.
+    """
     if size < 1:
         raise ValueError("a bag needs at least one row")
     n = df.count() if n is None else n
-    base = df.drop("idx")
-    mixed = shuffle_index(base, uniform(tag, seed, "row_id"), n)
-    return Bags(_place(mixed, size), -(-n // size), size, n)
+    width = width_of(df) if width is None else width
+    base, chunks = df.drop("idx"), -(-n // size)
+    if reps == 1:
+        mixed = shuffle_index(base, uniform(tag, seed, "row_id"), n)
+        return Bags(_place(mixed, size), chunks, size, n, width)
+    many = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    mixed = shuffle_index(many, uniform(tag, seed, "rep", "row_id"), n, rep="rep", reps=reps)
+    placed = _place(mixed, size, "rep").withColumn("bag_id", F.col("bag_id") + F.col("rep") * chunks)
+    return Bags(placed.drop("rep"), chunks * reps, size, n, width, cycle=chunks)
 
 
 def coverage_count(n: int, eps: float, size: int) -> int:
@@ -177,6 +220,7 @@ def bag_strategy(
     te_count: int | None = None,
     tr_rows: int | None = None,
     te_rows: int | None = None,
+    width: int | None = None,
 ) -> tuple[Bags, Bags, DataFrame]:
     """Train bags, test bags and their pairs.
 
@@ -187,14 +231,15 @@ def bag_strategy(
         raise ValueError("mode is 1, 2, 3 or 4")
     tr_rows = train.count() if tr_rows is None else tr_rows
     te_rows = test.count() if te_rows is None else te_rows
+    width = width_of(train) if width is None else width
     s, m = resolve_bags(tr_rows, tr_size, tr_count)
     x, n = resolve_bags(te_rows, te_size, te_count)
 
     def cut(df, size, count, rows, side):
         bootstrap = mode in (3, 4) or (mode == 1) == (side == "train")
         if bootstrap:
-            return bootstrap_bags(df, size, count, seed, rows, tag=f"boot-{side}")
-        return partition_bags(df, size, count, rows)
+            return bootstrap_bags(df, size, count, seed, rows, tag=f"boot-{side}", width=width)
+        return partition_bags(df, size, count, rows, width=width)
 
     tr, te = cut(train, s, m, tr_rows, "train"), cut(test, x, n, te_rows, "test")
     spark = train.sparkSession

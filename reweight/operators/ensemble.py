@@ -10,10 +10,12 @@ from reweight.operators.bags import (
     random_disjoint,
     unsampled_rows,
     whole_bag,
+    width_of,
 )
 from reweight.operators.index import row_index
 from reweight.operators.kernel import BAG_ROWS, kernel_width
 from reweight.operators.kmm import bag_weights, kmm_whole
+from reweight.operators.lineage import reliable
 
 __all__ = [
     "bagged_ensemble_weights",
@@ -41,10 +43,6 @@ def _sizes(train: DataFrame, test: DataFrame, tr_rows: int | None, te_rows: int
     return (train.count() if tr_rows is None else tr_rows, test.count() if te_rows is None else te_rows)
 
 
-def _width(train: DataFrame, gamma: float | None, tr_rows: int) -> float:
-    return kernel_width(train, tr_rows) if gamma is None else gamma
-
-
 def test_split_weights(
     train: DataFrame,
     test: DataFrame,
@@ -57,10 +55,11 @@ def test_split_weights(
 ) -> DataFrame:
     """(row_id, beta): the whole train against random disjoint test splits, weighted by split size."""
     tr_rows, te_rows = _sizes(train, test, tr_rows, te_rows)
-    gamma = _width(train, gamma, tr_rows)
-    te = random_disjoint(test, split_size, seed, te_rows, tag="split-test")
+    width = width_of(train)
+    gamma = kernel_width(train, tr_rows, width=width) if gamma is None else gamma
+    te = random_disjoint(test, split_size, seed, te_rows, tag="split-test", width=width)
     if tr_rows <= BAG_ROWS:
-        tr = whole_bag(train, tr_rows)
+        tr = whole_bag(train, tr_rows, width=width)
         pairs = cartesian_pairs(train.sparkSession, 1, te.count)
         return share_weights(bag_weights(tr, te, pairs, gamma, n_pairs=te.count), te, "row_id")
     # A train table beyond one task is solved as a distributed iteration per split.
@@ -89,18 +88,19 @@ def train_split_weights(
 ) -> DataFrame:
     """(row_id, beta): random disjoint train splits against the whole test, scaled to a mean of 1."""
     tr_rows, te_rows = _sizes(train, test, tr_rows, te_rows)
-    gamma = _width(train, gamma, tr_rows)
-    tr = random_disjoint(train, split_size, seed, tr_rows, tag="split-train")
-    te = whole_bag(test, te_rows)
+    width = width_of(train)
+    gamma = kernel_width(train, tr_rows, width=width) if gamma is None else gamma
+    tr = random_disjoint(train, split_size, seed, tr_rows, tag="split-train", width=width)
+    te = whole_bag(test, te_rows, width=width)
     pairs = cartesian_pairs(train.sparkSession, tr.count, 1)
     return to_mean_one(bag_weights(tr, te, pairs, gamma, n_pairs=tr.count), tr_rows)
 
 
 def to_mean_one(weights: DataFrame, n: int) -> DataFrame:
-    """beta / sum(beta) * n; the one-row total is broadcast."""
-    total = weights.agg(F.sum("beta").alias("total"))
-    scaled = weights.join(F.broadcast(total)).withColumn("beta", F.col("beta") / F.col("total") * F.lit(float(n)))
-    return scaled.select("row_id", "beta")
+    """beta / sum(beta) * n. The weights are checkpointed, as the total would otherwise solve them again."""
+    solved = reliable(weights.select("row_id", "beta"))
+    total = solved.agg(F.sum("beta")).first()[0]
+    return solved.withColumn("beta", F.col("beta") / F.lit(total) * F.lit(float(n)))
 
 
 def bagged_train_weights(
@@ -116,11 +116,12 @@ def bagged_train_weights(
 ) -> DataFrame:
     """(row_id, beta): bootstrap train bags against the whole test, mean per row; unsampled rows are absent."""
     tr_rows, te_rows = _sizes(train, test, tr_rows, te_rows)
-    gamma = _width(train, gamma, tr_rows)
-    source = row_index(train)
-    tr = bootstrap_bags(source, bag_size, bags, seed, tr_rows, tag="boot-train")
+    width = width_of(train)
+    gamma = kernel_width(train, tr_rows, width=width) if gamma is None else gamma
+    source = row_index(train, n=tr_rows)
+    tr = bootstrap_bags(source, bag_size, bags, seed, tr_rows, tag="boot-train", width=width)
     pairs = cartesian_pairs(train.sparkSession, bags, 1)
-    te = whole_bag(test, te_rows)
+    te = whole_bag(test, te_rows, width=width)
     return mean_weights(bag_weights(tr, te, pairs, gamma, n_pairs=bags, source=source))
 
 
@@ -138,10 +139,11 @@ def bagged_ensemble_weights(
 ) -> DataFrame:
     """(row_id, beta): bootstrap train bags against random test splits; size-weighted inside a bag, then mean."""
     tr_rows, te_rows = _sizes(train, test, tr_rows, te_rows)
-    gamma = _width(train, gamma, tr_rows)
-    source = row_index(train)
-    tr = bootstrap_bags(source, bag_size, bags, seed, tr_rows, tag="boot-train")
-    te = random_disjoint(test, split_size, seed, te_rows, tag="split-test")
+    width = width_of(train)
+    gamma = kernel_width(train, tr_rows, width=width) if gamma is None else gamma
+    source = row_index(train, n=tr_rows)
+    tr = bootstrap_bags(source, bag_size, bags, seed, tr_rows, tag="boot-train", width=width)
+    te = random_disjoint(test, split_size, seed, te_rows, tag="split-test", width=width)
     pairs = cartesian_pairs(train.sparkSession, bags, te.count)
     solved = bag_weights(tr, te, pairs, gamma, n_pairs=bags * te.count, source=source)
     return mean_weights(share_weights(solved, te, "tr_bag", "pos", "row_id"))

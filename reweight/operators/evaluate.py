@@ -1,6 +1,8 @@
 """Scoring estimated weights against the known ones."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -9,21 +11,21 @@ def align_truth(estimate: DataFrame, truth: DataFrame) -> DataFrame:
     return estimate.join(truth.select("row_id", "true_beta"), "row_id")
 
 
-def nmse(aligned: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rows, nmse): mean of (beta / sum(beta) - true_beta / sum(true_beta))^2.
+def nmse(aligned: DataFrame, *keys: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """(keys, rows, nmse, extra aggregates): mean of (beta / sum(beta) - true_beta / sum(true_beta))^2.
 
-    The square is expanded over five plain sums, so one partial aggregation is enough and no total has to be
-    sent back to the rows. Both columns are divided by their mean first in effect: the result is
-    (Sbb/Sb^2 - 2 Sbt/(Sb St) + Stt/St^2) / n.
+    Both shares average 1/n, so the score is the variance of their difference and follows from streaming
+    moments: one pass with partial aggregation, no totals sent back to the rows.
     """
     b, t = F.col("beta"), F.col("true_beta")
-    sums = aligned.groupBy(*keys).agg(
+    moments = aligned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(b).alias("b"),
-        F.sum(t).alias("t"),
-        F.sum(b * b).alias("bb"),
-        F.sum(b * t).alias("bt"),
-        F.sum(t * t).alias("tt"),
+        F.sum(b).alias("sb"),
+        F.sum(t).alias("st"),
+        F.var_pop(b).alias("vb"),
+        F.var_pop(t).alias("vt"),
+        F.covar_pop(b, t).alias("c"),
+        *extra,
     )
-    score = F.expr("(bb / (b * b) - 2.0e0 * bt / (b * t) + tt / (t * t)) / rows")
-    return sums.select(*keys, "rows", score.alias("nmse"))
+    score = F.expr("greatest(0e0, vb / (sb * sb) + vt / (st * st) - 2e0 * c / (sb * st))")
+    return moments.withColumn("nmse", score).drop("sb", "st", "vb", "vt", "c")

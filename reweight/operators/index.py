@@ -15,7 +15,7 @@ MAX_BUCKETS = 10_000
 
 
 def bucket_count(n: int) -> int:
-    return int(min(MAX_BUCKETS, max(1, -(-n // BUCKET_ROWS) * 2)))
+    return int(min(MAX_BUCKETS, max(1, -(-n // BUCKET_ROWS))))
 
 
 def bucket_by_key(df: DataFrame, key: str, n: int, out: str) -> DataFrame:
@@ -33,13 +33,21 @@ def bucket_by_key(df: DataFrame, key: str, n: int, out: str) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: list[Column], *, bucket: str, out: str = "idx", suffix_sum: str | None = None
+    df: DataFrame, order: list[Column], *, bucket: str, n: int, out: str = "idx", suffix_sum: str | None = None
 ) -> DataFrame:
     """Add the 0-based position `out` in the order; `bucket` must not decrease along it.
 
+    A table of one bucket needs no offsets, so nothing is counted.
+
     With ``suffix_sum`` also adds ``{out}_suffix``: the sum of that column from the row to the end, summed
     from the end so that small tails keep their digits.
     """
+    w = Window.partitionBy(bucket).orderBy(*order)
+    place = F.row_number().over(w).cast("long") - 1
+    tail = w.rowsBetween(0, Window.unboundedFollowing)
+    if bucket_count(n) == 1:
+        res = df.withColumn(out, place)
+        return res.withColumn(f"{out}_suffix", F.sum(suffix_sum).over(tail)) if suffix_sum else res
     aggs = [F.count(F.lit(1)).alias("rows")]
     if suffix_sum:
         aggs.append(F.sum(suffix_sum).alias("total"))
@@ -49,31 +57,43 @@ def number_rows(
     for r in sizes:
         rows[r[bucket] + 1] = r["rows"]
     starts = F.lit(np.cumsum(rows)[:-1])
-    w = Window.partitionBy(bucket).orderBy(*order)
-    res = df.withColumn(
-        out, F.row_number().over(w).cast("long") - 1 + F.element_at(starts, F.col(bucket) + 1)
-    )
+    res = df.withColumn(out, place + F.element_at(starts, F.col(bucket) + 1))
     if suffix_sum:
         totals = np.zeros(width + 1)
         for r in sizes:
             totals[r[bucket]] = r["total"]
         after = F.lit(np.cumsum(totals[::-1])[::-1][1:].copy())
-        tail = Window.partitionBy(bucket).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
         res = res.withColumn(
             f"{out}_suffix", F.sum(suffix_sum).over(tail) + F.element_at(after, F.col(bucket) + 1)
         )
     return res
 
 
-def row_index(df: DataFrame, key: str = "row_id", out: str = "idx") -> DataFrame:
+def row_index(df: DataFrame, key: str = "row_id", out: str = "idx", n: int | None = None) -> DataFrame:
     """Dense positions 0..n-1 in the order of a unique numeric key."""
-    n = df.count()
+    n = df.count() if n is None else n
     cut = bucket_by_key(df, key, n, "__bucket")
-    return number_rows(cut, [F.col(key)], bucket="__bucket", out=out).drop("__bucket")
+    return number_rows(cut, [F.col(key)], bucket="__bucket", n=n, out=out).drop("__bucket")
 
 
-def shuffle_index(df: DataFrame, u: Column, n: int, tie: str = "row_id", out: str = "idx") -> DataFrame:
-    """Dense positions in a random order given by a uniform column; equal-width buckets are even."""
-    buckets = bucket_count(n)
-    drawn = df.withColumn("__u", u).withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
-    return number_rows(drawn, [F.col("__u"), F.col(tie)], bucket="__bucket", out=out).drop("__u", "__bucket")
+def shuffle_index(
+    df: DataFrame,
+    u: Column,
+    n: int,
+    tie: str = "row_id",
+    out: str = "idx",
+    rep: str | None = None,
+    reps: int = 1,
+) -> DataFrame:
+    """Dense positions in a random order given by a uniform column; equal-width buckets are even.
+
+    With `rep`, an INT column 0..reps-1 over `reps` copies of the n rows, positions start anew in each copy.
+    """
+    per_copy = bucket_count(n)
+    cut = F.floor(F.col("__u") * per_copy).cast("int")
+    drawn = df.withColumn("__u", u).withColumn("__bucket", cut + F.col(rep) * per_copy if rep else cut)
+    order = [F.col("__u"), F.col(tie)]
+    if not rep or per_copy == 1:
+        return number_rows(drawn, order, bucket="__bucket", n=n, out=out).drop("__u", "__bucket")
+    placed = number_rows(drawn, order, bucket="__bucket", n=n * reps, out=out).drop("__u", "__bucket")
+    return placed.withColumn(out, F.col(out) - F.col(rep).cast("long") * n)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reweight.functions.dense import kernel_dot, median_distance, sq_dists
 from reweight.functions.qp import BOX, project
-from reweight.operators.bags import Bags, whole_bag
+from reweight.operators.bags import Bags, whole_bag, width_of
 from reweight.operators.lineage import broadcast_if, task_count
 
 # Bytes and rows of a block; a bag that is solved in one task may have at most BAG_ROWS rows.
@@ -36,11 +36,6 @@ def feature_width(df: DataFrame) -> DataFrame:
     return df.agg(F.max(F.size("features")).alias("width"))
 
 
-def width_of(df: DataFrame) -> int:
-    row = df.select(F.size("features").alias("w")).first()
-    return row["w"] if row else 0
-
-
 def pack(rows: DataFrame, bag: str, rows_per_block: int, *extra: str) -> DataFrame:
     """(bag, blk, row_ids, x, extra...): at most `rows_per_block` rows per block, x row-major, by `pos`."""
     item = F.struct("pos", "row_id", "features", *extra)
@@ -154,7 +149,7 @@ def kappa(
     tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None = None, *, n_pairs: int | None = None
 ) -> DataFrame:
     """(pair_id, tr_bag, te_bag, pos, row_id, kappa): -(n_tr / n_te) times the kernel sum over the test bag."""
-    sums = pair_sums(tr, te, pairs, gamma, width_of(tr.df), n_pairs=n_pairs)
+    sums = pair_sums(tr, te, pairs, gamma, tr.width, n_pairs=n_pairs)
     return sums.withColumn("kappa", kappa_scale(tr, te) * F.col("ksum")).drop("ksum")
 
 
@@ -172,7 +167,7 @@ def self_pairs(tr: Bags) -> DataFrame:
 
 def gram(tr: Bags, gamma: float | None = None) -> DataFrame:
     """(bag_id, pos, blk, k): rows of each bag's Gram matrix, cut into array pieces of one block."""
-    width = width_of(tr.df)
+    width = tr.width
     tasks, _ = block_tasks(tr, tr, self_pairs(tr), tr.count, width)
     right = pack(tr.df.withColumnRenamed("bag_id", "te_bag"), "te_bag", block_rows(width))
     right = right.select("te_bag", F.col("blk").alias("te_blk"), F.col("x").alias("z"))
@@ -206,7 +201,7 @@ def kmm_bounds(bags: DataFrame) -> DataFrame:
 
 def kmm_gradient(tr: Bags, kappas: DataFrame, gamma: float | None = None) -> DataFrame:
     """(bag_id, pos, row_id, beta, kappa, kbeta, grad); `tr.df` has `beta`, `kappas` is per (bag_id, pos)."""
-    width = width_of(tr.df)
+    width = tr.width
     prod = pair_sums(tr, tr, self_pairs(tr), gamma, width, weight="beta", n_pairs=tr.count)
     prod = prod.select(F.col("tr_bag").alias("bag_id"), "pos", F.col("ksum").alias("kbeta"))
     here = tr.df.select("bag_id", "pos", "row_id", "beta").join(kappas.select("bag_id", "pos", "kappa"), ["bag_id", "pos"])
@@ -240,10 +235,10 @@ def kmm_residual(grads: DataFrame, rate: float) -> DataFrame:
 
 def bag_widths(bags: Bags) -> DataFrame:
     """(bag_id, gamma): median distance over pairs of positions; copies of a row are at distance 0."""
-    return packed_left(bags, width_of(bags.df), None).select(F.col("tr_bag").alias("bag_id"), "gamma")
+    return packed_left(bags, bags.width, None).select(F.col("tr_bag").alias("bag_id"), "gamma")
 
 
-def kernel_width(df: DataFrame, n: int | None = None) -> float:
+def kernel_width(df: DataFrame, n: int | None = None, *, width: int | None = None) -> float:
     """Exact median distance over all pairs of rows of the table.
 
     Beyond one block the two middle order statistics are found by radix selection on the bits of the squared
@@ -252,7 +247,8 @@ def kernel_width(df: DataFrame, n: int | None = None) -> float:
     n = df.count() if n is None else n
     if n < 2:
         return float("nan")
-    bag, width = whole_bag(df, n), width_of(df)
+    width = width_of(df) if width is None else width
+    bag = whole_bag(df, n, width=width)
     if n <= BAG_ROWS:
         return packed_left(bag, width, None).first()["gamma"]
     rows = block_rows(width)

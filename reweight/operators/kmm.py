@@ -1,6 +1,7 @@
 """Kernel mean matching: every pair of bags as one small problem, or one problem over the whole table."""
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reweight.functions.dense import gram_stack
 from reweight.functions.qp import BOX, solve_stack, sum_bounds
-from reweight.operators.bags import Bags, cartesian_pairs, row_index, whole_bag
+from reweight.operators.bags import Bags, cartesian_pairs, whole_bag, width_of
 from reweight.operators.kernel import (
     BAG_ROWS,
     block_rows,
@@ -20,7 +21,6 @@ from reweight.operators.kernel import (
     packed_left,
     pair_sums,
     self_pairs,
-    width_of,
 )
 from reweight.operators.lineage import broadcast_if, reliable, small_enough, task_count
 
@@ -32,7 +32,7 @@ STACK_CELLS = 2**21
 # Largest number of steps of the whole-table iteration.
 MAX_STEPS = 500
 
-SOLVED = "pair_id long, tr_bag int, te_bag int, pos int, row_id long, beta double, residual double, steps int"
+SOLVED = "pair_id long, tr_bag int, te_bag int, pos int, row_id long, beta double, residual double, steps int, seconds double"
 
 
 def solve_bags(ready: DataFrame, width: int) -> DataFrame:
@@ -44,9 +44,11 @@ def solve_bags(ready: DataFrame, width: int) -> DataFrame:
                 stack = max(1, STACK_CELLS // (n * n))
                 for lo in range(0, len(same), stack):
                     part = same.iloc[lo : lo + stack]
+                    start = time.perf_counter()
                     x = np.stack(part["x"].to_list()).reshape(len(part), n, width)
                     k = gram_stack(x, part["gamma"].to_numpy())
                     beta, res, steps = solve_stack(k, np.stack(part["kappa"].to_list()))
+                    spent = (time.perf_counter() - start) / len(part)
                     ids = {c: np.repeat(part[c].to_numpy(), n) for c in ("pair_id", "tr_bag", "te_bag")}
                     yield pd.DataFrame(
                         {
@@ -56,6 +58,7 @@ def solve_bags(ready: DataFrame, width: int) -> DataFrame:
                             "beta": beta.ravel(),
                             "residual": np.repeat(res, n),
                             "steps": np.repeat(steps, n).astype("int32"),
+                            "seconds": spent,
                         }
                     )
 
@@ -72,7 +75,7 @@ def bag_weights(
     n_pairs: int | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """(pair_id, tr_bag, te_bag, pos, row_id, beta, residual, steps) for every draw of every pair.
+    """(pair_id, tr_bag, te_bag, pos, row_id, beta, residual, steps, seconds) for every draw of every pair.
 
     Without `gamma` each train bag uses its own median distance. With a global one and repeated rows, pass the
     drawn table as `source` (row_id, idx, features): kernel sums are then made once per table row and test bag
@@ -80,7 +83,7 @@ def bag_weights(
     """
     if tr.size > BAG_ROWS:
         raise ValueError(f"a train bag of {tr.size} rows does not fit one task ({BAG_ROWS}); use kmm_whole")
-    width = width_of(tr.df)
+    width = tr.width
     n_pairs = pairs.count() if n_pairs is None else n_pairs
     scale = kappa_scale(tr, te)
     shared = gamma is not None and source is not None and tr.repeats and tr.table_rows >= tr.total
@@ -96,7 +99,7 @@ def bag_weights(
             ready = ready.repartition(parts, "pair_id")
         return solve_bags(ready, width)
     if shared:
-        table = whole_bag(source, tr.total)
+        table = whole_bag(source, tr.total, width=width)
         once = cartesian_pairs(source.sparkSession, 1, te.count)
         sums = pair_sums(table, te, once, gamma, width, n_pairs=te.count).select("te_bag", "row_id", "ksum")
         draws = tr.df.select(F.col("bag_id").alias("tr_bag"), "pos", "row_id")
@@ -133,8 +136,9 @@ def kmm_whole(
     """
     tr_rows = train.count() if tr_rows is None else tr_rows
     te_rows = test.count() if te_rows is None else te_rows
-    gamma = kernel_width(train, tr_rows) if gamma is None else gamma
-    tr, te = whole_bag(train, tr_rows), whole_bag(test, te_rows)
+    width = width_of(train)
+    gamma = kernel_width(train, tr_rows, width=width) if gamma is None else gamma
+    tr, te = whole_bag(train, tr_rows, width=width), whole_bag(test, te_rows, width=width)
     pairs = cartesian_pairs(train.sparkSession, tr.count, te.count)
     if tr_rows > bag_rows:
         return _iterate(tr, te, pairs, gamma, max_steps, tolerance)
@@ -177,16 +181,16 @@ def _iterate(tr: Bags, te: Bags, pairs: DataFrame, gamma: float, max_steps: int,
     """
     n = tr.total
     lo, hi = sum_bounds(n)
-    width = width_of(tr.df)
+    width = tr.width
     base = reliable(tr.df)
-    rows = Bags(base, tr.count, tr.size, tr.total)
+    rows = Bags(base, tr.count, tr.size, tr.total, width)
     mine = self_pairs(rows)
     kappas = pair_sums(rows, te, pairs, gamma, width, n_pairs=1)
     state = kappas.select("pos", (F.col("ksum") * kappa_scale(rows, te)).alias("kappa"))
     state = reliable(state.withColumn("beta", F.lit(1.0)).withColumn("y", F.lit(1.0)))
 
     def times(vector: DataFrame) -> DataFrame:
-        weighted = Bags(base.join(vector, "pos"), rows.count, rows.size, rows.total)
+        weighted = Bags(base.join(vector, "pos"), rows.count, rows.size, rows.total, width)
         sums = pair_sums(rows, weighted, mine, gamma, width, weight="w", n_pairs=1)
         return sums.select("pos", F.col("ksum").alias("kw"))
 

@@ -53,9 +53,11 @@ def _narrow(df: DataFrame, col: str, k: int):
     return part, k, lo, hi, n
 
 
-def kth_cut(df: DataFrame, key: str, tie: str, k: int) -> Cut:
-    """Boundary of the k smallest rows by (key, tie); `tie` is a unique LONG."""
-    part, k, lo, hi, n = _narrow(df.select(key, tie), key, k)
+def kth_cut(df: DataFrame, key: str, tie: str, k: int, n: int | None = None) -> Cut:
+    """Boundary of the k smallest rows by (key, tie); `tie` is a unique LONG, `n` the row count if known."""
+    part, lo, hi = df.select(key, tie), None, None
+    if n is None or n > DIRECT_ROWS:
+        part, k, lo, hi, n = _narrow(part, key, k)
     while n > DIRECT_ROWS and lo < hi:
         # Two neighbouring doubles share the last bin: step to the one that holds the k-th row.
         low = part.where(F.col(key) == F.lit(lo)).count()
@@ -67,9 +69,7 @@ def kth_cut(df: DataFrame, key: str, tie: str, k: int) -> Cut:
         part = part.where(F.col(key).between(F.lit(lo), F.lit(hi)))
     if n > DIRECT_ROWS:
         part, k, *_ = _narrow(part, tie, k)
-        row = part.orderBy(tie).limit(k).agg(F.max(F.struct(key, tie)).alias("m")).first()["m"]
-    else:
-        row = part.orderBy(key, tie).limit(k).agg(F.max(F.struct(key, tie)).alias("m")).first()["m"]
+    row = part.orderBy(key, tie).limit(k).agg(F.max(F.struct(key, tie)).alias("m")).first()["m"]
     return Cut(key, tie, row[key], row[tie])
 
 
@@ -77,6 +77,8 @@ def first_n(df: DataFrame, size: int, order: str = "row_id") -> DataFrame:
     """The first `size` rows in row order; all of them when the table is shorter."""
     if size <= 0:
         return df.limit(0)
-    if df.count() <= size:
+    n = df.count()
+    if n <= size:
         return df
-    return df.where(kth_cut(df.withColumn("__tie", F.col(order)), order, "__tie", size).value >= F.col(order))
+    cut = kth_cut(df.withColumn("__tie", F.col(order)), order, "__tie", size, n)
+    return df.where(F.col(order) <= F.lit(cut.value))

@@ -56,7 +56,7 @@ def biased_split(df: DataFrame, train_size: int, seed: int, *, reverse: bool = F
     if size <= 0:
         return Split(df.withColumn("true_beta", F.lit(0.0)).limit(0), df, 0, fit.rows)
     timed = df.withColumn("__d2", fit.d2()).withColumn("__clock", clock(F.col("__d2"), fit.std, seed, "row_id"))
-    cut = kth_cut(timed, "__clock", "row_id", size)
+    cut = kth_cut(timed, "__clock", "row_id", size, fit.rows)
     train = timed.where(cut.inside()).withColumn("true_beta", true_weight(F.col("__d2"), F.lit(fit.std)))
     test = timed.where(~cut.inside())
     return Split(train.drop("__d2", "__clock"), test.drop("__d2", "__clock"), size, fit.rows - size)
@@ -79,10 +79,11 @@ def escalated_split(df: DataFrame, train_size: int, seed: int) -> Split:
         timed = left.withColumn("p", F.exp(-F.col("d2") / F.lit(std))).withColumn(
             "clock", clock(F.col("d2"), std, seed, F.lit(level), "row_id")
         )
-        cut = kth_cut(timed, "clock", "row_id", need)
+        cut = kth_cut(timed, "clock", "row_id", need, remaining)
         rest_weight = timed.where(~cut.inside()).agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         head = bucket_by_key(timed.where(cut.inside()), "clock", need, "bucket")
-        head = number_rows(head, [F.col("clock"), F.col("row_id")], bucket="bucket", out="j", suffix_sum="p")
+        order = [F.col("clock"), F.col("row_id")]
+        head = number_rows(head, order, bucket="bucket", n=need, out="j", suffix_sum="p")
         chance = (F.col("j_suffix") + F.lit(rest_weight)) / (F.lit(float(remaining)) - F.col("j"))
         gap = F.floor(F.log(uniform("gap", seed, F.lit(level), "j")) / F.log1p(-F.least(chance, F.lit(1.0))))
         # A chance of 1 has no rejections; a chance that underflows to 0 never accepts again.

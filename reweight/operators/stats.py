@@ -25,9 +25,13 @@ class Spread:
         return sq_distance_to("features", self.mean)
 
 
+def _center(df: DataFrame) -> tuple[float, ...]:
+    return tuple(m for _, m in sorted(mean_vector(df).collect()))
+
+
 def fit_spread(df: DataFrame) -> Spread:
     """Two aggregate passes; the result is held as literals so every later pass uses the same numbers."""
-    mean = tuple(r["mean"] for r in mean_vector(df).orderBy("pos").collect())
+    mean = _center(df)
     d2 = sq_distance_to("features", mean)
     std, n = df.agg(F.stddev_pop(d2), F.count(F.lit(1))).first()
     return Spread(mean, std or 0.0, n)
@@ -35,8 +39,7 @@ def fit_spread(df: DataFrame) -> Spread:
 
 def dispersion(df: DataFrame) -> DataFrame:
     """One row: population standard deviation of the squared distance to the mean."""
-    mean = tuple(r["mean"] for r in mean_vector(df).orderBy("pos").collect())
-    return df.agg(F.stddev_pop(sq_distance_to("features", mean)).alias("std"))
+    return df.agg(F.stddev_pop(sq_distance_to("features", _center(df))).alias("std"))
 
 
 def accept_prob(df: DataFrame, spread: Spread | None = None) -> DataFrame:
