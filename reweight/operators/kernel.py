@@ -238,7 +238,9 @@ def bag_widths(bags: Bags) -> DataFrame:
     return packed_left(bags, bags.width, None).select(F.col("tr_bag").alias("bag_id"), "gamma")
 
 
-def kernel_width(df: DataFrame, n: int | None = None, *, width: int | None = None) -> float:
+def kernel_width(
+    df: DataFrame, n: int | None = None, *, width: int | None = None, bag_rows: int = BAG_ROWS
+) -> float:
     """Exact median distance over all pairs of rows of the table.
 
     Beyond one block the two middle order statistics are found by radix selection on the bits of the squared
@@ -249,7 +251,7 @@ def kernel_width(df: DataFrame, n: int | None = None, *, width: int | None = Non
         return float("nan")
     width = width_of(df) if width is None else width
     bag = whole_bag(df, n, width=width)
-    if n <= BAG_ROWS:
+    if n <= bag_rows:
         return packed_left(bag, width, None).first()["gamma"]
     rows = block_rows(width)
     blocks = pack(bag.df, "bag_id", rows)

@@ -181,7 +181,7 @@ def sweep(
         by_train = by_train.select(
             F.floor(F.col("tr_bag") / tr_cycle).cast("int").alias("rep"), "row_id", "beta", "seconds"
         )
-        every_s = F.explode(F.lit(np.array(counts))).cast("int").alias("s")
+        every_s = F.explode(F.lit(np.array(counts, dtype=np.int32))).alias("s")
         for name, rows in (("test_split", by_test), ("train_split", by_train)):
             parts.append(rows.select(F.lit(name).alias("method"), F.lit(k).alias("k"), every_s, "rep", "row_id", "beta", "seconds"))
 

@@ -4,7 +4,7 @@ A row's id is built from where the row sits: rank of its file, byte offset of it
 inside that split. It is unique and increases in file order, without a shuffle or a sort.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reweight.functions.vectors import densify
@@ -16,11 +16,16 @@ TASK_BITS = 33
 FILE_BITS = 41
 
 
+def one_slash(path: Column) -> Column:
+    """The two ways Spark reports a path differ in the slashes after the scheme."""
+    return F.regexp_replace(path, ":/+", ":/")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, file, line): lines of a text file or folder in file order."""
     text = spark.read.text(path).select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
+        one_slash(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
     )
@@ -30,6 +35,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     if len(files) < 2:
         return text.select(place.alias("row_id"), "file", "line")
     ranks = spark.createDataFrame([(f, i << FILE_BITS) for i, f in enumerate(files)], "file string, base long")
+    ranks = ranks.withColumn("file", one_slash(F.col("file")))
     return text.join(ranks, "file").select((F.col("base") + place).alias("row_id"), "file", "line")
 
 
