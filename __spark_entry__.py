@@ -75,7 +75,7 @@ def how(s: S.Split) -> dict:
 
 def xy(df: DataFrame, *keys: str) -> DataFrame:
     """Keys and the two features as rounded scalars."""
-    return df.select(*keys, *[F.round(F.get("features", F.lit(i)), 6).alias(c) for i, c in enumerate("xy")])
+    return df.select(*keys, *[F.round(F.get("features", F.lit(i)), 8).alias(c) for i, c in enumerate("xy")])
 
 
 def r6(*cols: str) -> list:

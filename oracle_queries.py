@@ -120,7 +120,7 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     ev = f"SELECT event_id AS row_id, ({features['events'][1][0]})::DOUBLE AS x, ({features['events'][1][1]})::DOUBLE AS y, event_type AS label FROM events"
     out: dict[str, str] = {}
 
-    out["read_arff"] = f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, label, round(x, 6) AS x, round(y, 6) AS y FROM ({ev})"
+    out["read_arff"] = f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, label, round(x, 8) AS x, round(y, 8) AS y FROM ({ev})"
     out["read_sparse"] = f"""SELECT row_number() OVER (ORDER BY row_id) - 1 AS idx, label, n, last, total FROM
         (SELECT row_id, any_value(label)::VARCHAR AS label, (count(*) FILTER (v > 0))::INT AS n,
            (max(pos) FILTER (v > 0))::INT AS last, round(sum(v) FILTER (v > 0), 5) AS total FROM ({emb}) GROUP BY row_id)"""
@@ -131,10 +131,10 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["feature_width"] = f"""SELECT 'dense' AS form, max(len(embedding))::INT AS width FROM embeddings
         UNION ALL SELECT 'sparse', (max(pos) + 1)::INT FROM ({emb}) WHERE v > 0"""
     out["densify"] = f"SELECT row_id, pos::INT AS pos, round(greatest(v, 0e0), 6) AS v FROM ({emb})"
-    out["project_features"] = f"WITH {s.base('part')} SELECT row_id, round(x, 6) AS x, round(y, 6) AS y FROM b"
+    out["project_features"] = f"WITH {s.base('part')} SELECT row_id, round(x, 8) AS x, round(y, 8) AS y FROM b"
     out["split_round_trip"] = f"""WITH {s.split('customer')}
-        SELECT 'train' AS side, row_id, round(x, 6) AS x, round(true_beta, 4) AS true_beta FROM tr
-        UNION ALL SELECT 'test', row_id, round(x, 6), NULL FROM te"""
+        SELECT 'train' AS side, row_id, round(x, 8) AS x, round(true_beta, 4) AS true_beta FROM tr
+        UNION ALL SELECT 'test', row_id, round(x, 8), NULL FROM te"""
     out["append_report"] = """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, run FROM events,
         (SELECT unnest([1, 2])::INT AS run) GROUP BY event_type, run"""
     out["write_column"] = f"WITH {s.split('customer')} SELECT round(true_beta, 4) AS beta FROM tr"
@@ -158,7 +158,7 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["reverse_split"] = f"WITH {s.split('orders', reverse=True)} {s.sides()}"
     out["escalated_split"] = f"WITH {s.split('part', level='1')} {s.sides()}"
     out["escalated_split_levels"] = "SELECT 3::BIGINT AS train_rows, count(*) - 3 AS test_rows, TRUE AS weights_ok FROM part"
-    out["test_remainder"] = f"WITH {s.split('customer')} SELECT row_id, round(x, 6) AS x, round(y, 6) AS y FROM te"
+    out["test_remainder"] = f"WITH {s.split('customer')} SELECT row_id, round(x, 8) AS x, round(y, 8) AS y FROM te"
 
     out["resolve_bags"] = """WITH t AS (SELECT count(*) AS n FROM orders)
         SELECT n, 400::BIGINT AS bag_size, 7::BIGINT AS bag_count, 0 AS case_id FROM t UNION ALL SELECT n, 400, n // 400, 1 FROM t
@@ -168,7 +168,7 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["partition_bags_keep"] = f"{o}, {s.cut('d', 'bag_id', 'i', '400')} SELECT bag_id, pos, row_id FROM d"
     out["bootstrap_bags"] = f"{o}, {s.boot('d', 'bag_id', 'i', '300', '20', 'boot')} SELECT bag_id, pos, row_id FROM d"
     out["random_disjoint"] = f"{o}, {s.mixed('d', 'bag_id', 'i', '400', 'disjoint')} SELECT bag_id, pos, row_id FROM d"
-    out["gather"] = f"{o}, {s.mixed('d', 'bag_id', 'i', '400', 'disjoint')} SELECT bag_id, pos, row_id, round(x, 6) AS x, round(y, 6) AS y FROM d"
+    out["gather"] = f"{o}, {s.mixed('d', 'bag_id', 'i', '400', 'disjoint')} SELECT bag_id, pos, row_id, round(x, 8) AS x, round(y, 8) AS y FROM d"
     out["coverage_count"] = """SELECT count(*) AS n, ceil(log10(0.01e0) / (400 * log10(1e0 - 1e0 / count(*))))::BIGINT AS bags FROM orders"""
     mx = "(SELECT count(*) // 400 FROM orders)", "(SELECT count(*) // 900 FROM orders)"
     out["cartesian_pairs"] = f"""SELECT i AS pair_id, (i // {mx[1]})::INT AS tr_bag, (i % {mx[1]})::INT AS te_bag

@@ -1,8 +1,8 @@
 """Small dense quadratic programs of kernel mean matching, solved in stacks of equal size.
 
 For each problem: minimise b'Kb/2 + k'b subject to 0 <= b <= BOX and lo <= sum(b) <= hi. A primal-dual
-barrier iteration starts from the interior point b = 1, so it stays feasible; one linear solve on the
-variables that ended off their bounds then removes the remaining barrier error where that helps.
+barrier iteration starts from the interior point b = 1, so it stays feasible; a linear solve on the variables
+that ended off their bounds then removes the remaining barrier error where that helps.
 """
 
 import numpy as np
@@ -12,6 +12,7 @@ BOX = 1000.0
 # Solver settings.
 MAX_STEPS = 80
 GAP = 1e-13
+POLISH_ROUNDS = 6
 
 
 def sum_bounds(n: int) -> tuple[float, float]:
@@ -108,31 +109,37 @@ def _barrier(k: np.ndarray, kappa: np.ndarray):
 
 
 def _polish(k, kappa, b, s, z):
-    """Solve the optimality system on the free variables, others fixed at the bound they sit on."""
-    g, n = kappa.shape
+    """Solve the optimality system of one problem on its free variables, the others fixed at their bound.
+
+    A solution that leaves the bounds moves the offending variables onto them and is solved again; a problem
+    that does not settle keeps the barrier's answer.
+    """
+    n = len(kappa)
     lo, hi = sum_bounds(n)
-    free = (s[:, :n] > z[:, :n]) & (s[:, n : 2 * n] > z[:, n : 2 * n])
-    fixed = np.where(s[:, n : 2 * n] <= z[:, n : 2 * n], BOX, 0.0) * ~free
-    at_lo, at_hi = s[:, 2 * n] < z[:, 2 * n], s[:, 2 * n + 1] < z[:, 2 * n + 1]
-    tight = at_lo | at_hi
-    a = np.zeros((g, n + 1, n + 1))
-    a[:, :n, :n] = k * (free[:, :, None] & free[:, None, :])
-    i = np.arange(n)
-    a[:, i, i] += ~free
-    a[:, :n, n] = a[:, n, :n] = free * tight[:, None]
-    a[:, n, n] = ~tight
-    rhs = np.zeros((g, n + 1))
-    rhs[:, :n] = np.where(free, -kappa - np.einsum("gij,gj->gi", k, fixed), fixed)
-    rhs[:, n] = np.where(tight, np.where(at_lo, lo, hi) - fixed.sum(1), 0.0)
-    out = b.copy()
-    for j in range(g):
+    upper = s[n : 2 * n] <= z[n : 2 * n]
+    free = (s[:n] > z[:n]) & ~upper
+    total = lo if s[2 * n] < z[2 * n] else hi if s[2 * n + 1] < z[2 * n + 1] else None
+    for _ in range(POLISH_ROUNDS):
+        out = np.where(upper, BOX, 0.0)
+        at = np.flatnonzero(free)
+        rhs = -kappa[at] - k[at][:, upper].sum(1) * BOX
+        a = k[np.ix_(at, at)]
+        if total is not None and len(at):
+            a = np.block([[a, np.ones((len(at), 1))], [np.ones((1, len(at))), np.zeros((1, 1))]])
+            rhs = np.append(rhs, total - out.sum())
         try:
-            out[j] = np.linalg.solve(a[j], rhs[j])[:n]
+            out[at] = np.linalg.solve(a, rhs)[: len(at)]
         except np.linalg.LinAlgError:
-            continue
-    total = out.sum(1)
-    ok = (out.min(1) >= -1e-12) & (out.max(1) <= BOX) & (total >= lo - 1e-12) & (total <= hi + 1e-12)
-    return np.where(ok[:, None], np.clip(out, 0.0, BOX), b)
+            return b
+        below, above = free & (out < 0.0), free & (out > BOX)
+        if below.any() or above.any():
+            free, upper = free & ~below & ~above, upper | above
+        elif total is None and not lo <= out.sum() <= hi:
+            total = lo if out.sum() < lo else hi
+        else:
+            break
+    fits = abs(out.sum() - min(max(out.sum(), lo), hi)) <= 1e-12 * hi
+    return out if fits and out.min() >= 0.0 and out.max() <= BOX else b
 
 
 def solve_stack(k: np.ndarray, kappa: np.ndarray):
@@ -142,7 +149,7 @@ def solve_stack(k: np.ndarray, kappa: np.ndarray):
         return np.ones((g, 1)), np.zeros(g), np.zeros(g, dtype=int)
     b, s, z, steps = _barrier(k, kappa)
     res = residual(k, kappa, b)
-    tidy = _polish(k, kappa, b, s, z)
+    tidy = np.stack([_polish(*one) for one in zip(k, kappa, b, s, z, strict=True)])
     tidy_res = residual(k, kappa, tidy)
     better = tidy_res < res
     return np.where(better[:, None], tidy, b), np.where(better, tidy_res, res), steps
