@@ -93,6 +93,12 @@ def packed_left(tr: Bags, width: int, gamma: float | None, *extra: str) -> DataF
     return blocks.withColumn("gamma", width_udf(width)("x"))
 
 
+def packed_right(te: Bags, width: int, *extra: str) -> DataFrame:
+    """Test blocks (te_bag, te_blk, z, extra...)."""
+    blocks = pack(te.df.withColumnRenamed("bag_id", "te_bag"), "te_bag", block_rows(width), *extra)
+    return blocks.select("te_bag", F.col("blk").alias("te_blk"), F.col("x").alias("z"), *extra)
+
+
 def block_tasks(tr: Bags, te: Bags, pairs: DataFrame, n_pairs: int, width: int) -> tuple[DataFrame, int]:
     """One row per (pair, train block, test block), spread over the cluster, and the number of them."""
     left, right = left_rows(tr, width), block_rows(width)
@@ -119,14 +125,18 @@ def block_sums(
     *,
     weight: str | None = None,
     n_pairs: int | None = None,
+    left: DataFrame | None = None,
+    right: DataFrame | None = None,
 ) -> DataFrame:
-    """Packed train blocks with `ksum`, their kernel row sums over one test block each."""
+    """Packed train blocks with `ksum`, their kernel row sums over one test block each.
+
+    `left` and `right` take blocks that are already packed.
+    """
     n_pairs = pairs.count() if n_pairs is None else n_pairs
     tasks, _ = block_tasks(tr, te, pairs, n_pairs, width)
-    left = packed_left(tr, width, gamma)
     extra = [weight] if weight else []
-    right = pack(te.df.withColumnRenamed("bag_id", "te_bag"), "te_bag", block_rows(width), *extra)
-    right = right.select("te_bag", F.col("blk").alias("te_blk"), F.col("x").alias("z"), *extra)
+    left = packed_left(tr, width, gamma) if left is None else left
+    right = packed_right(te, width, *extra) if right is None else right
     joined = tasks.join(broadcast_if(left, tr.table_rows * (width + 2) * 8), ["tr_bag", "tr_blk"]).join(
         broadcast_if(right, te.table_rows * (width + 1) * 8), ["te_bag", "te_blk"]
     )
@@ -169,8 +179,7 @@ def gram(tr: Bags, gamma: float | None = None) -> DataFrame:
     """(bag_id, pos, blk, k): rows of each bag's Gram matrix, cut into array pieces of one block."""
     width = tr.width
     tasks, _ = block_tasks(tr, tr, self_pairs(tr), tr.count, width)
-    right = pack(tr.df.withColumnRenamed("bag_id", "te_bag"), "te_bag", block_rows(width))
-    right = right.select("te_bag", F.col("blk").alias("te_blk"), F.col("x").alias("z"))
+    right = packed_right(tr, width)
     size = tr.table_rows * (width + 2) * 8
     joined = tasks.join(broadcast_if(packed_left(tr, width, gamma), size), ["tr_bag", "tr_blk"]).join(
         broadcast_if(right, size), ["te_bag", "te_blk"]

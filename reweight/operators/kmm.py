@@ -19,6 +19,7 @@ from reweight.operators.kernel import (
     kappa_scale,
     kernel_width,
     packed_left,
+    packed_right,
     pair_sums,
     self_pairs,
 )
@@ -74,16 +75,20 @@ def bag_weights(
     *,
     n_pairs: int | None = None,
     source: DataFrame | None = None,
+    bag_rows: int = BAG_ROWS,
+    max_steps: int = MAX_STEPS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(pair_id, tr_bag, te_bag, pos, row_id, beta, residual, steps, seconds) for every draw of every pair.
 
     Without `gamma` each train bag uses its own median distance. With a global one and repeated rows, pass the
     drawn table as `source` (row_id, idx, features): kernel sums are then made once per table row and test bag
-    instead of once per draw.
+    instead of once per draw. Train bags of more than `bag_rows` rows do not fit one task; their pairs are
+    solved one after the other, each as a distributed iteration limited by `max_steps` and `tolerance`.
     """
-    if tr.size > BAG_ROWS:
-        raise ValueError(f"a train bag of {tr.size} rows does not fit one task ({BAG_ROWS}); use kmm_whole")
     width = tr.width
+    if tr.size > bag_rows:
+        return _large_bags(tr, te, pairs, gamma, max_steps, tolerance)
     n_pairs = pairs.count() if n_pairs is None else n_pairs
     scale = kappa_scale(tr, te)
     shared = gamma is not None and source is not None and tr.repeats and tr.table_rows >= tr.total
@@ -131,8 +136,8 @@ def kmm_whole(
 ) -> DataFrame:
     """(row_id, beta, residual, steps, converged): one problem over all rows, with the global width.
 
-    A train table of at most `bag_rows` rows is one bag problem. A larger one is solved by
-    :func:`_iterate`, which keeps the weights as a table.
+    A train table of at most `bag_rows` rows is one bag problem; a larger one is a distributed iteration that
+    keeps the weights as a table.
     """
     tr_rows = train.count() if tr_rows is None else tr_rows
     te_rows = test.count() if te_rows is None else te_rows
@@ -140,12 +145,50 @@ def kmm_whole(
     gamma = kernel_width(train, tr_rows, width=width) if gamma is None else gamma
     tr, te = whole_bag(train, tr_rows, width=width), whole_bag(test, te_rows, width=width)
     pairs = cartesian_pairs(train.sparkSession, tr.count, te.count)
-    if tr_rows > bag_rows:
-        return _iterate(tr, te, pairs, gamma, max_steps, tolerance)
-    solved = bag_weights(tr, te, pairs, gamma, n_pairs=1)
+    limits = {"bag_rows": bag_rows, "max_steps": max_steps, "tolerance": tolerance}
+    solved = bag_weights(tr, te, pairs, gamma, n_pairs=1, **limits)
     return solved.select("row_id", "beta", "residual", "steps", (F.col("residual") <= tolerance).alias("converged"))
 
 
+def _large_bags(
+    tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None, max_steps: int, tolerance: float
+) -> DataFrame:
+    """Each pair of large bags in turn; only the ids of the pairs come to the driver."""
+    out = None
+    for pair_id, a, b in pairs.select("pair_id", "tr_bag", "te_bag").orderBy("pair_id").toLocalIterator():
+        start = time.perf_counter()
+        mine, other = one_bag(tr, a), one_bag(te, b)
+        own = gamma
+        if own is None:
+            rows = mine.df.select(F.col("idx").alias("row_id"), "idx", "features")
+            own = kernel_width(rows, mine.total, width=tr.width)
+        one = cartesian_pairs(pairs.sparkSession, 1, 1)
+        weights, worst, steps = _iterate(mine, other, one, own, max_steps, tolerance)
+        solved = reliable(
+            weights.select(
+                F.lit(pair_id).cast("long").alias("pair_id"),
+                F.lit(a).alias("tr_bag"),
+                F.lit(b).alias("te_bag"),
+                "pos",
+                "row_id",
+                "beta",
+                F.lit(float(worst)).alias("residual"),
+                F.lit(steps).alias("steps"),
+                F.lit(time.perf_counter() - start).alias("seconds"),
+            )
+        )
+        out = solved if out is None else out.unionByName(solved)
+    return out
+
+
+def one_bag(bags: Bags, bag: int) -> Bags:
+    """One bag as the only bag of its own table."""
+    at = bag % bags.cycle if bags.cycle else bag
+    rows = bags.size if bags.repeats else min(bags.size, bags.total - at * bags.size)
+    df = bags.df.where(F.col("bag_id") == bag).withColumn("bag_id", F.lit(0))
+    return Bags(df.withColumn("idx", F.col("pos").cast("long")), 1, rows, rows, bags.width)
+
+
 def _clip(v):
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(BOX))
 
@@ -173,35 +216,44 @@ def _shift(moved: DataFrame, total: float, lo: float, hi: float) -> float:
     return lam
 
 
-def _iterate(tr: Bags, te: Bags, pairs: DataFrame, gamma: float, max_steps: int, tolerance: float) -> DataFrame:
-    """Accelerated projected gradient with restart; weights stay in a table, the driver sees only sums.
+def _iterate(
+    tr: Bags, te: Bags, pairs: DataFrame, gamma: float, max_steps: int, tolerance: float
+) -> tuple[DataFrame, float, int]:
+    """Accelerated projected gradient with restart on one pair of bags: (pos, row_id, beta), residual, steps.
 
-    The Gram matrix is never stored: a step is one block-sum job over (train block, train block) tasks. Each
-    state is checkpointed, so a lost executor costs at most the current step.
+    The Gram matrix is never stored: a step is one block-sum job over (train block, train block) tasks. Blocks
+    are packed once; a step only moves the weights. Weights stay in a table that is checkpointed per step, so
+    a lost executor costs at most that step, and the driver sees only sums.
     """
-    n = tr.total
-    lo, hi = sum_bounds(n)
-    width = tr.width
-    base = reliable(tr.df)
-    rows = Bags(base, tr.count, tr.size, tr.total, width)
-    mine = self_pairs(rows)
-    kappas = pair_sums(rows, te, pairs, gamma, width, n_pairs=1)
-    state = kappas.select("pos", (F.col("ksum") * kappa_scale(rows, te)).alias("kappa"))
+    n, width = tr.total, tr.width
+    rows = block_rows(width)
+    base = reliable(tr.df.select("bag_id", "pos", "row_id", "idx", "features"))
+    bag = Bags(base, 1, tr.size, tr.total, width)
+    mine = self_pairs(bag)
+    left = reliable(packed_left(bag, width, gamma))
+    right = reliable(packed_right(bag, width))
+    kappas = pair_sums(bag, te, pairs, gamma, width, n_pairs=1, left=left)
+    state = kappas.select("pos", (F.col("ksum") * kappa_scale(bag, te)).alias("kappa"))
     state = reliable(state.withColumn("beta", F.lit(1.0)).withColumn("y", F.lit(1.0)))
 
     def times(vector: DataFrame) -> DataFrame:
-        weighted = Bags(base.join(vector, "pos"), rows.count, rows.size, rows.total, width)
-        sums = pair_sums(rows, weighted, mine, gamma, width, weight="w", n_pairs=1)
+        blocks = (
+            vector.groupBy(F.floor(F.col("pos") / rows).cast("int").alias("te_blk"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).getField("w").alias("w"))
+            .join(right, "te_blk")
+        )
+        sums = pair_sums(bag, bag, mine, gamma, width, weight="w", n_pairs=1, left=left, right=blocks)
         return sums.select("pos", F.col("ksum").alias("kw"))
 
     # For a matrix of positive entries and a positive vector v, max (Kv)_i / v_i bounds the largest eigenvalue;
     # a few power steps tighten it.
-    v = state.select("pos", F.lit(1.0).alias("w"))
+    v, lipschitz = state.select("pos", F.lit(1.0).alias("w")), 1.0
     for _ in range(3):
         ratio = reliable(times(v).join(v, "pos").select("pos", "kw", (F.col("kw") / F.col("w")).alias("r")))
         lipschitz = ratio.agg(F.max("r")).first()[0]
         v = ratio.select("pos", (F.col("kw") / F.lit(lipschitz)).alias("w"))
 
+    lo, hi = sum_bounds(n)
     momentum, step, worst = 1.0, 0, math.inf
     while step < max_steps and worst > tolerance:
         step += 1
@@ -218,11 +270,4 @@ def _iterate(tr: Bags, te: Bags, pairs: DataFrame, gamma: float, max_steps: int,
         pull, momentum = (0.0, 1.0) if uphill > 0 else ((momentum - 1.0) / grown, grown)
         ahead = F.col("new") + F.lit(pull) * (F.col("new") - F.col("beta"))
         state = nxt.select("pos", "kappa", F.col("new").alias("beta"), ahead.alias("y"))
-    weights = base.select("pos", "row_id").join(state.select("pos", "beta"), "pos")
-    return weights.select(
-        "row_id",
-        "beta",
-        F.lit(worst).alias("residual"),
-        F.lit(step).alias("steps"),
-        F.lit(worst <= tolerance).alias("converged"),
-    )
+    return base.select("pos", "row_id").join(state.select("pos", "beta"), "pos"), worst, step

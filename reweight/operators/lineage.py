@@ -1,26 +1,40 @@
 """Cutting lineage through reliable storage, and size-checked broadcasts."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is only hinted for broadcast when its computed size stays below this bound.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="reweight-")
+    return _local[app]
+
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder named by ``spark.checkpoint.dir``; survives the loss of executors."""
+    """Write the table to the shared folder and read it back; survives the loss of executors.
+
+    Unlike a checkpointed plan, which keeps the size estimate of the plan it replaces (a product over joins,
+    so it explodes in a loop), the written table is planned with its real size.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="reweight-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/reweight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_enough(size_bytes: float) -> bool:
