@@ -210,16 +210,20 @@ def q_accept_prob(spark, sf):
     return T.accept_prob(feats(spark, sf, "orders")).select("row_id", *r6("d2", "p"))
 
 
+def one_value(spark, gamma):
+    return spark.range(1).select(F.round(F.lit(gamma), 6).alias("gamma"))
+
+
 def q_kernel_width(spark, sf):
     """The whole table: beyond one block of rows this is the distributed selection."""
     df = feats(spark, sf, "part")
-    return df.limit(1).select(F.round(F.lit(K.kernel_width(df)), 6).alias("gamma"))
+    return one_value(spark, K.kernel_width(df))
 
 
 def q_kernel_width_selected(spark, sf):
     """The distributed selection over block pairs, also for tables that would fit one block."""
     df = feats(spark, sf, "customer")
-    return df.limit(1).select(F.round(F.lit(K.kernel_width(df, bag_rows=0)), 6).alias("gamma"))
+    return one_value(spark, K.kernel_width(df, bag_rows=0))
 
 
 def q_kernel_width_bags(spark, sf):
@@ -253,9 +257,11 @@ def q_escalated_split_levels(spark, sf):
     s = S.escalated_split(df, 3, SEED)
     fit = T.fit_spread(df)
     level = fit.d2() / (F.log("true_beta") * F.lit(fit.std))
-    check = s.train.select(((level - F.round(level)) < 1e-6).alias("ok"))
-    sides = s.train.agg(F.count(F.lit(1)).alias("train_rows")).join(F.broadcast(s.test.agg(F.count(F.lit(1)).alias("test_rows"))))
-    return sides.join(F.broadcast(check.agg(F.min("ok").alias("weights_ok"))))
+    train = s.train.select(F.lit(1).alias("drawn"), (F.abs(level - F.round(level)) < 1e-6).alias("ok"))
+    both = train.unionByName(s.test.select(F.lit(0).alias("drawn"), F.lit(True).alias("ok")))
+    return both.agg(
+        F.sum("drawn").alias("train_rows"), F.sum(1 - F.col("drawn")).alias("test_rows"), F.min("ok").alias("weights_ok")
+    )
 
 
 def q_test_remainder(spark, sf):
@@ -487,6 +493,11 @@ def flagship(spark, sf):
     return V.align_truth(w, s.train)
 
 
+def q_flagship(spark, sf):
+    rows = flagship(spark, sf)
+    return rows.select("row_id", F.round("true_beta", 4).alias("true_beta"), (F.col("beta") >= 0).alias("weighted"))
+
+
 def q_bagged_kmm_orders(spark, sf):
     """Bags of 100 rows over partitions of the whole orders table, one weight for each row of the bags."""
     s = split_of(spark, sf, "orders")
@@ -536,6 +547,13 @@ def q_sweep(spark, sf):
     return rows.select("method", "k", "s", "rep", F.round(F.col("nmse") * 4, 5).alias("nmse"), (F.col("seconds") > 0).alias("timed"))
 
 
+def q_sweep_grid(spark, sf):
+    """Larger bags and splits: every setting of the grid is scored once per repetition."""
+    rows = Y.sweep(split_of(spark, sf, "part"), [4, 8], [5], 2, SEED)
+    scored_ok = (F.col("nmse") > 0) & (F.col("nmse") < 1)
+    return rows.select("method", "k", "s", "rep", scored_ok.alias("scored"))
+
+
 def q_study_report(spark, sf):
     metrics = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("dataset"),

@@ -248,6 +248,8 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     }
     for mode, (dr, tb, pr) in modes.items():
         out[f"bagged_kmm_{mode}"] = f"WITH {s.split('part')}, {dr}, {tb}, {pr}, {two_rows(s.OWN)} {mean}"
+    out["flagship"] = f"""WITH {s.split('orders')}, {s.boot('dr', 'tr_bag', 'tr', '100', '10', 'boot-train')}
+        SELECT row_id, round(true_beta, 4) AS true_beta, TRUE AS weighted FROM tr WHERE row_id IN (SELECT row_id FROM dr)"""
     out["bagged_kmm_orders"] = f"""WITH {s.split('orders')} SELECT row_id, TRUE AS feasible FROM tr WHERE idx < (SELECT n // 100 * 100 FROM ntr)"""
     out["test_ensemble_kmm"] = f"""{pair}, {s.cut('tb', 'te_bag', 'te', '(SELECT n // 3 FROM nte)', '3')}, {s.pairs()}, {two_rows(s.GLOBAL)} {mean}"""
 
@@ -303,6 +305,10 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["sweep"] = f"""SELECT method, k, s, rep, round(avg((sb-st)*(sb-st)) * 4, 5) AS nmse, TRUE AS timed FROM
         (SELECT *, beta / sum(beta) OVER w AS sb, true_beta / sum(true_beta) OVER w AS st FROM {grid}
          WINDOW w AS (PARTITION BY method, k, s, rep)) GROUP BY 1, 2, 3, 4"""
+    out["sweep_grid"] = """WITH n AS (SELECT count(*) // 5 AS n FROM part), ks AS (SELECT unnest([4, 8])::INT AS k),
+        ss AS (SELECT k, 5 AS s FROM ks UNION SELECT k, ceil(-2e0 / ((n // k) * log10(1e0 - 1e0 / n)))::INT FROM ks, n)
+        SELECT method, k, s, rep, TRUE AS scored FROM ss, (SELECT unnest([0, 1])::INT AS rep),
+          (SELECT unnest(['test_split', 'train_split', 'train_bags', 'train_bags_test_split']) AS method)"""
     out["study_report"] = """SELECT l_returnflag AS dataset, l_linestatus AS method, l_linenumber AS k, l_quantity::INT AS s,
         round(avg(l_discount), 6) AS nmse, round(avg(l_tax), 6) AS seconds FROM lineitem GROUP BY 1, 2, 3, 4"""
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BINS = 4096
 # Once this few rows share the bin of the k-th row, they are ordered directly.
-DIRECT_ROWS = 65_536
+DIRECT_ROWS = 250_000
 
 
 @dataclass(frozen=True)
