@@ -100,18 +100,27 @@ def packed_right(te: Bags, width: int, *extra: str) -> DataFrame:
 
 
 def block_tasks(tr: Bags, te: Bags, pairs: DataFrame, n_pairs: int, width: int) -> tuple[DataFrame, int]:
-    """One row per (pair, train block, test block), spread over the cluster, and the number of them."""
+    """One row per (pair, train block, test block), spread over the cluster, and the number of them.
+
+    `pair_id` counts from 0, so a task's place in the sequence of all tasks is arithmetic. Partitions are equal
+    runs of that sequence: a pair with many blocks is split, while neighbouring blocks of a pair meet in one
+    partition, where their sums combine before the shuffle.
+    """
     left, right = left_rows(tr, width), block_rows(width)
 
     def blocks(bags: Bags, bag: str, rows: int):
         last = F.ceil(bags.rows(bag) / rows).cast("int") - 1
         return F.explode(F.sequence(F.lit(0), last))
 
-    units = n_pairs * -(-max(tr.size, 1) // left) * -(-max(te.size, 1) // right)
+    per_side = -(-max(tr.size, 1) // left), -(-max(te.size, 1) // right)
+    units = n_pairs * per_side[0] * per_side[1]
+    parts = task_count(pairs, units)
+    place = (F.col("pair_id") * per_side[0] + F.col("tr_blk")) * per_side[1] + F.col("te_blk")
+    part = F.least(F.floor(place * (parts / max(units, 1))), F.lit(parts - 1)).cast("int")
     tasks = (
         pairs.withColumn("tr_blk", blocks(tr, "tr_bag", left))
         .withColumn("te_blk", blocks(te, "te_bag", right))
-        .repartition(task_count(pairs, units))
+        .repartitionById(parts, part)
     )
     return tasks, units
 

@@ -33,7 +33,9 @@ def fit_spread(df: DataFrame) -> Spread:
     """Two aggregate passes; the result is held as literals so every later pass uses the same numbers."""
     mean = _center(df)
     d2 = sq_distance_to("features", mean)
-    std, n = df.agg(F.stddev_pop(d2), F.count(F.lit(1))).first()
+    std, n, complete = df.agg(F.stddev_pop(d2), F.count(F.lit(1)), F.count(d2)).first()
+    if complete < n:
+        raise ValueError(f"{n - complete} rows have a missing or too short feature vector")
     return Spread(mean, std or 0.0, n)
 
 

@@ -55,6 +55,13 @@ def test_degenerate_tables_raise(points):
             cut(same, 6, 1)
 
 
+def test_incomplete_vectors_raise(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, None]), (2, [4.0, 5.0]), (3, [1.0])]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>")
+    with pytest.raises(ValueError, match="2 rows"):
+        S.biased_split(df, 1, 1)
+
+
 def test_escalated_split_takes_every_row(cloud):
     s = S.escalated_split(cloud, 120, 2)
     assert ids(s.train) == list(range(120)) and s.test.count() == 0
