@@ -17,7 +17,8 @@ def sq_dists(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape[:-1] + (z.shape[-2],))
     for k in range(x.shape[-1]):
         diff = x[..., :, None, k] - z[..., None, :, k]
-        out += diff * diff
+        np.square(diff, out=diff)
+        out += diff
     return out
 
 

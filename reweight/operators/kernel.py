@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reweight.functions.dense import kernel_dot, median_distance, sq_dists
 from reweight.functions.qp import BOX, project
 from reweight.operators.bags import Bags, whole_bag, width_of
-from reweight.operators.lineage import broadcast_if, task_count
+from reweight.operators.lineage import broadcast_if, reliable, task_count
 
 # Bytes and rows of a block; a bag that is solved in one task may have at most BAG_ROWS rows.
 BLOCK_BYTES = 256 * 1024
@@ -272,7 +272,8 @@ def kernel_width(
     if n <= bag_rows:
         return packed_left(bag, width, None).first()["gamma"]
     rows = block_rows(width)
-    blocks = pack(bag.df, "bag_id", rows)
+    # Read by every pass, on both sides of the join.
+    blocks = reliable(pack(bag.df, "bag_id", rows).select("blk", "x"))
     size = n * (width + 2) * 8
     last = -(-n // rows)
     ids = df.sparkSession.range(last).select(F.col("id").cast("int").alias("a"))
@@ -309,7 +310,8 @@ def _digit_counts(width: int, prefixes: list[int], shift: int):
                 high = bits >> (shift + DIGIT_BITS) if shift + DIGIT_BITS < 64 else np.zeros_like(bits)
                 for p in prefixes:
                     digit = (bits[high == p] >> shift) & ((1 << DIGIT_BITS) - 1)
-                    seen, n = np.unique(digit, return_counts=True)
-                    yield pd.DataFrame({"prefix": p, "digit": seen.astype("int32"), "n": n})
+                    counts = np.bincount(digit)
+                    seen = np.flatnonzero(counts)
+                    yield pd.DataFrame({"prefix": p, "digit": seen.astype("int32"), "n": counts[seen]})
 
     return count
