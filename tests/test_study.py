@@ -15,8 +15,7 @@ def cut(points):
 def test_weights_move_train_towards_test(cut):
     """The weighted train spread is nearer to the test spread than the plain one.
 
-    (The per-row score is no such guarantee: with the width used as the kernel's rate, measured NMSE is often
-    above that of equal weights.)
+    (The per-row score is no such guarantee: measured NMSE is often above that of equal weights.)
     """
     size = sum((F.get("features", F.lit(i)) * F.get("features", F.lit(i)) for i in range(2)), F.lit(0.0))
     rows = cut.train.join(kmm_whole(cut.train, cut.test), "row_id")
