@@ -7,6 +7,7 @@ runs its general solver. Larger bags appear as property checks (feasible, optima
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 import tempfile
 from collections.abc import Callable
@@ -34,6 +35,9 @@ from reweight.plans import study as Y
 from reweight.sources import tables as W
 from reweight.sources import text as X
 
+# The training-data operators are a part that may be left out of an installation.
+HAS_LLM = bool(importlib.util.find_spec("reweight.llm") and importlib.util.find_spec("corpus_pipeline"))
+
 SEED = 17
 
 # Feature tables: (table, id column, feature expressions that mean the same in Spark SQL and DuckDB).
@@ -575,10 +579,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k[2:]: v for k, v in globals().items() if k.startswith("q_") and k not in ("q_bag_strategy", "q_bagged_kmm")}
     named |= {f"bag_strategy_{m}": q_bag_strategy(m) for m in (1, 2, 3, 4)}
     named |= {f"bagged_kmm_{m}": q_bagged_kmm(m) for m in (1, 2, 3, 4)}
+    if HAS_LLM:
+        import corpus_pipeline
+        from reweight.llm import registry
+
+        named |= registry.queries() | {"pipeline": corpus_pipeline.run}
     return named
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import statements
 
-    return statements(FEATURES, SEED, RATE)
+    out = statements(FEATURES, SEED, RATE)
+    if HAS_LLM:
+        import corpus_pipeline
+        from reweight.llm import registry
+
+        out |= registry.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out
