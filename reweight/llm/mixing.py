@@ -59,7 +59,7 @@ def mix(
     spark = docs.sparkSession
     found = shares_of(docs, shares, share)
     total = sum(found.values())
-    buckets = power_of_two(docs.count() // BUCKET_ROWS)
+    buckets = power_of_two(docs.count() // BUCKET_ROWS, least=64)
     # One turn of the 64-bit md5 prefix decides the order; the first four digits the bucket.
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = docs.select(
@@ -69,18 +69,11 @@ def mix(
         key.alias("key"),
     ).withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - (buckets.bit_length() - 1)))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "bucket").agg(F.sum("bytes").alias("b"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("offset"))
     rows = rows.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-    if buckets > 1:
-        sums = docs.select(
-            F.coalesce("source", F.lit("")).alias("source"),
-            (F.octet_length(empty_text()) + 1).cast("long").alias("bytes"),
-            F.shiftright(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), 16 - (buckets.bit_length() - 1)).alias("bucket"),
-        ).groupBy("source", "bucket").agg(F.sum("bytes").alias("b"))
-        before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("source", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("offset"))
-        rows = rows.join(sums, ["source", "bucket"]).withColumn("start", F.col("inside") + F.col("offset"))
-    else:
-        rows = rows.withColumn("start", F.col("inside"))
+    rows = rows.join(sums, ["source", "bucket"]).withColumn("start", F.col("inside") + F.col("offset"))
     table = [(s, found[s], j, t) for s, j, t in period(found)] if found else []
     turns = spark.createDataFrame(table, "source string, share int, j int, turn_in_period long")
     block = F.floor(F.col("start") / F.lit(block_bytes))

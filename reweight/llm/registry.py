@@ -1,23 +1,32 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 import reweight
-from reweight.llm import mixing, slots
+from reweight.llm import mixing, packing, parsing, simhash, slots, tokens, toxicity
 
 
-def over(op, spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
-    reweight.attach(spark)
-    return op(spark, spark.read.parquet(f"{sf}/{table}.parquet"))
+def over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The operator's query over whole tables of a folder."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        reweight.attach(spark)
+        return op(spark, *[spark.read.parquet(f"{sf}/{t}.parquet") for t in tables])
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op5_source_mixing": partial(over, mixing.query),
-        "op10_virtual_slots": partial(over, slots.query),
+        "op2_parse_fingerprints": over(parsing.query, "documents"),
+        "op4_token_counts": over(tokens.query, "documents"),
+        "op5_source_mixing": over(mixing.query, "documents"),
+        "op7_simhash": over(simhash.query, "documents"),
+        "op8_toxicity": over(toxicity.query, "documents", "labels"),
+        "op9_packing": over(packing.query, "documents"),
+        "op10_virtual_slots": over(slots.query, "documents"),
     }
 
 
