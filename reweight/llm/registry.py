@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import reweight
-from reweight.llm import mixing, packing, parsing, simhash, slots, tokens, toxicity
+from reweight.llm import mixing, neighbours, packing, parsing, pii, simhash, slots, tokens, toxicity
 
 
 def over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,7 +20,9 @@ def over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multiprobe_neighbours": over(neighbours.query, "embeddings"),
         "op2_parse_fingerprints": over(parsing.query, "documents"),
+        "op3_personal_data": over(pii.query, "documents"),
         "op4_token_counts": over(tokens.query, "documents"),
         "op5_source_mixing": over(mixing.query, "documents"),
         "op7_simhash": over(simhash.query, "documents"),
