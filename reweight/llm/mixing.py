@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reweight.llm.common import empty_text, power_of_two
+from reweight.operators.lineage import broadcast_if
 
 # Production parameters: shares are whole numbers, a source that is not named has the default share.
 SHARES = {"src0": 6, "src1": 3, "src2": 3}
@@ -43,7 +44,7 @@ def shares_of(docs: DataFrame, shares: dict[str, int], share: int) -> dict[str,
 
 
 def mix(
-    docs: DataFrame, shares: dict[str, int] = SHARES, share: int = SHARE, block_bytes: int = BLOCK_BYTES, seed: int = SEED
+    docs: DataFrame, shares: dict[str, int] = SHARES, share: int = SHARE, block_bytes: int = BLOCK_BYTES, seed: int = SEED, carry: bool = False
 ) -> DataFrame:
     """A place in the mixture for every document: sort by `turn, start` to read the mixture.
 
@@ -54,7 +55,8 @@ def mix(
 
     Null texts have one byte, null sources share the empty name, null ids are ordered as the text "null", repeated
     rows each keep a place, further columns are ignored, an empty table gives no rows. A hot source is cut into
-    buckets of its seeded order; only bucket sums are ordered per source.
+    buckets of its seeded order; only bucket sums are ordered per source. With `carry`, a column `row` holds all
+    columns of `docs`.
     """
     spark = docs.sparkSession
     found = shares_of(docs, shares, share)
@@ -62,17 +64,21 @@ def mix(
     buckets = power_of_two(docs.count() // BUCKET_ROWS, least=64)
     # One turn of the 64-bit md5 prefix decides the order; the first four digits the bucket.
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select(
+    narrow = [
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         (F.octet_length(empty_text()) + 1).cast("long").alias("bytes"),
         key.alias("key"),
-    ).withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - (buckets.bit_length() - 1)))
+        F.shiftright(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), 16 - (buckets.bit_length() - 1)).alias("bucket"),
+    ]
+    rows = docs.select(*narrow, *([F.struct("*").alias("row")] if carry else []))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("bytes").alias("b"))
+    sums = docs.select(*narrow).groupBy("source", "bucket").agg(F.sum("bytes").alias("b"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("offset"))
     rows = rows.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    # A row of the sums takes under 100 bytes; their number is known.
+    sums = broadcast_if(sums, 100 * buckets * max(1, len(found)))
     rows = rows.join(sums, ["source", "bucket"]).withColumn("start", F.col("inside") + F.col("offset"))
     table = [(s, found[s], j, t) for s, j, t in period(found)] if found else []
     turns = spark.createDataFrame(table, "source string, share int, j int, turn_in_period long")
@@ -89,6 +95,7 @@ def mix(
         F.expr(f"(block * {total}) div share").alias("release"),
         F.expr(f"((block + 1) * {total} + share - 1) div share").alias("deadline"),
         F.expr(f"(block div share) * {total} + turn_in_period").alias("turn"),
+        *(["row"] if carry else []),
     )
 
 

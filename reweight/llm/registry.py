@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import reweight
-from reweight.llm import mixing, neighbours, packing, parsing, pii, simhash, slots, tokens, toxicity
+from reweight.llm import mixing, neighbours, packing, parsing, passages, pii, simhash, slots, tokens, toxicity
 
 
 def over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": over(pii.query, "documents"),
         "op4_token_counts": over(tokens.query, "documents"),
         "op5_source_mixing": over(mixing.query, "documents"),
+        "op6_repeated_passages": over(passages.query, "documents"),
         "op7_simhash": over(simhash.query, "documents"),
         "op8_toxicity": over(toxicity.query, "documents", "labels"),
         "op9_packing": over(packing.query, "documents"),

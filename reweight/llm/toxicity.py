@@ -125,42 +125,58 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     return fit([data[i] for i in order], y[order])
 
 
-def scorer(model):
+def scores(texts: list[str], model: dict, place: dict, cache: dict) -> np.ndarray:
+    rows = []
+    for text in texts:
+        on: set[int] = set()
+        for word in set(WORD.findall(text.lower())):
+            got = cache.get(word)
+            if got is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                got = cache[word] = tuple(place[t] for t in terms(word) if t in place)
+            if got:
+                on.update(got)
+        rows.append(np.array(sorted(on), np.int64))
+    z = logits(model["w"], model["v"], *flat(rows))[0] if rows else np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def scorer(shared, text_at: int, pick):
+    """Batches through `pick(batch, scores)`."""
+
     def run(batches):
-        m = model.value
-        w, v = m["w"], m["v"]
-        place = {int(t): i + 1 for i, t in enumerate(m["ids"])}
+        model = shared.value
+        place = {int(t): i + 1 for i, t in enumerate(model["ids"])}
         cache: dict[str, tuple] = {}
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                on: set[int] = set()
-                for word in set(WORD.findall(text.as_py().lower())):
-                    got = cache.get(word)
-                    if got is None:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        got = cache[word] = tuple(place[t] for t in terms(word) if t in place)
-                    if got:
-                        on.update(got)
-                rows.append(np.array(sorted(on), np.int64))
-            z = logits(w, v, *flat(rows))[0] if rows else np.zeros(0)
-            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+            yield pick(batch, scores([t.as_py() or "" for t in batch.column(text_at)], model, place, cache))
 
     return run
 
 
-def score(docs: DataFrame, model: dict, keep: bool = False) -> DataFrame:
-    """`doc_id, text, score`; every document, whole texts, a null text as the empty one.
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """`doc_id, score`; every document, whole texts, a null text as the empty one.
 
     The score is a function of the text alone. Null ids and repeated rows are kept as they are; further columns
     are ignored. The model's size is bounded by the number of hashed terms.
     """
+
+    def pick(batch, found):
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(model), 1, pick), "doc_id long, score double")
+
+
+def below(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score below the threshold, with all their columns and no other."""
+
+    def pick(batch, found):
+        return batch.filter(pa.array(found < threshold))
+
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = texts.mapInArrow(scorer(shared), "doc_id long, text string, score double")
-    return out if keep else out.drop("text")
+    return docs.mapInArrow(scorer(shared, docs.columns.index("text"), pick), docs.schema)
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
