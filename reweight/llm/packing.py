@@ -1,7 +1,6 @@
 """Packing token ids into sequences: dominance reduction on size classes, then best fit."""
 
 import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -14,21 +13,15 @@ from reweight.llm.common import reliable
 MODEL = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
-# Words that a task remembers at most, with their ids.
-CACHE = 400_000
 CHUNK_BITS = 14
 # A string of at most 2 GB has no more pieces than this.
 MOST_PIECES = 1 << 20
 
 # Code points on whose classes all Unicode versions agree; texts with others go to the tokenizer as a whole.
 _plain = [c for c in range(0x250) if c in (9, 10, 13) or 0x20 <= c < 0x7F or c >= 0xA0]
-_by = {k: "".join(re.escape(chr(c)) for c in _plain if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-_blank = " \\t\\n\\r\\xa0"
 PLAIN = re.compile(f"[{''.join(re.escape(chr(c)) for c in _plain)}]*")
-# The tokenizer's own split of byte-level BPE, written out for these code points (fixed values).
-SPLIT = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_by['L']}]+| ?[{_by['N']}]+| ?[^{_blank}{_by['L']}{_by['N']}]+|[{_blank}]+(?![^{_blank}])|[{_blank}]+"
-)
+# The split of byte-level BPE (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _models: dict = {}
 
 
@@ -38,38 +31,46 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ranks(model: dict, special: set[str]) -> dict[bytes, int] | None:
+    """Byte strings of a byte-level vocabulary with their ids, if the ids follow the order of the merges."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocab, merges = model["vocab"], model["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if any(vocab.get(x + y) != 256 + i for i, (x, y) in enumerate(pairs)):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+
+
 def tokenizer(path: str):
-    """The tokenizer, its remembered words, and strings that it treats specially."""
+    """The tokenizer, a faster coder of the same vocabulary if there is one, and strings that are treated specially."""
     if path not in _models:
         import json
 
+        import tiktoken
         import tokenizers
 
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
-        pre = conf.get("pre_tokenizer") or {}
-        byte_level = conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        _models[path] = (
-            tokenizers.Tokenizer.from_file(path), {}, [t["content"] for t in conf.get("added_tokens", [])], bool(byte_level)
-        )
+        special = [t["content"] for t in conf.get("added_tokens", [])]
+        pre, model = conf.get("pre_tokenizer") or {}, conf["model"]
+        plain = conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "end_of_word_suffix"))
+        ranks = byte_ranks(model, set(special)) if plain else None
+        coder = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        _models[path] = (tokenizers.Tokenizer.from_file(path), coder, special)
     return _models[path]
 
 
 def ids_of(text: str, path: str) -> bytes:
     """The text's ids as little-endian 32-bit numbers, equal to encoding it whole."""
-    tok, known, special, byte_level = tokenizer(path)
-    if not byte_level or any(s in text for s in special) or not PLAIN.fullmatch(text):
-        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = SPLIT.findall(text)
-    try:
-        return b"".join([known[w] for w in words])
-    except KeyError:
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+    tok, coder, special = tokenizer(path)
+    if coder and PLAIN.fullmatch(text) and not any(s in text for s in special):
+        ids = coder.encode_ordinary(text)
+    else:
+        ids = tok.encode(text, add_special_tokens=False).ids
+    return np.array(ids, "<u4").tobytes()
 
 
 def cut(path: str, capacity: int):

@@ -106,10 +106,11 @@ def base_matches(text: Column) -> dict[str, Column]:
 
 
 def features(text: Column, kind: str, c: Column, label: Column) -> Column:
-    """A candidate with its format and context, all in small whole numbers. A country sign is left out: it is what
-    the base pattern asks for, and the point is to find spans that are alike otherwise."""
+    """A candidate with its format and context, all in small whole numbers. A phone's country sign is left out:
+    it is what the base pattern asks for, and the point is to find spans that are alike otherwise."""
     s = c["s"]
-    n = F.length(digits_of(s))
+    own = F.regexp_replace(s, r"^(?:\+|00)[0-9]{0,3}[ .-]*", "") if kind == "phone" else s
+    n = F.length(digits_of(own))
     context = F.when(c["start"] > 0, F.substring(text, F.greatest(F.lit(1), c["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), c["start"]))).otherwise("")
     before = F.when(context.rlike(AGAINST), 0).when(context.rlike(FOR), 2).otherwise(1)
     shape = {
@@ -123,7 +124,7 @@ def features(text: Column, kind: str, c: Column, label: Column) -> Column:
         c["stop"].alias("stop"),
         F.lit(KINDS.index(kind)).alias("kind"),
         F.least(n, F.lit(20)).alias("digits"),
-        F.least(F.length(F.regexp_replace(s, "[A-Za-z0-9]", "")), F.lit(8)).alias("marks"),
+        F.least(F.length(F.regexp_replace(own, "[A-Za-z0-9]", "")), F.lit(8)).alias("marks"),
         shape.cast("int").alias("shape"),
         valid_of(kind, s).cast("int").alias("valid"),
         before.alias("before"),
