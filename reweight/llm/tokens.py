@@ -118,7 +118,7 @@ def per_document(path: str, hot):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 raw = text.encode()
-                key = xxhash.xxh3_128_digest(raw)
+                key = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
                 total = 0
                 for name, n in pre_tokens(text, safe).items():
                     pieces = known.get(name)
@@ -126,7 +126,7 @@ def per_document(path: str, hot):
                         row(i, key, name, n, 0, None)
                     else:
                         total += n * pieces
-                row(i, key, "\n\n" + key.hex(), 0, total, len(raw))
+                row(i, key, f"\n\n{key:x}", 0, total, len(raw))
                 if len(ids) > FLUSH:
                     yield batch_of(ids, keys, names, times, sums, sizes)
                     for c in (ids, keys, names, times, sums, sizes):
@@ -134,7 +134,7 @@ def per_document(path: str, hot):
             yield batch_of(ids, keys, names, times, sums, sizes)
 
     def batch_of(ids, keys, names, times, sums, sizes):
-        kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         cols = [pa.array(c, k) for c, k in zip((ids, keys, names, times, sums, sizes), kinds)]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "name", "times", "hot", "n_bytes"])
 
@@ -166,7 +166,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     `docs` needs `doc_id LONG, text`; further columns are ignored. A null text is empty and has no tokens, null ids
     are kept, repeated rows each get a row. Frequent pre-tokens are looked up in a broadcast of bounded size, so
     the shuffled join only meets those that no task sees often. Rows of one document are summed by id and a
-    128-bit hash of the text; sums over repeated rows are divided by their number.
+    64-bit hash of the text; sums over repeated rows are divided by their number.
     """
     spark = docs.sparkSession
     path = path or model_path()
@@ -176,7 +176,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     table = reliable(table.mapInArrow(counted(path), "name string, n long, pieces long"))
     hot, is_hot = frequent(spark, table)
     rows = texts.mapInArrow(
-        per_document(path, hot), "doc_id long, key binary, name string, times long, hot long, n_bytes long"
+        per_document(path, hot), "doc_id long, key long, name string, times long, hot long, n_bytes long"
     )
     rare = table.where(~is_hot).select("name", "pieces")
     joined = rows.join(rare, "name", "left")
