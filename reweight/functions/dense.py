@@ -11,6 +11,9 @@ LOOP_WIDTH = 32
 def sq_dists(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances; works on (n, d) and on stacks (g, n, d)."""
     if x.shape[-1] > LOOP_WIDTH:
+        # Around a common centre the products keep their digits.
+        centre = z.mean(-2, keepdims=True)
+        x, z = x - centre, z - centre
         xx = (x * x).sum(-1)[..., :, None]
         zz = (z * z).sum(-1)[..., None, :]
         return np.maximum(xx + zz - 2.0 * x @ np.swapaxes(z, -1, -2), 0.0)

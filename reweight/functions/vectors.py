@@ -29,8 +29,11 @@ def sq_distance_to(features: Column | str, center: Sequence[float]) -> Column:
 
 
 def densify(entries: Column | str, width: int) -> Column:
-    """Zero-filled array of ``width`` values from a 0-based ``MAP<INT,DOUBLE>``."""
-    return F.transform(
+    """Zero-filled array of ``width`` values from a 0-based ``MAP<INT,DOUBLE>``; an index outside it is an error."""
+    filled = F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda i: F.coalesce(F.try_element_at(entries, i), F.lit(0.0)),
     )
+    outside = F.exists(F.map_keys(entries), lambda k: (k < 0) | (k >= width))
+    wrong = F.raise_error(F.concat(F.lit(f"an index is outside 0..{width - 1}: "), F.map_keys(entries).cast("string")))
+    return F.when(outside, wrong.cast("array<double>")).otherwise(filled)

@@ -73,9 +73,22 @@ def _indexed(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def width_of(df: DataFrame) -> int:
-    """Length of the feature vectors, read from one row; 0 for an empty table or one without features."""
-    row = df.select(F.size("features").alias("w")).first() if "features" in df.columns else None
-    return row["w"] if row else 0
+    """Length of the feature vectors; 0 for an empty table or one without features.
+
+    Blocks are cut by this length, so vectors that are missing, of another length or with null components are an
+    error. One aggregate over the features.
+    """
+    if "features" not in df.columns:
+        return 0
+    size = F.coalesce(F.size("features"), F.lit(-1))
+    holes = F.coalesce(F.exists("features", lambda v: v.isNull()), F.lit(False))
+    low, high, bad = df.agg(F.min(size), F.max(size), F.max(holes.cast("int"))).first()
+    if low is None:
+        return 0
+    if low != high or low < 0 or bad:
+        wrong = df.where((size != high) | holes | (size < 0)).count()
+        raise ValueError(f"{wrong} rows have a missing, shorter or incomplete feature vector, beside a length of {high}")
+    return low
 
 
 def _place(df: DataFrame, size: int, *first: str) -> DataFrame:
@@ -221,8 +234,9 @@ def bag_strategy(
     tr_rows: int | None = None,
     te_rows: int | None = None,
     width: int | None = None,
+    tail: str = "drop",
 ) -> tuple[Bags, Bags, DataFrame]:
-    """Train bags, test bags and their pairs.
+    """Train bags, test bags and their pairs; `tail` says what becomes of rows beyond full partitions.
 
     1: bootstrap train, partition test; 2: partition train, bootstrap test; 3: bootstrap both, all pairs;
     4: bootstrap both, random one-to-one pairs.
@@ -239,7 +253,7 @@ def bag_strategy(
         bootstrap = mode in (3, 4) or (mode == 1) == (side == "train")
         if bootstrap:
             return bootstrap_bags(df, size, count, seed, rows, tag=f"boot-{side}", width=width)
-        return partition_bags(df, size, count, rows, width=width)
+        return partition_bags(df, size, count, rows, width=width, tail=tail)
 
     tr, te = cut(train, s, m, tr_rows, "train"), cut(test, x, n, te_rows, "test")
     spark = train.sparkSession

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows aimed at per bucket, and the most buckets (their counts are the only thing the driver holds).
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 10_000
 MAX_BUCKETS = 100_000
 
 

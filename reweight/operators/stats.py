@@ -2,15 +2,22 @@
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reweight.functions.vectors import sq_distance_to
+from reweight.operators.bags import width_of
 
 
 def mean_vector(df: DataFrame) -> DataFrame:
-    """(pos, mean): per-feature mean over all rows (vectors are zero-filled, so none is skipped)."""
-    return df.select(F.posexplode("features").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+    """(pos, mean): per-feature mean over all rows (vectors are zero-filled, so none is skipped).
+
+    One partial vector per task is combined, so a row is never taken apart; no row, no means.
+    """
+    means = df.agg(Summarizer.mean(array_to_vector("features")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    return means.select(F.posexplode(vector_to_array("m")).alias("pos", "mean"))
 
 
 @dataclass(frozen=True)
@@ -30,12 +37,11 @@ def _center(df: DataFrame) -> tuple[float, ...]:
 
 
 def fit_spread(df: DataFrame) -> Spread:
-    """Two aggregate passes; the result is held as literals so every later pass uses the same numbers."""
+    """Three aggregate passes, the first of which refuses missing and ragged vectors; the result is held as
+    literals so every later pass uses the same numbers."""
+    width_of(df)
     mean = _center(df)
-    d2 = sq_distance_to("features", mean)
-    std, n, complete = df.agg(F.stddev_pop(d2), F.count(F.lit(1)), F.count(d2)).first()
-    if complete < n:
-        raise ValueError(f"{n - complete} rows have a missing or too short feature vector")
+    std, n = df.agg(F.stddev_pop(sq_distance_to("features", mean)), F.count(F.lit(1))).first()
     return Spread(mean, std or 0.0, n)
 
 

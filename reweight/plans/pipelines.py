@@ -32,10 +32,12 @@ def bagged_kmm(
     tr_rows: int | None = None,
     te_rows: int | None = None,
     gamma: str = "bag",
+    tail: str = "drop",
 ) -> DataFrame:
     """(row_id, beta): bags by strategy, one problem per pair, plain mean per training row.
 
-    ``gamma="bag"`` takes each train bag's own width, ``"global"`` that of the whole train table.
+    ``gamma="bag"`` takes each train bag's own width, ``"global"`` that of the whole train table. Partitions leave
+    out the rows beyond the last full one unless ``tail="keep"``.
     """
     tr_rows = train.count() if tr_rows is None else tr_rows
     te_rows = test.count() if te_rows is None else te_rows
@@ -52,6 +54,7 @@ def bagged_kmm(
         tr_rows=tr_rows,
         te_rows=te_rows,
         width=width,
+        tail=tail,
     )
     n_pairs = min(tr.count, te.count) if mode == 4 else tr.count * te.count
     shared = kernel_width(train, tr_rows, width=width) if gamma == "global" else None
@@ -67,6 +70,7 @@ def test_ensemble_kmm(
     te_count: int | None = None,
     tr_rows: int | None = None,
     te_rows: int | None = None,
+    tail: str = "drop",
 ) -> DataFrame:
     """(row_id, beta): whole train against contiguous test parts, plain mean over the parts.
 
@@ -80,7 +84,7 @@ def test_ensemble_kmm(
     width = width_of(train)
     gamma = kernel_width(train, tr_rows, width=width)
     tr = whole_bag(train, tr_rows, width=width)
-    te = partition_bags(test, size, parts, te_rows, width=width)
+    te = partition_bags(test, size, parts, te_rows, width=width, tail=tail)
     if chunk >= size:
         pairs = cartesian_pairs(train.sparkSession, tr.count, te.count)
         return mean_weights(bag_weights(tr, te, pairs, gamma, n_pairs=te.count))

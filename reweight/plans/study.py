@@ -47,11 +47,13 @@ def run_stats(
     tr_count: int | None = None,
     te_size: int | None = None,
     te_count: int | None = None,
+    tail: str = "drop",
 ) -> DataFrame:
     """Run one method and report one row of sizes, phase seconds and score.
 
     `method` is ``bagged`` (by `mode`), ``test_ensemble`` or ``whole``. The weights are written to checkpoint
-    storage between the compute and the evaluate phase, so neither phase repeats the other.
+    storage between the compute and the evaluate phase, so neither phase repeats the other. `train_left_out` and
+    `test_left_out` count rows beyond the last full partition, which `tail="keep"` gives a bag of their own.
     """
     n, x = split.train_rows, split.test_rows
     start = time.perf_counter()
@@ -69,18 +71,21 @@ def run_stats(
             te_count=te_count,
             tr_rows=n,
             te_rows=x,
+            tail=tail,
         )
     elif method == "test_ensemble":
         s, m = n, 1
         te_s, te_n = resolve_bags(x, te_size, te_count)
         lazy = test_ensemble_kmm(
-            split.train, split.test, seed, te_size=te_size, te_count=te_count, tr_rows=n, te_rows=x
+            split.train, split.test, seed, te_size=te_size, te_count=te_count, tr_rows=n, te_rows=x, tail=tail
         )
     elif method == "whole":
         s, m, te_s, te_n = n, 1, x, 1
         lazy = kmm_whole(split.train, split.test, tr_rows=n, te_rows=x).select("row_id", "beta")
     else:
         raise ValueError("method is bagged, test_ensemble or whole")
+    cut_train, cut_test = method == "bagged" and mode == 2, method == "test_ensemble" or (method == "bagged" and mode == 1)
+    left_out = [max(0, r - b * c) if cut and tail == "drop" else 0 for cut, r, b, c in ((cut_train, n, s, m), (cut_test, x, te_s, te_n))]
     planned = time.perf_counter()
     weights = reliable(lazy)
     solved = time.perf_counter()
@@ -95,6 +100,7 @@ def run_stats(
         m,
         te_s,
         te_n,
+        *left_out,
         planned - start,
         solved - planned,
         scored - solved,
@@ -103,7 +109,7 @@ def run_stats(
     )
     schema = (
         "method string, mode int, train_rows long, test_rows long, tr_bag_size long, tr_bags long, "
-        "te_bag_size long, te_bags long, bagging_seconds double, compute_seconds double, "
+        "te_bag_size long, te_bags long, train_left_out long, test_left_out long, bagging_seconds double, compute_seconds double, "
         "evaluate_seconds double, total_seconds double, nmse double"
     )
     return split.train.sparkSession.createDataFrame([row], schema)
