@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reweight.functions.dense import gram_stack
 from reweight.functions.qp import BOX, solve_stack, sum_bounds
+from reweight.operators import interior
 from reweight.operators.bags import Bags, cartesian_pairs, whole_bag, width_of
 from reweight.operators.kernel import (
     BAG_ROWS,
@@ -18,19 +19,20 @@ from reweight.operators.kernel import (
     block_sums,
     kappa_scale,
     kernel_width,
+    pack,
     packed_left,
     packed_right,
     pair_sums,
     self_pairs,
 )
-from reweight.operators.lineage import broadcast_if, reliable, small_enough, task_count
+from reweight.operators.lineage import broadcast_if, drop_table, reliable, small_enough, task_count
 
 # A weight vector counts as converged when a projected gradient step moves no weight by more than this.
 TOLERANCE = 1e-6
 # Kernel entries held at once when small bags are stacked.
 STACK_CELLS = 2**21
 
-# Largest number of steps of the whole-table iteration.
+# Largest number of gradient steps on a large bag without a low-rank factor; missing the tolerance is an error.
 MAX_STEPS = 500
 
 SOLVED = "pair_id long, tr_bag int, te_bag int, pos int, row_id long, beta double, residual double, steps int, seconds double"
@@ -154,16 +156,16 @@ def _large_bags(
     tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None, max_steps: int, tolerance: float
 ) -> DataFrame:
     """Each pair of large bags in turn; only the ids of the pairs come to the driver."""
-    out = None
+    spark = pairs.sparkSession
+    out = spark.createDataFrame([], SOLVED)
+    widths: dict[int, float] = {}
     for pair_id, a, b in pairs.select("pair_id", "tr_bag", "te_bag").orderBy("pair_id").toLocalIterator():
         start = time.perf_counter()
         mine, other = one_bag(tr, a), one_bag(te, b)
-        own = gamma
-        if own is None:
+        if gamma is None and a not in widths:
             rows = mine.df.select(F.col("idx").alias("row_id"), "idx", "features")
-            own = kernel_width(rows, mine.total, width=tr.width)
-        one = cartesian_pairs(pairs.sparkSession, 1, 1)
-        weights, worst, steps = _iterate(mine, other, one, own, max_steps, tolerance)
+            widths[a] = kernel_width(rows, mine.total, width=tr.width)
+        weights, worst, steps = _solve_large(mine, other, widths.get(a, gamma), max_steps, tolerance)
         solved = reliable(
             weights.select(
                 F.lit(pair_id).cast("long").alias("pair_id"),
@@ -177,7 +179,7 @@ def _large_bags(
                 F.lit(time.perf_counter() - start).alias("seconds"),
             )
         )
-        out = solved if out is None else out.unionByName(solved)
+        out = out.unionByName(solved)
     return out
 
 
@@ -216,25 +218,23 @@ def _shift(moved: DataFrame, total: float, lo: float, hi: float) -> float:
     return lam
 
 
-def _iterate(
-    tr: Bags, te: Bags, pairs: DataFrame, gamma: float, max_steps: int, tolerance: float
-) -> tuple[DataFrame, float, int]:
-    """Accelerated projected gradient with restart on one pair of bags: (pos, row_id, beta), residual, steps.
+def _solve_large(tr: Bags, te: Bags, gamma: float, max_steps: int, tolerance: float) -> tuple[DataFrame, float, int]:
+    """One pair of bags: (pos, row_id, beta), the residual at these weights, and the steps.
 
-    The Gram matrix is never stored: a step is one block-sum job over (train block, train block) tasks. Blocks
-    are packed once; a step only moves the weights. Weights stay in a table that is checkpointed per step, so
-    a lost executor costs at most that step, and the driver sees only sums.
+    An interior-point iteration on a low-rank factor of the Gram matrix. A matrix without one, such as that of
+    well-separated rows, is well conditioned; it takes accelerated projected gradient steps. Either way the
+    residual is measured with the matrix itself, and weights that miss the tolerance are an error.
     """
     n, width = tr.total, tr.width
     rows = block_rows(width)
     base = reliable(tr.df.select("bag_id", "pos", "row_id", "idx", "features"))
     bag = Bags(base, 1, tr.size, tr.total, width)
+    pairs = cartesian_pairs(base.sparkSession, 1, 1)
     mine = self_pairs(bag)
     left = reliable(packed_left(bag, width, gamma))
     right = reliable(packed_right(bag, width))
     kappas = pair_sums(bag, te, pairs, gamma, width, n_pairs=1, left=left)
-    state = kappas.select("pos", (F.col("ksum") * kappa_scale(bag, te)).alias("kappa"))
-    state = reliable(state.withColumn("beta", F.lit(1.0)).withColumn("y", F.lit(1.0)))
+    kappas = reliable(kappas.select("pos", (F.col("ksum") * kappa_scale(bag, te)).alias("kappa")))
 
     def times(vector: DataFrame) -> DataFrame:
         blocks = (
@@ -245,6 +245,40 @@ def _iterate(
         sums = pair_sums(bag, bag, mine, gamma, width, weight="w", n_pairs=1, left=left, right=blocks)
         return sums.select("pos", F.col("ksum").alias("kw"))
 
+    def checked(weights: DataFrame) -> tuple[DataFrame, float]:
+        """The largest move of one projected gradient step from these weights, as for small bags."""
+        lipschitz = times(weights.select("pos", F.lit(1.0).alias("w"))).agg(F.max("kw")).first()[0]
+        grad = times(weights.select("pos", F.col("beta").alias("w")))
+        target = F.col("beta") - (F.col("kw") + F.col("kappa")) / F.lit(lipschitz)
+        moved = reliable(weights.join(grad, "pos").select("pos", "row_id", "beta", target.alias("v")))
+        lam = _shift(moved, moved.agg(F.sum(_clip(F.col("v")))).first()[0], lo, hi)
+        worst = moved.agg(F.max(F.abs(_clip(F.col("v") - F.lit(lam)) - F.col("beta")))).first()[0]
+        return moved.select("pos", "row_id", "beta"), worst
+
+    lo, hi = sum_bounds(n)
+    blocks = pack(base.drop("bag_id").join(kappas, "pos").withColumn("bag_id", F.lit(0)), "bag_id", rows, "kappa")
+    blocks = reliable(blocks.select("blk", "poss", "row_ids", "x", "kappa"))
+    try:
+        found, steps = interior.solve(blocks, n, width, gamma)
+    except interior.TooManyPivots:
+        found, steps = _iterate(base, kappas, times, n, max_steps, tolerance)
+    found, worst = checked(found)
+    if worst > tolerance:
+        raise RuntimeError(f"the weights of a bag of {n} rows stopped {worst} from optimal after {steps} steps")
+    for table in (left, right, kappas, blocks, base):
+        drop_table(table)
+    return found, worst, steps
+
+
+def _iterate(base: DataFrame, kappas: DataFrame, times, n: int, max_steps: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Accelerated projected gradient with restart: (pos, row_id, kappa, beta) and the steps.
+
+    The Gram matrix is never stored: a step is one block-sum job over (train block, train block) tasks. Blocks
+    are packed once; a step only moves the weights. Weights stay in a table that is written per step, so
+    a lost executor costs at most that step, and the driver sees only sums.
+    """
+    state = reliable(kappas.withColumn("beta", F.lit(1.0)).withColumn("y", F.lit(1.0)))
+
     # For a matrix of positive entries and a positive vector v, max (Kv)_i / v_i bounds the largest eigenvalue;
     # a few power steps tighten it.
     v, lipschitz = state.select("pos", F.lit(1.0).alias("w")), 1.0
@@ -254,12 +288,15 @@ def _iterate(
         v = ratio.select("pos", (F.col("kw") / F.lit(lipschitz)).alias("w"))
 
     lo, hi = sum_bounds(n)
-    momentum, step, worst = 1.0, 0, math.inf
-    while step < max_steps and worst > tolerance:
+    momentum, step, worst, moved = 1.0, 0, math.inf, None
+    while step < max_steps and worst > 0.1 * tolerance:
         step += 1
         grad = times(state.select("pos", F.col("y").alias("w")))
         target = F.col("y") - (F.col("kw") + F.col("kappa")) / F.lit(lipschitz)
+        before = moved
         moved = reliable(state.join(grad, "pos").select("pos", "kappa", "beta", "y", target.alias("v")))
+        if before is not None:
+            drop_table(before)
         lam = _shift(moved, moved.agg(F.sum(_clip(F.col("v")))).first()[0], lo, hi)
         nxt = moved.withColumn("new", _clip(F.col("v") - F.lit(lam)))
         worst, uphill = nxt.agg(
@@ -270,4 +307,4 @@ def _iterate(
         pull, momentum = (0.0, 1.0) if uphill > 0 else ((momentum - 1.0) / grown, grown)
         ahead = F.col("new") + F.lit(pull) * (F.col("new") - F.col("beta"))
         state = nxt.select("pos", "kappa", F.col("new").alias("beta"), ahead.alias("y"))
-    return base.select("pos", "row_id").join(state.select("pos", "beta"), "pos"), worst, step
+    return base.select("pos", "row_id").join(state.select("pos", "kappa", "beta"), "pos"), step
