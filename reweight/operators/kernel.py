@@ -6,6 +6,7 @@ sums, so no pair of rows ever becomes a row, and a test bag that holds most of t
 many tasks as it has blocks.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reweight.functions.dense import kernel_dot, median_distance, sq_dists
-from reweight.functions.qp import BOX, project
-from reweight.operators.bags import Bags, whole_bag, width_of
+from reweight.functions.qp import BOX, project, sum_bounds
+from reweight.operators.bags import Bags, one_bag, whole_bag, width_of
 from reweight.operators.lineage import broadcast_if, reliable, task_count
 
 # Bytes and rows of a block; a bag that is solved in one task may have at most BAG_ROWS rows.
@@ -89,7 +90,12 @@ def packed_left(tr: Bags, width: int, gamma: float | None, *extra: str) -> DataF
     if gamma is not None:
         return blocks.withColumn("gamma", F.lit(float(gamma)))
     if tr.size > BAG_ROWS:
-        raise ValueError(f"a bag's own width needs bags of at most {BAG_ROWS} rows; pass a global gamma")
+        # Few bags, each with its own selection over block pairs.
+        own = [one_bag(tr, b) for b in range(tr.count)]
+        rows = [b.df.select(F.col("idx").alias("row_id"), "idx", "features") for b in own]
+        widths = [(b, kernel_width(r, o.total, width=width, bag_rows=BAG_ROWS)) for b, (r, o) in enumerate(zip(rows, own, strict=True))]
+        table = tr.df.sparkSession.createDataFrame(widths, "tr_bag int, gamma double")
+        return blocks.join(broadcast_if(table, 16 * len(widths)), "tr_bag")
     return blocks.withColumn("gamma", width_udf(width)("x"))
 
 
@@ -238,17 +244,55 @@ def kmm_objective(grads: DataFrame) -> DataFrame:
     return grads.groupBy("bag_id").agg(F.sum(term).alias("objective"))
 
 
+def clipped(v):
+    return F.least(F.greatest(v, F.lit(0.0)), F.lit(BOX))
+
+
+def sum_shift(moved: DataFrame, total: float, lo: float, hi: float) -> float:
+    """Number to subtract from every `v` before clipping so that the sum meets its nearer bound.
+
+    Safeguarded Newton on a piecewise linear function: each pass is one aggregate, and on the last piece the
+    step is exact.
+    """
+    if lo <= total <= hi:
+        return 0.0
+    target = lo if total < lo else hi
+    low, high = moved.agg(F.min("v"), F.max("v")).first()
+    low, high, lam = low - hi, high, 0.0
+    for _ in range(60):
+        v = F.col("v") - F.lit(lam)
+        inner = (v > 0.0) & (v < BOX)
+        now, slope = moved.agg(F.sum(clipped(v)), F.sum(inner.cast("double"))).first()
+        if abs(now - target) <= 1e-12 * max(1.0, target):
+            break
+        low, high = (lam, high) if now > target else (low, lam)
+        step = lam + (now - target) / slope if slope else math.nan
+        lam = step if low < step < high else 0.5 * (low + high)
+    return lam
+
+
 def kmm_residual(grads: DataFrame, rate: float) -> DataFrame:
-    """(bag_id, residual): largest move of one projected step; bags fit one task."""
-    item = F.struct("beta", (F.col("beta") - F.lit(float(rate)) * F.col("grad")).alias("moved"))
-    packed = grads.groupBy("bag_id").agg(F.collect_list(item).alias("r"))
+    """(bag_id, residual): largest move of one projected step.
+
+    Bags of at most BAG_ROWS rows are projected in one task each. A larger one is projected by passes of sums, so
+    none is gathered; there are at most rows / BAG_ROWS of those.
+    """
+    moved = F.col("beta") - F.lit(float(rate)) * F.col("grad")
+    rows = grads.select("bag_id", "beta", moved.alias("v"))
+    large = {r["bag_id"]: r["n"] for r in rows.groupBy("bag_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BAG_ROWS).collect()}
+    small = rows.where(~F.col("bag_id").isin(list(large))) if large else rows
+    packed = small.groupBy("bag_id").agg(F.collect_list(F.struct("beta", "v")).alias("r"))
 
     def largest(beta: pd.Series, moved: pd.Series) -> pd.Series:
         return pd.Series([np.abs(b - project(m[None])[0]).max() for b, m in zip(beta, moved, strict=True)])
 
-    return packed.select(
-        "bag_id", F.pandas_udf(largest, "double")(F.col("r.beta"), F.col("r.moved")).alias("residual")
-    )
+    out = packed.select("bag_id", F.pandas_udf(largest, "double")(F.col("r.beta"), F.col("r.v")).alias("residual"))
+    for bag, n in sorted(large.items()):
+        own = reliable(rows.where(F.col("bag_id") == bag))
+        lam = sum_shift(own, own.agg(F.sum(clipped(F.col("v")))).first()[0], *sum_bounds(n))
+        far = F.max(F.abs(clipped(F.col("v") - F.lit(lam)) - F.col("beta")))
+        out = out.unionByName(own.groupBy("bag_id").agg(far.alias("residual")))
+    return out
 
 
 def bag_widths(bags: Bags) -> DataFrame:

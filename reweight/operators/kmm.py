@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reweight.functions.dense import gram_stack
-from reweight.functions.qp import BOX, solve_stack, sum_bounds
+from reweight.functions.qp import solve_stack, sum_bounds
 from reweight.operators import interior
-from reweight.operators.bags import Bags, cartesian_pairs, whole_bag, width_of
+from reweight.operators.bags import Bags, cartesian_pairs, one_bag, whole_bag, width_of
 from reweight.operators.kernel import (
     BAG_ROWS,
     block_rows,
     block_sums,
+    clipped,
     kappa_scale,
     kernel_width,
     pack,
@@ -24,6 +25,7 @@ from reweight.operators.kernel import (
     packed_right,
     pair_sums,
     self_pairs,
+    sum_shift,
 )
 from reweight.operators.lineage import broadcast_if, drop_table, reliable, small_enough, task_count
 
@@ -183,41 +185,6 @@ def _large_bags(
     return out
 
 
-def one_bag(bags: Bags, bag: int) -> Bags:
-    """One bag as the only bag of its own table."""
-    at = bag % bags.cycle if bags.cycle else bag
-    rows = bags.size if bags.repeats else min(bags.size, bags.total - at * bags.size)
-    df = bags.df.where(F.col("bag_id") == bag).withColumn("bag_id", F.lit(0))
-    return Bags(df.withColumn("idx", F.col("pos").cast("long")), 1, rows, rows, bags.width)
-
-
-def _clip(v):
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(BOX))
-
-
-def _shift(moved: DataFrame, total: float, lo: float, hi: float) -> float:
-    """Number to subtract from every `v` before clipping so that the sum meets its nearer bound.
-
-    Safeguarded Newton on a piecewise linear function: each pass is one aggregate, and on the last piece the
-    step is exact.
-    """
-    if lo <= total <= hi:
-        return 0.0
-    target = lo if total < lo else hi
-    low, high = moved.agg(F.min("v"), F.max("v")).first()
-    low, high, lam = low - hi, high, 0.0
-    for _ in range(60):
-        v = F.col("v") - F.lit(lam)
-        inner = (v > 0.0) & (v < BOX)
-        now, slope = moved.agg(F.sum(_clip(v)), F.sum(inner.cast("double"))).first()
-        if abs(now - target) <= 1e-12 * max(1.0, target):
-            break
-        low, high = (lam, high) if now > target else (low, lam)
-        step = lam + (now - target) / slope if slope else math.nan
-        lam = step if low < step < high else 0.5 * (low + high)
-    return lam
-
-
 def _solve_large(tr: Bags, te: Bags, gamma: float, max_steps: int, tolerance: float) -> tuple[DataFrame, float, int]:
     """One pair of bags: (pos, row_id, beta), the residual at these weights, and the steps.
 
@@ -251,8 +218,8 @@ def _solve_large(tr: Bags, te: Bags, gamma: float, max_steps: int, tolerance: fl
         grad = times(weights.select("pos", F.col("beta").alias("w")))
         target = F.col("beta") - (F.col("kw") + F.col("kappa")) / F.lit(lipschitz)
         moved = reliable(weights.join(grad, "pos").select("pos", "row_id", "beta", target.alias("v")))
-        lam = _shift(moved, moved.agg(F.sum(_clip(F.col("v")))).first()[0], lo, hi)
-        worst = moved.agg(F.max(F.abs(_clip(F.col("v") - F.lit(lam)) - F.col("beta")))).first()[0]
+        lam = sum_shift(moved, moved.agg(F.sum(clipped(F.col("v")))).first()[0], lo, hi)
+        worst = moved.agg(F.max(F.abs(clipped(F.col("v") - F.lit(lam)) - F.col("beta")))).first()[0]
         return moved.select("pos", "row_id", "beta"), worst
 
     lo, hi = sum_bounds(n)
@@ -297,8 +264,8 @@ def _iterate(base: DataFrame, kappas: DataFrame, times, n: int, max_steps: int,
         moved = reliable(state.join(grad, "pos").select("pos", "kappa", "beta", "y", target.alias("v")))
         if before is not None:
             drop_table(before)
-        lam = _shift(moved, moved.agg(F.sum(_clip(F.col("v")))).first()[0], lo, hi)
-        nxt = moved.withColumn("new", _clip(F.col("v") - F.lit(lam)))
+        lam = sum_shift(moved, moved.agg(F.sum(clipped(F.col("v")))).first()[0], lo, hi)
+        nxt = moved.withColumn("new", clipped(F.col("v") - F.lit(lam)))
         worst, uphill = nxt.agg(
             F.max(F.abs(F.col("new") - F.col("y"))),
             F.sum((F.col("y") - F.col("new")) * (F.col("new") - F.col("beta"))),

@@ -8,6 +8,7 @@ from reweight.functions import dense, qp
 from reweight.operators import bags as B
 from reweight.operators import ensemble as E
 from reweight.operators import evaluate as V
+from reweight.operators import interior
 from reweight.operators import kernel as K
 from reweight.operators import kmm as M
 from reweight.plans import pipelines as P
@@ -130,41 +131,63 @@ def test_whole_table_is_one_problem(train, test):
     assert max(abs(got[i] - want[i]) for i in range(40)) < 1e-9
 
 
-def in_memory_iteration(k, kappa, steps):
-    """Accelerated projected gradient with restart on one dense matrix."""
-    v = np.ones(len(kappa))
-    for _ in range(3):
-        lip = (k @ v / v).max()
-        v = k @ v / lip
-    beta, y, m = np.ones(len(kappa)), np.ones(len(kappa)), 1.0
-    for _ in range(steps):
-        new = qp.project((y - (k @ y + kappa) / lip)[None])[0]
-        grown = (1 + (1 + 4 * m * m) ** 0.5) / 2
-        if (y - new) @ (new - beta) > 0:
-            beta, y, m = new, new, 1.0
-        else:
-            beta, y, m = new, new + (m - 1) / grown * (new - beta), grown
-    return beta
-
-
-def test_iteration_over_blocks_equals_the_one_in_memory(points, monkeypatch):
+def objective(x, z, gamma, w):
+    k = dense.gram_stack(x[None], np.array([gamma]))[0]
+    b = np.array([w[i] for i in range(len(x))])
+    return 0.5 * b @ k @ b - len(x) / len(z) * dense.kernel_dot(x, z, None, gamma) @ b
+
+
+def test_large_solver_reaches_the_small_solvers_optimum(points, monkeypatch):
+    """The same table on either side of the size limit, over several blocks."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", (16, 16))
+    small = weights(M.kmm_whole(points(X), points(Z, start=500), gamma=1.0))
+    rows = M.kmm_whole(points(X), points(Z, start=500), gamma=1.0, bag_rows=0)
+    assert rows.where("NOT converged").count() == 0
+    want = objective(X, Z, 1.0, small)
+    assert objective(X, Z, 1.0, weights(rows)) == pytest.approx(want, rel=1e-8)
+
+
+def test_rows_without_a_factor_take_gradient_steps(points, monkeypatch):
+    """Well-separated rows: the Gram matrix is nearly the identity."""
+    monkeypatch.setattr(interior, "MAX_PIVOTS", 3)
     x, z = X[:12], Z[:20]
-    monkeypatch.setattr(K, "BLOCK_ROWS", (8, 8))
-    monkeypatch.setattr(K, "BAG_ROWS", 4)
-    got = weights(M.kmm_whole(points(x), points(z, start=500), gamma=1.0, bag_rows=4, max_steps=6))
-    k = dense.gram_stack(x[None], np.ones(1))[0]
-    kappa = -(12 / 20) * dense.kernel_dot(x, z, None, 1.0)
-    want = in_memory_iteration(k, kappa, 6)
-    assert max(abs(got[i] - want[i]) for i in range(12)) < 1e-9
-    far, best = in_memory_iteration(k, kappa, 20000), direct(x, z, 1.0)
-    assert np.abs(far - best).max() < 1e-5
+    small = weights(M.kmm_whole(points(x), points(z, start=500), gamma=1e4))
+    got = weights(M.kmm_whole(points(x), points(z, start=500), gamma=1e4, bag_rows=0))
+    assert objective(x, z, 1e4, got) == pytest.approx(objective(x, z, 1e4, small), rel=1e-8)
+    with pytest.raises(RuntimeError, match="from optimal"):
+        M.kmm_whole(points(x), points(z, start=500), gamma=1.0, bag_rows=0, max_steps=1).count()
+
+
+def test_residual_and_width_of_bags_beyond_one_task(points, monkeypatch):
+    bags = B.partition_bags(points(X), 20, 2)
+    kappas = bags.df.select("bag_id", "pos", F.lit(-1.0).alias("kappa"))
+    bags = B.Bags(bags.df.withColumn("beta", F.lit(0.9)), 2, 20, 40, bags.width)
+    widths = {r.bag_id: r.gamma for r in K.bag_widths(bags).collect()}
+    grads = K.kmm_gradient(bags, kappas)
+    want = {r.bag_id: r.residual for r in K.kmm_residual(grads, 0.3).collect()}
+    monkeypatch.setattr(K, "BAG_ROWS", 8)
+    assert {r.bag_id: r.residual for r in K.kmm_residual(grads, 0.3).collect()} == pytest.approx(want, abs=1e-9)
+    assert {r.bag_id: r.gamma for r in K.bag_widths(bags).distinct().collect()} == pytest.approx(widths, abs=1e-12)
+
+
+def test_no_pairs_no_weights(points, monkeypatch):
+    tr, te = B.whole_bag(points(X), 40), B.whole_bag(points(Z), 60)
+    none = B.cartesian_pairs(tr.df.sparkSession, 1, 1).where("pair_id < 0")
+    assert M.bag_weights(tr, te, none, 1.0, bag_rows=0).count() == 0
+
+
+def test_wide_distances_keep_their_digits():
+    x = 100 + 0.01 * np.random.default_rng(0).normal(size=(5, 64))
+    d2 = dense.sq_dists(x, x)
+    assert np.abs(np.diag(d2)).max() < 1e-15
+    assert d2[0, 1] == pytest.approx(((x[0] - x[1]) ** 2).sum(), rel=1e-9)
 
 
 def test_sum_shift_meets_its_bound(spark):
     v = np.array([3.0, -1.0, 0.5, 2.0, 9.0])
     df = spark.createDataFrame([(float(a),) for a in v], "v double")
     for lo, hi in ((1.0, 4.0), (20.0, 30.0)):
-        lam = M._shift(df, float(np.clip(v, 0, qp.BOX).sum()), lo, hi)
+        lam = K.sum_shift(df, float(np.clip(v, 0, qp.BOX).sum()), lo, hi)
         total = np.clip(v - lam, 0, qp.BOX).sum()
         assert lo - 1e-9 <= total <= hi + 1e-9
 
