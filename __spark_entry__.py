@@ -440,12 +440,25 @@ def q_kmm_whole(spark, sf):
 
 
 def q_kmm_whole_iterated(spark, sf):
-    """A few steps of the distributed iteration on a whole table."""
+    """The solver of large bags, run to convergence; its objective must be that of the solver of small ones."""
     s = split_of(spark, sf, "supplier")
-    rows = M.kmm_whole(s.train, s.test, bag_rows=0, max_steps=3, **how(s))
+    width = K.kernel_width(s.train, s.train_rows)
+    whole, other = B.whole_bag(s.train, s.train_rows), B.whole_bag(s.test, s.test_rows)
+    kappas = K.kappa(whole, other, B.cartesian_pairs(spark, 1, 1), width).select(F.col("tr_bag").alias("bag_id"), "pos", "kappa")
+
+    def solved(**limit):
+        rows = M.kmm_whole(s.train, s.test, gamma=width, **limit, **how(s))
+        bag = B.Bags(whole.df.join(rows.select("row_id", "beta"), "row_id"), 1, whole.size, whole.total, whole.width)
+        return rows, K.kmm_objective(K.kmm_gradient(bag, kappas, width)).withColumnRenamed("objective", "best")
+
+    rows, best = solved(bag_rows=0)
+    _, want = solved()
+    near = F.abs(F.col("best") - F.col("want")) <= 1e-8 * F.abs("want")
+    same = best.join(want.withColumnRenamed("best", "want"), "bag_id").select(near.alias("optimum"))
     n = float(s.train_rows)
     total = F.sum("beta").between(n**0.5 - 1e-6, 2 * n - n**0.5 + 1e-6)
-    return rows.agg(F.count(F.lit(1)).alias("n"), total.alias("feasible"))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), total.alias("feasible"), F.min("converged").alias("converged"))
+    return out.join(F.broadcast(same), F.lit(True))  # one row each
 
 
 def q_mean_weights(spark, sf):
@@ -542,6 +555,34 @@ def q_run_stats(spark, sf):
     return row.withColumn("timed", sane).withColumn("nmse", F.round(F.col("nmse") * scale, 4)).drop(*seconds)
 
 
+def stats_of_two(spark, sf, method, **shape):
+    """A two-row train table, whose weights have a closed form."""
+    row = Y.run_stats(split_of(spark, sf, "part", 2), method, SEED, **shape)
+    seconds = [c for c in row.columns if c.endswith("_seconds")]
+    sane = F.col("total_seconds") >= F.col("compute_seconds")
+    return row.drop("mode").withColumn("timed", sane).withColumn("nmse", F.round(F.col("nmse") * 4, 4)).drop(*seconds)
+
+
+def q_run_stats_whole(spark, sf):
+    return stats_of_two(spark, sf, "whole")
+
+
+def q_run_stats_test_ensemble(spark, sf):
+    return stats_of_two(spark, sf, "test_ensemble", te_count=3)
+
+
+def q_file_to_report(spark, sf):
+    """The two jobs of a run: a text file is read, split and handed over; the split is read, weighted, scored and reported."""
+    folder = scratch()
+    table = row_index(arff(spark, sf)).select(F.col("idx").alias("row_id"), "features")
+    W.write_split(S.biased_split(table, table.count() // 5, SEED), f"{folder}/split")
+    s = W.read_split(spark, f"{folder}/split")
+    weights = P.bagged_kmm(s.train, s.test, 2, SEED, tr_size=2, te_size=300, te_count=3)
+    W.append_report(scaled_nmse(V.nmse(V.align_truth(weights, s.train))), f"{folder}/report")
+    return spark.read.schema("rows long, nmse double").json(f"{folder}/report")
+
+
+
 def q_compare_methods(spark, sf):
     return scaled_nmse(Y.compare_methods(split_of(spark, sf, "part", 2), 2, 5, SEED), "method")
 

@@ -221,7 +221,7 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["kmm_whole_two"] = f"""{pair}, {s.whole('tb', 'te_bag', 'te')}, {s.pairs()}, {two_rows(s.GLOBAL)}
         SELECT row_id, round(beta, 6) AS beta FROM w"""
     out["kmm_whole"] = "SELECT count(*) // 5 AS n, TRUE AS feasible, TRUE AS converged FROM part"
-    out["kmm_whole_iterated"] = "SELECT count(*) // 5 AS n, TRUE AS feasible FROM supplier"
+    out["kmm_whole_iterated"] = "SELECT count(*) // 5 AS n, TRUE AS feasible, TRUE AS converged, TRUE AS optimum FROM supplier"
 
     out["mean_weights"] = "SELECT l_orderkey AS row_id, round(avg(l_quantity), 6) AS beta FROM lineitem GROUP BY 1"
     shared = "SELECT row_id, round(sum(beta * nte) / (SELECT n FROM nte), 6) AS beta FROM w GROUP BY 1"
@@ -261,9 +261,26 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
         a AS (SELECT row_id, avg(beta) AS beta FROM w GROUP BY 1),
         j AS (SELECT beta / sum(beta) OVER () AS sb, true_beta / sum(true_beta) OVER () AS st FROM a JOIN tr USING (row_id))
         SELECT 'bagged' AS method, 2 AS mode, (SELECT n FROM ntr) AS train_rows, (SELECT n FROM nte) AS test_rows,
-          2::BIGINT AS tr_bag_size, {half} AS tr_bags, 300::BIGINT AS te_bag_size, 3::BIGINT AS te_bags, TRUE AS timed,
+          2::BIGINT AS tr_bag_size, {half} AS tr_bags, 300::BIGINT AS te_bag_size, 3::BIGINT AS te_bags, (SELECT n % 2 FROM ntr) AS train_left_out, 0::BIGINT AS test_left_out, TRUE AS timed,
           round(avg((sb-st)*(sb-st)) * (SELECT n FROM ntr) * (SELECT n FROM ntr), 4) AS nmse FROM j"""
 
+    def two_stats(method: str, cut: str, te_size: str, te_bags: str, left: str) -> str:
+        return f"""{pair}, {cut}, {s.pairs()}, {two_rows(s.GLOBAL)}, a AS (SELECT row_id, avg(beta) AS beta FROM w GROUP BY 1),
+        j AS (SELECT beta / sum(beta) OVER () AS sb, true_beta / sum(true_beta) OVER () AS st FROM a JOIN tr USING (row_id))
+        SELECT '{method}' AS method, 2::BIGINT AS train_rows, (SELECT n FROM nte) AS test_rows, 2::BIGINT AS tr_bag_size,
+          1::BIGINT AS tr_bags, {te_size} AS te_bag_size, {te_bags}::BIGINT AS te_bags, 0::BIGINT AS train_left_out,
+          {left} AS test_left_out, TRUE AS timed, round(avg((sb-st)*(sb-st)) * 4, 4) AS nmse FROM j"""
+
+    third = "(SELECT n // 3 FROM nte)"
+    out["run_stats_whole"] = two_stats("whole", s.whole("tb", "te_bag", "te"), "(SELECT n FROM nte)", "1", "0::BIGINT")
+    out["run_stats_test_ensemble"] = two_stats("test_ensemble", s.cut("tb", "te_bag", "te", third, "3"), third, "3", "(SELECT n % 3 FROM nte)")
+    # Rows of the file are numbered from 0 in the order of event_id.
+    numbered = s.split("events").replace(s.base("events"), s.base("events").replace("event_id AS row_id", "row_number() OVER (ORDER BY event_id) - 1 AS row_id"))
+    out["file_to_report"] = f"""WITH {numbered}, {s.cut('dr', 'tr_bag', 'tr', '2', half)}, {te_boot}, {s.pairs()}, {two_rows(s.OWN)},
+        a AS (SELECT row_id, avg(beta) AS beta FROM w GROUP BY 1),
+        j AS (SELECT beta / sum(beta) OVER () AS sb, true_beta / sum(true_beta) OVER () AS st FROM a JOIN tr USING (row_id))
+        SELECT count(*) AS "rows", round(avg((sb-st)*(sb-st)) * count(*) * count(*), 5) AS nmse FROM j"""
+
     # Methods on a two-row train: each is its own closed-form problem set, so each gets its own statement part.
     def methods(te_split: str, tr_split: str, boot: str, keys: str = "") -> dict[str, str]:
         wt = s.whole("tb", "te_bag", "te")
