@@ -191,6 +191,15 @@ def random_disjoint(
     return Bags(placed.drop("rep"), chunks * reps, size, n, width, cycle=chunks)
 
 
+def cut_bags(bags: Bags, size: int, seed: int, *, tag: str = "part") -> Bags:
+    """Every bag, all of them full, cut again into random chunks that cover its rows, in one shuffle."""
+    chunks = -(-bags.size // size)
+    rows = bags.df.drop("idx", "pos").withColumnRenamed("bag_id", "rep")
+    mixed = shuffle_index(rows, uniform(tag, seed, "rep", "row_id"), bags.size, rep="rep", reps=bags.count)
+    placed = _place(mixed, size, "rep").withColumn("bag_id", F.col("bag_id") + F.col("rep") * chunks)
+    return Bags(placed.drop("rep"), chunks * bags.count, size, bags.size, bags.width, cycle=chunks)
+
+
 def coverage_count(n: int, eps: float, size: int) -> int:
     """Bootstrap bags of `size` needed so that a given row is in none with probability at most eps."""
     if n == 1:

@@ -1,5 +1,7 @@
 """Whole weighting jobs: from a train and a test table to one weight per training row."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from reweight.operators.bags import (
     Bags,
     bag_strategy,
     cartesian_pairs,
+    cut_bags,
     partition_bags,
     random_disjoint,
     resolve_bags,
@@ -95,13 +98,23 @@ test_ensemble_kmm.__test__ = False
 
 
 def _split_parts(tr: Bags, te: Bags, chunk: int, seed: int, gamma: float) -> DataFrame:
-    """Parts cut again into random chunks: share-weighted sum inside a part, then the mean over parts."""
-    total = None
-    for part in range(te.count):
-        rows = min(te.size, te.total - part * te.size)
-        own = te.df.where(F.col("bag_id") == part).select("row_id", "features")
-        cut = random_disjoint(own, chunk, seed, rows, tag=f"part-{part}", width=te.width)
-        pairs = cartesian_pairs(own.sparkSession, 1, cut.count)
-        one = share_weights(bag_weights(tr, cut, pairs, gamma, n_pairs=cut.count), cut, "row_id")
-        total = one if total is None else total.unionByName(one)
-    return mean_weights(total)
+    """Parts cut again into random chunks: share-weighted sum inside a part, then the mean over parts.
+
+    All full parts are one job, keyed by part; a shorter last part has chunks of other sizes and is a second one.
+    """
+    spark = te.df.sparkSession
+    full = min(te.count, te.total // te.size)
+    by_part = []
+    if full:
+        whole = Bags(te.df.where(F.col("bag_id") < full), full, te.size, full * te.size, te.width)
+        cut = cut_bags(whole, chunk, seed)
+        rows = bag_weights(tr, cut, cartesian_pairs(spark, 1, cut.count), gamma, n_pairs=cut.count)
+        share = cut.rows("te_bag") / F.lit(float(te.size))
+        part = F.floor(F.col("te_bag") / cut.cycle).alias("part")
+        by_part.append(rows.groupBy(part, "row_id").agg(F.sum(share * F.col("beta")).alias("beta")).select("row_id", "beta"))
+    if full < te.count:
+        own = te.df.where(F.col("bag_id") == full).select("row_id", "features")
+        cut = random_disjoint(own, chunk, seed, te.total - full * te.size, tag="part-last", width=te.width)
+        rows = bag_weights(tr, cut, cartesian_pairs(spark, 1, cut.count), gamma, n_pairs=cut.count)
+        by_part.append(share_weights(rows, cut, "row_id"))
+    return mean_weights(reduce(DataFrame.unionByName, by_part))

@@ -226,6 +226,22 @@ def test_test_ensemble_with_chunked_parts(train, test):
     assert max(abs(whole[i] - (parts[0][i] + parts[1][i]) / 2) for i in range(40)) < 1e-7
 
 
+def test_chunked_parts_by_definition(train, test):
+    """Parts of 40 rows in chunks of 15, and the last 10 rows a part of their own."""
+    got = weights(P.test_ensemble_kmm(train, test, 3, te_size=40, te_count=6))
+    te = B.partition_bags(test, 40, 6, 90)
+    full = B.cut_bags(B.Bags(te.df.where("bag_id < 2"), 2, 40, 80, 2), 15, 3)
+    chunks = [(r.bag_id // 3, r.row_id - 1000) for r in full.df.orderBy("bag_id", "pos").collect()]
+    ids = [r.bag_id for r in full.df.orderBy("bag_id", "pos").collect()]
+    assert sorted(i for _, i in chunks) == list(range(80)) and all(i // 40 == p for p, i in chunks)
+    total = np.zeros(40)
+    for bag in range(6):
+        rows = [i for b, (_, i) in zip(ids, chunks) if b == bag]
+        total += direct(X, Z[rows]) * len(rows) / 40
+    total += direct(X, Z[80:])
+    assert max(abs(got[i] - total[i] / 3) for i in range(40)) < 1e-7
+
+
 def test_nmse_by_definition(spark):
     rows = [(i, float(b), float(t)) for i, (b, t) in enumerate(RNG.uniform(0.5, 4, size=(30, 2)))]
     df = spark.createDataFrame(rows, "row_id long, beta double, true_beta double")
