@@ -504,9 +504,13 @@ def q_bagged_kmm(mode):
 
 
 def flagship(spark, sf):
-    """Biased split, bootstrap train bags against test partitions, mean weight per row next to the truth."""
+    """Biased split, bootstrap train bags against test partitions, mean weight per row next to the truth.
+
+    As many bags as it takes to leave a row out with a chance of 1 %.
+    """
     s = split_of(spark, sf, "orders")
-    w = P.bagged_kmm(s.train, s.test, 1, SEED, tr_size=100, tr_count=10, te_count=4, **how(s))
+    bags = B.coverage_count(s.train_rows, Y.COVERAGE_EPS, 100)
+    w = P.bagged_kmm(s.train, s.test, 1, SEED, tr_size=100, tr_count=bags, te_count=4, **how(s))
     return V.align_truth(w, s.train)
 
 

@@ -248,7 +248,8 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     }
     for mode, (dr, tb, pr) in modes.items():
         out[f"bagged_kmm_{mode}"] = f"WITH {s.split('part')}, {dr}, {tb}, {pr}, {two_rows(s.OWN)} {mean}"
-    out["flagship"] = f"""WITH {s.split('orders')}, {s.boot('dr', 'tr_bag', 'tr', '100', '10', 'boot-train')}
+    covered = "(SELECT ceil(log10(0.01e0) / (100 * log10(1 - 1e0 / n)))::BIGINT FROM ntr)"
+    out["flagship"] = f"""WITH {s.split('orders')}, {s.boot('dr', 'tr_bag', 'tr', '100', covered, 'boot-train')}
         SELECT row_id, round(true_beta, 4) AS true_beta, TRUE AS weighted FROM tr WHERE row_id IN (SELECT row_id FROM dr)"""
     out["bagged_kmm_orders"] = f"""WITH {s.split('orders')} SELECT row_id, TRUE AS feasible FROM tr WHERE idx < (SELECT n // 100 * 100 FROM ntr)"""
     out["test_ensemble_kmm"] = f"""{pair}, {s.cut('tb', 'te_bag', 'te', '(SELECT n // 3 FROM nte)', '3')}, {s.pairs()}, {two_rows(s.GLOBAL)} {mean}"""
