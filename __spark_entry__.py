@@ -201,6 +201,16 @@ def q_mean_vector(spark, sf):
     return T.mean_vector(vectors(spark, sf)).select("pos", *r6("mean"))
 
 
+def q_mean_vector_sparse(spark, sf):
+    return T.mean_vector(entries_of(spark, sf)).select("pos", *r6("mean"))
+
+
+def q_biased_split_sparse(spark, sf):
+    """A split of sparse rows, none of which is filled."""
+    df = entries_of(spark, sf)
+    return split_out(S.biased_split(df, df.count() // 5, SEED))
+
+
 def q_sq_distance(spark, sf):
     d2 = sq_distance("features", F.reverse("features"))
     return vectors(spark, sf).select("row_id", F.round(d2, 6).alias("d2"))

@@ -223,6 +223,16 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["kmm_whole"] = "SELECT count(*) // 5 AS n, TRUE AS feasible, TRUE AS converged FROM part"
     out["kmm_whole_iterated"] = "SELECT count(*) // 5 AS n, TRUE AS feasible, TRUE AS converged, TRUE AS optimum FROM supplier"
 
+    sparse = f"""WITH e AS (SELECT vec_id AS row_id, unnest(range(64)) AS pos, greatest(unnest(embedding)::DOUBLE, 0e0) AS v FROM embeddings),
+        m AS (SELECT pos, avg(v) AS mean FROM e GROUP BY 1)"""
+    out["mean_vector_sparse"] = f"{sparse} SELECT pos::INT AS pos, round(mean, 6) AS mean FROM m WHERE mean > 0"
+    out["biased_split_sparse"] = f"""{sparse}, ds AS (SELECT row_id, sum((v-mean)*(v-mean)) AS d2 FROM e JOIN m USING (pos) GROUP BY 1),
+        sd AS (SELECT stddev_pop(d2) AS std FROM ds),
+        rk AS (SELECT row_id, exp(d2/std) AS true_beta,
+                 row_number() OVER (ORDER BY ln(-ln({u('clock', seed, 'row_id')})) + d2/std, row_id) AS rn FROM ds, sd)
+        SELECT row_id, CASE WHEN rn <= (SELECT count(*) // 5 FROM ds) THEN 'train' ELSE 'test' END AS side,
+          CASE WHEN rn <= (SELECT count(*) // 5 FROM ds) THEN round(true_beta, 4) END AS true_beta FROM rk"""
+
     out["mean_weights"] = "SELECT l_orderkey AS row_id, round(avg(l_quantity), 6) AS beta FROM lineitem GROUP BY 1"
     shared = "SELECT row_id, round(sum(beta * nte) / (SELECT n FROM nte), 6) AS beta FROM w GROUP BY 1"
     mean = " SELECT row_id, round(avg(beta), 6) AS beta FROM w GROUP BY 1"
