@@ -64,7 +64,8 @@ def level(symbols: np.ndarray, names: np.ndarray, doc: np.ndarray, size: np.ndar
     first[1:] = d[1:] != d[:-1]
     label = tossed(tossed(s, first), first)  # below 14
     begin = first.copy()
-    begin[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
+    # The last symbol of a text never begins a block of its own, whatever text stands behind it.
+    begin[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~first[2:]
     at = np.flatnonzero(begin)
     place = np.arange(len(s)) - np.repeat(at, np.diff(np.append(at, len(s))))
     block = np.add.reduceat(mix(name + PLACES[place & 63]), at)
@@ -184,6 +185,8 @@ def next_texts(docs: DataFrame) -> DataFrame:
     splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
 
     def cut(df):
+        if len(splits) < 3:
+            return df.withColumn("own", F.lit(0))
         cutter = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="error")
         return cutter.transform(df.withColumn("__x", F.col("at").cast("double"))).withColumn("own", F.col("__b").cast("int")).drop("__x", "__b")
 
