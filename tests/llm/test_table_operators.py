@@ -226,6 +226,30 @@ def test_passages(spark, documents, edge_rows):
     assert passages.repeated_passages(documents([])).count() == 0
 
 
+def test_exact_passage_of_frequent_lines(spark, documents):
+    """Every seed of the passage is frequent in texts that do not hold it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    lines = [" ".join(word() for _ in range(13)) for _ in range(24)]
+    mixed = lambda: rng.sample(lines, 24)
+    # 49 + 1 words: four lines but two words, and no more in common on either side.
+    held = " ".join(lines[:4]).split()[2:]
+    with_it = lambda: " ".join([word() for _ in range(10)] + held + [word() for _ in range(10)] + mixed())
+    holders = {i: with_it() for i in (3, 77, 150, 222, 290)}
+    rows = [(i, holders.get(i) or " ".join(mixed()), "s") for i in range(300)]
+    got = passages.query(spark, documents(rows)).collect()
+    linked = defaultdict(set)
+    for r in got:
+        if r.doc_a in holders and r.doc_b in holders and r.a_start <= 10 and r.b_start <= 10:
+            linked[r.doc_a].add(r.doc_b), linked[r.doc_b].add(r.doc_a)
+    seen, todo = {3}, [3]
+    while todo:
+        new = linked[todo.pop()] - seen
+        seen |= new
+        todo += new
+    assert seen == set(holders)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
