@@ -250,6 +250,31 @@ def test_exact_passage_of_frequent_lines(spark, documents):
     assert seen == set(holders)
 
 
+def test_passages_with_mixed_edits(spark, documents):
+    """Replaced, inserted and deleted words, about one in eight, anywhere in 60 to 120 words."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    text = lambda n: [word() for _ in range(n)]
+    rows, n = [], 0
+    while n < 30:
+        one = text(60 + 20 * (n % 4))
+        other = []
+        for w in one:
+            kind = rng.random()
+            other += [w] if kind > 0.12 else [word()] if kind > 0.08 else [word(), w] if kind > 0.04 else []
+        cost = passages.edits(one, other)
+        if len(other) >= 50 and cost >= len(one) // 12 and 1 - cost / max(len(one), len(other)) >= 0.8:
+            rows += [(2 * n, " ".join(text(80) + one + text(90)), "s"), (2 * n + 1, " ".join(text(70) + other + text(100)), "s")]
+            n += 1
+    got = passages.query(spark, documents(rows)).collect()
+    assert all(r.doc_a // 2 == r.doc_b // 2 for r in got)
+    assert len({r.doc_a // 2 for r in got}) >= 28
+    words = {i: t.split() for i, t, _ in rows}
+    for r in got:
+        x, y = words[r.doc_a][r.a_start : r.a_end], words[r.doc_b][r.b_start : r.b_end]
+        assert min(len(x), len(y)) >= 50 and r.edits == passages.edits(x, y) and r.identity >= 0.8
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
