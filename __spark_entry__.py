@@ -597,6 +597,56 @@ def q_file_to_report(spark, sf):
 
 
 
+def feasible(rows: DataFrame, n: int) -> DataFrame:
+    """Means of feasible weights are feasible; a bag that misses its optimum is an error of the solver."""
+    total = F.sum("beta").between(n**0.5 - 1e-6, 2 * n - n**0.5 + 1e-6)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("ids"), (total & (F.min("beta") >= 0)).alias("feasible"))
+
+
+def q_test_split_weights_table(spark, sf):
+    s = split_of(spark, sf, "part")
+    return feasible(E.test_split_weights(s.train, s.test, s.test_rows // 4, SEED, **how(s)), s.train_rows)
+
+
+def q_test_ensemble_kmm_table(spark, sf):
+    s = split_of(spark, sf, "part")
+    return feasible(P.test_ensemble_kmm(s.train, s.test, SEED, te_count=3, **how(s)), s.train_rows)
+
+
+def stats_of_table(spark, sf, method, **shape):
+    """The default fifth as train: what was counted, and a score within its range."""
+    s = split_of(spark, sf, "part")
+    row = Y.run_stats(s, method, SEED, **shape)
+    return row.select("train_rows", ((F.col("nmse") > 0) & (F.col("nmse") < 1)).alias("scored"))
+
+
+def q_run_stats_whole_table(spark, sf):
+    return stats_of_table(spark, sf, "whole")
+
+
+def q_run_stats_test_ensemble_table(spark, sf):
+    return stats_of_table(spark, sf, "test_ensemble", te_count=3)
+
+
+def q_compare_methods_table(spark, sf):
+    s = split_of(spark, sf, "part")
+    rows = Y.compare_methods(s, s.train_rows // 4, 5, SEED)
+    return rows.select("method", ((F.col("nmse") > 0) & (F.col("nmse") < 1)).alias("scored"))
+
+
+def q_bagged_kmm_table(mode):
+    """As many test bags of 300 rows as the test table has, whatever its size; smaller bags on tables smaller than one."""
+
+    def run(spark, sf):
+        s = split_of(spark, sf, "part")
+        size = min(300, s.test_rows)
+        shape = {"tr_size": min(50, s.train_rows), "te_size": size, "te_count": -(-s.test_rows // size)}
+        w = P.bagged_kmm(s.train, s.test, mode, SEED, **shape, **how(s))
+        return w.agg((F.count(F.lit(1)) > 0).alias("weighted"), (F.min("beta") >= 0).alias("feasible"), (F.count(F.lit(1)) == F.countDistinct("row_id")).alias("once"))
+
+    return run
+
+
 def q_compare_methods(spark, sf):
     return scaled_nmse(Y.compare_methods(split_of(spark, sf, "part", 2), 2, 5, SEED), "method")
 
@@ -631,9 +681,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {k[2:]: v for k, v in globals().items() if k.startswith("q_") and k not in ("q_bag_strategy", "q_bagged_kmm")}
+    named = {k[2:]: v for k, v in globals().items() if k.startswith("q_") and k not in ("q_bag_strategy", "q_bagged_kmm", "q_bagged_kmm_table")}
     named |= {f"bag_strategy_{m}": q_bag_strategy(m) for m in (1, 2, 3, 4)}
     named |= {f"bagged_kmm_{m}": q_bagged_kmm(m) for m in (1, 2, 3, 4)}
+    named |= {f"bagged_kmm_{m}_table": q_bagged_kmm_table(m) for m in (2, 3, 4)}
     if HAS_LLM:
         import corpus_pipeline
         from reweight.llm import registry

@@ -30,3 +30,13 @@ def test_query_equals_sql(spark, name):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry_module.oracle_sql()[name]})").fetchall()
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted((tuple(r) for r in df.select(cols).collect()), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("name", ["test_split_weights_table", "test_ensemble_kmm_table", "run_stats_whole_table", "run_stats_test_ensemble_table", "compare_methods_table", "bagged_kmm_2_table", "bagged_kmm_3_table", "bagged_kmm_4_table"])
+def test_whole_train_tables(spark, name):
+    """A fifth of part as train; without SQL, so bounds and counts."""
+    rows = [r.asDict() for r in entry_module.queries()[name](spark, FOLDER).collect()]
+    n = spark.read.parquet(f"{FOLDER}/part.parquet").count() // 5
+    assert rows
+    for r in rows:
+        assert all(v for v in r.values()) and r.get("n", n) == r.get("ids", n) == r.get("train_rows", n) == n
