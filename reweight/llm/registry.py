@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import reweight
-from reweight.llm import mixing, neighbours, packing, parsing, passages, pii, simhash, slots, tokens, toxicity
+from reweight.llm import audit, mixing, neighbours, packing, parsing, passages, pii, simhash, slots, tokens, toxicity
 
 
 def over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,8 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": over(toxicity.query, "documents", "labels"),
         "op9_packing": over(packing.query, "documents"),
         "op10_virtual_slots": over(slots.query, "documents"),
+        "op11_filter_audit": over(audit.query, "documents", "labels"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.sql()}
+    return {"op5_source_mixing": mixing.sql(), "op11_filter_audit": audit.sql()}
