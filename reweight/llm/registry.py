@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import reweight
-from reweight.llm import audit, mixing, neighbours, packing, parsing, passages, pii, simhash, slots, tokens, toxicity, variants
+from reweight.llm import audit, interpolation, mixing, neighbours, packing, parsing, passages, pii, simhash, slots, tokens, toxicity, variants
 
 
 def over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": over(packing.query, "documents"),
         "op10_virtual_slots": over(slots.query, "documents"),
         "op11_filter_audit": over(audit.query, "documents", "labels"),
+        "op12_interpolated_scores": over(interpolation.query, "documents"),
         "op13_spelling_variants": over(variants.query, "documents"),
     }
 
