@@ -4,6 +4,7 @@ the context with weights that expectation maximisation learns on documents set a
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +15,19 @@ from reweight.llm.parsing import mix
 END, START = 0, 1
 # Frequent words and pairs that are broadcast at most. A place among the words takes BITS bits, START's included.
 HOT_WORDS = 1 << 20
-HOT_PAIRS = 1 << 20
+HOT_PAIRS = 1 << 18
 BITS = 21
 NONE = (1 << BITS) - 1
 # Tokens that a task counts, and that it cuts into pairs, before it hands them on; pairs in a task of the matching.
-COUNTED = 4_000_000
-CUT = 2_000_000
+COUNTED = 2_000_000
+CUT = 750_000
 MATCHED = 4_000_000
 # Pairs of one packed row with counts.
-PIECE = 400_000
+PIECE = 100_000
+# Parts of a bucket that are counted one after the other, which bounds what sorting them takes.
+LAYERS = 4
 # Words whose names a task remembers.
-CACHE = 500_000
+CACHE = 250_000
 # Documents by their part in the learning.
 HELD_OUT, KEPT, ASIDE = 0, 1, 2
 # Rounds of expectation maximisation at most, the change of a weight that ends them, and a share that every weight keeps.
@@ -126,15 +129,19 @@ def frequent(table: DataFrame, most: int) -> int:
 
 
 class Hot:
-    """Frequent words in the order of their names, with training and kept counts, and frequent pairs of them."""
+    """Frequent words, the most frequent first, with training and kept counts, and frequent pairs of them."""
 
     def __init__(self, names, c, r, left, right):
         order = np.argsort(names)
-        self.names, self.c, self.r = names[order], np.append(c[order], 0), np.append(r[order], 0)
+        self.names = names[order]
+        place = np.argsort(-c[order], kind="stable")
+        self.rank = np.empty(len(names), np.int32)
+        self.rank[place] = np.arange(len(names), dtype=np.int32)
+        self.c, self.r = np.append(c[order][place], 0), np.append(r[order][place], 0)
         # START is as frequent as END, which is among the words always.
-        end = int(np.searchsorted(self.names, np.uint64(END)))
+        end = self.places(np.array([END], np.uint64))
         self.start = len(names)
-        self.c[-1], self.r[-1] = self.c[end], self.r[end]
+        self.c[-1], self.r[-1] = self.c[end[0]], self.r[end[0]]
         a, b = self.places(left), self.places(right)
         a[left == START] = self.start
         known = (a >= 0) & (b >= 0)
@@ -143,7 +150,7 @@ class Hot:
     def places(self, names: np.ndarray) -> np.ndarray:
         """Places of names among the frequent words, -1 for others."""
         at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, at, -1)
+        return np.where(self.names[at] == names, self.rank[at], -1).astype(np.int64)
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,12 +158,12 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane, so that equal high bytes stand together and compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers byte plane by byte plane, so that equal high bytes stand together, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 # What the cutting hands to the matching: documents; pairs of frequent words; pairs that end in a rare word; pairs that begin
@@ -266,25 +273,29 @@ class Pairs:
         empty = np.zeros(0, np.uint64)
         sizes = np.concatenate([numbers(y) for _, y, _, _ in rows] or [empty])
         self.rids = np.concatenate([np.frombuffer(x, "<i8") for x, _, _, _ in rows] or [empty.astype(np.int64)])
-        self.sizes, roles = (sizes >> np.uint64(2)).astype(np.int64), (sizes & np.uint64(3)).astype(np.int8)
-        self.role = np.repeat(roles, self.sizes)
+        sizes, roles = (sizes >> np.uint64(2)).astype(np.int64), (sizes & np.uint64(3)).astype(np.int8)
+        self.doc, self.role = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.repeat(roles, sizes)
         self.z = np.concatenate([numbers(z) for _, _, z, _ in rows] or [empty])
-        self.t = np.concatenate([numbers(t) for _, _, _, t in rows] or [empty]).astype(np.int64)
+        self.t = np.concatenate([numbers(t).astype(np.int32) for _, _, _, t in rows] or [np.zeros(0, np.int32)])
 
     def totals(self, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per pair: occurrences of its key in training and in kept documents."""
-        order = np.argsort(key, kind="stable")
-        if not len(order):
-            return order, order
-        first = np.concatenate([[True], np.diff(key[order]) != 0])
-        group = np.cumsum(first) - 1
-        out = []
-        for x in (self.role != HELD_OUT, self.role == KEPT):
-            sums = np.bincount(group, np.where(x, times, 0)[order])
-            own = np.empty(len(order), np.int64)
-            own[order] = sums[group].astype(np.int64)
-            out.append(own)
-        return out[0], out[1]
+        c, r = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        layer = (mix(key) >> np.uint64(40)).astype(np.uint8) % LAYERS
+        for i in range(LAYERS):
+            own = np.flatnonzero(layer == i)
+            if not len(own):
+                continue
+            own = own[np.argsort(key[own], kind="stable")]
+            group = np.cumsum(np.concatenate([[True], np.diff(key[own]) != 0])) - 1
+            role, n = self.role[own], times[own]
+            c[own] = np.bincount(group, n * (role != HELD_OUT))[group]
+            r[own] = np.bincount(group, n * (role == KEPT))[group]
+        return c, r
+
+    def pieces(self):
+        """Runs of pairs of bounded length."""
+        return [slice(s, s + PIECE) for s in range(0, len(self.z), PIECE)]
 
 
 def developed(aside: np.ndarray, times, pair, context, word):
@@ -297,19 +308,15 @@ def developed(aside: np.ndarray, times, pair, context, word):
     return rows_of(len(n), kind=[DEV] * len(n), rid=kinds[:, 0], doc_id=kinds[:, 1], p=kinds[:, 2], q=n)
 
 
-def counted(pairs: Pairs, keep: np.ndarray, times, pair, context, word, base=None, known=None):
-    """Pairs with their three training counts in packed rows, and what rare words add to their documents."""
-    doc = np.repeat(np.arange(len(pairs.sizes)), pairs.sizes)
-    for s in range(0, len(doc), PIECE):
-        part = slice(s, s + PIECE)
-        own, at = np.unique(doc[part], return_inverse=True)
-        some = keep[part]
-        extra = np.zeros((2, len(own)))
-        if base is not None:
-            extra = np.stack([np.bincount(at, v[part], len(own)) for v in (base, known)])
-        four = np.concatenate([v[part][some] for v in (pair, context, word, times)])
-        sizes = np.bincount(at[some], minlength=len(own))
-        yield rows_of(1, kind=[FREQUENT], x=[pairs.rids[own].tobytes()], y=[planes(sizes)], z=[planes(four)], t=[extra.tobytes()])
+def counted(pairs: Pairs, part: slice, keep, times, pair, context, word, base=None, known=None):
+    """A run of pairs with their three training counts as a packed row, and what rare words add to their documents."""
+    own, at = np.unique(pairs.doc[part], return_inverse=True)
+    extra = np.zeros((2, len(own)))
+    if base is not None:
+        extra = np.stack([np.bincount(at, v, len(own)) for v in (base, known)])
+    four = np.concatenate([v[keep] for v in (pair, context, word, times)])
+    sizes = np.bincount(at[keep], minlength=len(own))
+    return rows_of(1, kind=[FREQUENT], x=[pairs.rids[own].tobytes()], y=[planes(sizes)], z=[planes(four)], t=[extra.tobytes()])
 
 
 def matching(shared):
@@ -343,26 +350,27 @@ def matching(shared):
         if held[FREQUENT]:
             pairs = Pairs(held.pop(FREQUENT))
             c, r = pairs.totals(pairs.z, pairs.t)
-            a, b = split(pairs.z)
-            yield from counted(pairs, np.ones(len(c), bool), pairs.t, c, hot.c[a], hot.c[b])
-            yield developed(pairs.role == ASIDE, pairs.t, r, hot.r[a], hot.r[b])
-            del pairs, c, r, a, b
+            for part in pairs.pieces():
+                a, b = split(pairs.z[part])
+                yield counted(pairs, part, slice(None), pairs.t[part], c[part], hot.c[a], hot.c[b])
+                yield developed(pairs.role[part] == ASIDE, pairs.t[part], r[part], hot.r[a], hot.r[b])
+            del pairs, c, r
         ends, starts = Pairs(held[RARE_END]), Pairs(held[RARE_START])
-        ones = [np.ones(len(p.z), np.int64) for p in (ends, starts)]
-        word = ends.totals(ends.z, ones[0])
-        if len(ends.z):
-            c, r = ends.totals(mix(ends.z) + ends.t.astype(np.uint64), ones[0])
-            alone = ends.t != NONE
-            a = np.where(alone, ends.t, 0)
-            yield from counted(ends, alone, ones[0], c, hot.c[a], word[0], np.log10(word[0] + 1.0), word[0] > 0)
-            yield developed(alone & (ends.role == ASIDE), ones[0], r, hot.r[a], word[1])
-        if len(starts.z):
-            # Every occurrence of a rare word ends a pair in this bucket.
-            names, first = np.unique(ends.z, return_index=True)
-            at = first[np.searchsorted(names, starts.z)]
-            c, r = starts.totals(mix(starts.z) + starts.t.astype(np.uint64), ones[1])
-            yield from counted(starts, np.ones(len(c), bool), ones[1], c, word[0][at], hot.c[starts.t])
-            yield developed(starts.role == ASIDE, ones[1], r, word[1][at], hot.r[starts.t])
+        ones = np.ones(max(len(ends.z), len(starts.z)), np.int64)
+        word = ends.totals(ends.z, ones[: len(ends.z)])
+        c, r = ends.totals(mix(ends.z) + ends.t.astype(np.uint64), ones[: len(ends.z)])
+        for part in ends.pieces():
+            alone, n = ends.t[part] != NONE, ones[: len(ends.t[part])]
+            a, w = np.where(alone, ends.t[part], 0), word[0][part]
+            yield counted(ends, part, alone, n, c[part], hot.c[a], w, np.log10(w + 1.0), w > 0)
+            yield developed(alone & (ends.role[part] == ASIDE), n, r[part], hot.r[a], word[1][part])
+        # Every occurrence of a rare word ends a pair in this bucket.
+        names, first = np.unique(ends.z, return_index=True)
+        c, r = starts.totals(mix(starts.z) + starts.t.astype(np.uint64), ones[: len(starts.z)])
+        for part in starts.pieces():
+            at, b, n = first[np.searchsorted(names, starts.z[part])], starts.t[part], ones[: len(starts.t[part])]
+            yield counted(starts, part, slice(None), n, c[part], word[0][at], hot.c[b])
+            yield developed(starts.role[part] == ASIDE, n, r[part], word[1][at], hot.r[b])
 
     return run
 
@@ -451,7 +459,8 @@ def summing(weights: np.ndarray, total: int, distinct: int):
 
     def run(batches):
         for batch in batches:
-            for x, y, z, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                x, y, z, t = (c[i].as_py() for c in batch.columns)
                 rids, sizes = np.frombuffer(x, "<i8"), numbers(y).astype(np.int64)
                 pair, context, word, times = numbers(z).astype(float).reshape(4, -1)
                 base, known = np.frombuffer(t).reshape(2, -1)
