@@ -37,14 +37,14 @@ def gram_stack(x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
 def kernel_dot(x: np.ndarray, z: np.ndarray, w: np.ndarray | None, gamma: float) -> np.ndarray:
     """For each row of x: the w-weighted sum of exp(-gamma * squared distance) over the rows of z.
 
-    The exponent is one matrix product of widened vectors, around a common centre so that it keeps its digits.
+    `w` may have several columns, each with weights of its own; so has the result then. The exponent is one matrix product of widened vectors, around a common centre so that it keeps its digits.
     """
     centre = z.mean(0)
     x, z = x - centre, z - centre
     xx, zz = -gamma * (x * x).sum(1, keepdims=True), -gamma * (z * z).sum(1, keepdims=True)
     left = np.hstack([2.0 * gamma * x, xx, np.ones_like(xx)])
     right = np.hstack([z, np.ones_like(zz), zz]).T
-    out = np.empty(len(x))
+    out = np.empty((len(x), *(() if w is None else w.shape[1:])))
     step = max(1, SLICE_CELLS // len(z))
     for lo in range(0, len(x), step):
         k = left[lo : lo + step] @ right

@@ -1,18 +1,20 @@
-"""One large bag problem as a distributed interior-point iteration on a low-rank factor of its Gram matrix.
+"""Problems of one large train bag as one distributed interior-point iteration on a low-rank factor of its Gram matrix.
 
 A Gaussian Gram matrix of many rows has, to machine precision, far fewer independent columns than rows. Pivot rows
 are collected until the part of every row that they do not explain is below a tolerance; then each step of the same
 primal-dual barrier that solves small bags needs sums over the rows of the size of the pivots, and one small linear
-system on the driver. The number of steps does not grow with the rows.
+system per problem, solved in a task. Problems that differ in their linear term only, one per test bag, share the factor
+and step together: a block of rows evaluates its factor once a pass for all of them. The number of steps does not grow
+with the rows, and hardly with the problems.
 """
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reweight.functions.dense import sq_dists
@@ -26,10 +28,12 @@ CANDIDATES = 64
 UNEXPLAINED = 1e-11
 MAX_STEPS = 120
 GAP = 1e-12
+# Numbers in the square matrices of all problems that step together, which is what a task holds of them.
+SYSTEM_CELLS = 2**24
 
 STATE = (
     "blk int, poss array<int>, row_ids array<long>, x array<double>, kappa array<double>, b array<double>, z0 array<double>, "
-    "z1 array<double>, db array<double>, dz0 array<double>, dz1 array<double>, top double, fb array<double>, fdb array<double>"
+    "z1 array<double>, db array<double>, dz0 array<double>, dz1 array<double>, tops array<double>"
 )
 
 
@@ -111,136 +115,246 @@ def low_rank(blocks: DataFrame, width: int, gamma: float) -> Factor:
         factor = factor_of(points, gamma)
 
 
-def moved(r, step: float):
-    """A block's weights and multipliers after the step that its row proposes."""
-    return r.b + step * r.db, r.z0 + step * r.dz0, r.z1 + step * r.dz1
+@dataclass
+class Problem:
+    """What the driver knows of one problem: slack and multiplier of the bounds of the sum, and its next move."""
+
+    at: int
+    lower: list[float]
+    upper: list[float]
+    scale: float
+    u: np.ndarray  # the factor's product with the weights
+    w: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    nu: float = 0.0
+    goal: float = 0.0
+    step: float = 0.0
+    damp: float = 0.1
+    steps: int = 0
+    done: bool = False
+
+    @property
+    def bound(self) -> float:
+        return self.upper[1] - self.lower[1]
+
+    def turn(self, sums: "Sums", rows: int) -> None:
+        """The next direction from the sums at the present weights, or the end."""
+        s = sums.s
+        gap = (s[3] + self.lower[0] * self.lower[1] + self.upper[0] * self.upper[1]) / (2 * rows + 2)
+        if self.steps >= MAX_STEPS or (gap <= GAP * self.scale and math.sqrt(s[5]) <= 1e-7 * self.scale):
+            self.done = True
+            return
+        self.goal = goal = self.damp * gap
+        w1, w2 = sums.x[:, 0] + goal * sums.x[:, 1], sums.x[:, 2]
+        sum_p, sum_q = s[0] + goal * s[1] - sums.g[2, 0] - goal * sums.g[2, 1], s[2] - sums.g[2, 2]
+        weight = self.lower[1] * self.upper[0] + self.upper[1] * self.lower[0]
+        soft, shift = self.lower[0] * self.upper[0] / weight, goal * (self.upper[0] - self.lower[0]) / weight
+        self.nu = (sum_p - shift) / (sum_q + soft)
+        self.w = w1 - self.nu * w2
+        move = self.nu * soft + shift
+        self.ends = [
+            [move, goal / self.lower[0] - self.lower[1] - self.lower[1] / self.lower[0] * move],
+            [-move, goal / self.upper[0] - self.upper[1] + self.upper[1] / self.upper[0] * move],
+        ]
+        self.exact = sums.u
+
+    def go(self, room: float) -> None:
+        """The step, once it is known how far all rows can go. The factor's product with the direction is w itself."""
+        pairs = list(zip((self.lower, self.upper), self.ends))
+        room = min([room, *(-x / d for pair, ds in pairs for x, d in zip(pair, ds) if d < 0)])
+        self.step = min(1.0, 0.995 * room)
+        self.u = self.exact + self.step * self.w
+        for pair, ds in pairs:
+            pair[0], pair[1] = pair[0] + self.step * ds[0], pair[1] + self.step * ds[1]
+        self.damp = 0.02 if self.step > 0.9 else 0.2 if self.step > 0.5 else 0.6
+        self.steps += 1
+
+
+@dataclass
+class Sums:
+    """Sums over all rows of one problem: solutions x of its linear system, products g of them with its right sides,
+    single sums s, and the factor's product u with the weights."""
+
+    x: np.ndarray
+    g: np.ndarray
+    s: np.ndarray
+    u: np.ndarray
+
+    @staticmethod
+    def unpack(raw: bytes, rank: int) -> "Sums":
+        x, g, s, u = np.split(np.frombuffer(raw), np.cumsum([3 * rank, 9, 6]))
+        return Sums(x.reshape(rank, 3), g.reshape(3, 3), s, u)
+
+
+def moved(r, part: slice, step: float):
+    """A block's weights and multipliers of one problem after the step that its row proposes."""
+    return r.b[part] + step * r.db[part], r.z0[part] + step * r.dz0[part], r.z1[part] + step * r.dz1[part]
+
+
+def system(shared, todo: list[Problem], width: int):
+    """Per task and problem: the sums of the barrier's linear system, and how far the state is from optimal."""
+    asked = [(p.at, p.u, p.step, p.bound) for p in todo]
 
-
-def total(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of one array per task; above a few tasks they are added up in between."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(size)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factor = shared.value
+        n = factor.root.shape[1]
+        m, v, s, u = (np.zeros((len(asked), *shape)) for shape in ((n, n), (n, 3), (6,), (n,)))
+        some = False
         for pdf in batches:
-            for raw in pdf["raw"]:
-                out += np.frombuffer(raw)
-        yield pd.DataFrame({"raw": [out.tobytes()]})
+            for r in pdf.itertuples():
+                some = True
+                f = factor.rows(r.x.reshape(-1, width))
+                for k, (at, product, step, bound) in enumerate(asked):
+                    part = slice(at * len(f), (at + 1) * len(f))
+                    b, z0, z1 = moved(r, part, step)
+                    grad = f @ product + r.kappa[part]
+                    inverse = 1.0 / (z0 / b + z1 / (BOX - b))
+                    m[k] += f.T @ (f * inverse[:, None])
+                    rhs = np.stack([-grad, 1.0 / b - 1.0 / (BOX - b), np.ones_like(b)], 1)
+                    v[k] += f.T @ (rhs * inverse[:, None])
+                    s[k, :3] += (rhs * inverse[:, None]).sum(0)
+                    s[k, 3] += (b * z0 + (BOX - b) * z1).sum()
+                    s[k, 4] += b.sum()
+                    s[k, 5] += ((grad - z0 + z1 + bound) ** 2).sum()
+                    u[k] += f.T @ b
+        if some:
+            rows = [np.concatenate([x.ravel() for x in (m[k], v[k], s[k], u[k])]).tobytes() for k in range(len(asked))]
+            yield pd.DataFrame({"k": np.arange(len(asked), dtype="int32"), "raw": rows})
 
-    tasks = parts.rdd.getNumPartitions()
-    if tasks > 16:
-        parts = parts.repartition(math.isqrt(tasks)).mapInPandas(add, "raw binary")
-    return sum((np.frombuffer(r["raw"]) for r in parts.toLocalIterator()), np.zeros(size))
+    return run
 
 
-def system(shared, u: np.ndarray, step: float, width: int, bound: float):
-    """Per task: the sums of the barrier's linear system, and how far the state is from optimal."""
+def solving(rank: int):
+    """Sums per task to one row per problem: its small linear system is solved where its sums meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factor = shared.value
-        n = factor.root.shape[1]
-        m, v, s = np.zeros((n, n)), np.zeros((n, 3)), np.zeros(6)
+        sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for r in pdf.itertuples():
-                b, z0, z1 = moved(r, step)
-                f = factor.rows(r.x.reshape(-1, width))
-                grad = f @ u + r.kappa
-                inverse = 1.0 / (z0 / b + z1 / (BOX - b))
-                m += f.T @ (f * inverse[:, None])
-                rhs = np.stack([-grad, 1.0 / b - 1.0 / (BOX - b), np.ones_like(b)], 1)
-                v += f.T @ (rhs * inverse[:, None])
-                s[:3] += (rhs * inverse[:, None]).sum(0)
-                s[3] += (b * z0 + (BOX - b) * z1).sum()
-                s[4] += b.sum()
-                s[5] += (np.maximum(np.abs(grad - z0 + z1 + bound) - 0.0, 0.0) ** 2).sum()
-        yield pd.DataFrame({"raw": [np.concatenate([m.ravel(), v.ravel(), s]).tobytes()]})
+            for k, raw in zip(pdf["k"], pdf["raw"]):
+                a = np.frombuffer(raw)
+                sums[k] = sums[k] + a if k in sums else a.copy()
+        for k, a in sums.items():
+            m, v, s, u = np.split(a, np.cumsum([rank * rank, 3 * rank, 6]))
+            m, v = m.reshape(rank, rank), v.reshape(rank, 3)
+            x = np.linalg.solve(m + np.eye(rank), v)
+            out = np.concatenate([x.ravel(), (v.T @ x).ravel(), s, u]).tobytes()
+            yield pd.DataFrame({"k": [k], "raw": [out]}).astype({"k": "int32"})
 
     return run
 
 
-def direction(shared, u: np.ndarray, step: float, width: int, goal: float, nu: float, w: np.ndarray):
-    """Blocks with the state after `step`, the next direction, how far it can go, and its products with the factor."""
+def direction(shared, problems: list[Problem], width: int):
+    """Blocks with the state after the last step, the next direction, and how far it can go; problems at their end stay."""
+    asked = [(p.done, p.u, p.step, p.goal, p.nu, p.w) for p in problems]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factor = shared.value
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                b, z0, z1 = moved(r, step)
                 f = factor.rows(r.x.reshape(-1, width))
-                room = BOX - b
-                rhs = -(f @ u + r.kappa) + goal / b - goal / room
-                db = (rhs - nu - f @ w) / (z0 / b + z1 / room)
-                dz0, dz1 = goal / b - z0 - z0 / b * db, goal / room - z1 + z1 / room * db
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    top = min(
-                        np.where(d < 0, -v / d, np.inf).min() for v, d in ((b, db), (room, -db), (z0, dz0), (z1, dz1))
-                    )
-                rows.append((r.blk, r.poss, r.row_ids, r.x, r.kappa, b, z0, z1, db, dz0, dz1, min(float(top), 1e9), f.T @ b, f.T @ db))
+                parts, tops = [], []
+                for at, (done, u, step, goal, nu, w) in enumerate(asked):
+                    part = slice(at * len(f), (at + 1) * len(f))
+                    b, z0, z1 = moved(r, part, step)
+                    if done:
+                        zero = np.zeros_like(b)
+                        parts.append((b, z0, z1, zero, zero, zero))
+                        tops.append(1e9)
+                        continue
+                    room = BOX - b
+                    rhs = -(f @ u + r.kappa[part]) + goal / b - goal / room
+                    db = (rhs - nu - f @ w) / (z0 / b + z1 / room)
+                    dz0, dz1 = goal / b - z0 - z0 / b * db, goal / room - z1 + z1 / room * db
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        top = min(np.where(d < 0, -v / d, np.inf).min() for v, d in ((b, db), (room, -db), (z0, dz0), (z1, dz1)))
+                    parts.append((b, z0, z1, db, dz0, dz1))
+                    tops.append(min(float(top), 1e9))
+                rows.append((r.blk, r.poss, r.row_ids, r.x, r.kappa, *map(np.concatenate, zip(*parts)), np.array(tops)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
 
     return run
 
 
-def solve(blocks: DataFrame, n: int, width: int, gamma: float) -> tuple[DataFrame, int]:
-    """(pos, row_id, kappa, beta) for blocks (blk, poss, row_ids, x, kappa) of one bag of n rows, and the steps taken.
+def started(shared, width: int, problems: int):
+    """Per task: the factor's product with ones, and the largest entry of each linear term."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, tops = np.zeros(shared.value.root.shape[1]), np.zeros(problems)
+        for pdf in batches:
+            for x, kappa in zip(pdf["x"], pdf["kappa"]):
+                out += shared.value.rows(x.reshape(-1, width)).sum(0)
+                tops = np.maximum(tops, np.abs(kappa.reshape(problems, -1)).max(1))
+        yield pd.DataFrame({"raw": [out.tobytes()], "tops": [tops]})
+
+    return run
+
+
+def solve(blocks: DataFrame, n: int, width: int, gamma: float, problems: int = 1) -> tuple[DataFrame, list[int]]:
+    """(problem, pos, row_id, kappa, beta) for blocks (blk, poss, row_ids, x, kappa) of one bag of n rows, and the steps taken.
 
-    The state is a table that each step writes anew; the one before it is then removed. The driver holds sums whose
-    size is that of the pivots.
+    `kappa` holds a block's linear terms problem by problem. All problems are one iteration sequence, unless their square
+    matrices exceed SYSTEM_CELLS together; then as many as fit step together.
     """
-    spark = blocks.sparkSession
     factor = low_rank(blocks, width, gamma)
+    together = max(1, SYSTEM_CELLS // max(1, factor.root.shape[1] ** 2))
+    out, steps = None, []
+    for low in range(0, problems, together):
+        count = min(together, problems - low)
+        own = F.slice("kappa", F.lit(low) * F.size("poss") + 1, F.lit(count) * F.size("poss"))
+        some = blocks.withColumn("kappa", own) if count < problems else blocks
+        rows, taken = sequence(some, factor, n, width, count)
+        rows = rows.withColumn("problem", F.col("problem") + low)
+        out, steps = rows if out is None else out.unionByName(rows), steps + taken
+    return out, steps
+
+
+def sequence(blocks: DataFrame, factor: Factor, n: int, width: int, count: int) -> tuple[DataFrame, list[int]]:
+    """One iteration for all problems of the blocks.
+
+    The state is a table that each step writes anew; the one before it is then removed. A step is two passes over the
+    rows: sums that end in one small system per problem, and the directions, whose least room is observed as they are
+    written. The driver holds vectors of the size of the pivots.
+    """
+    spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(factor)
     rank = factor.root.shape[1]
     lo, hi = sum_bounds(n)
-    scale = 1.0 + blocks.select(F.max(F.array_max(F.transform("kappa", F.abs)))).first()[0]
+    u, tops = np.zeros(rank), np.zeros(count)
+    for r in blocks.select("x", "kappa").mapInPandas(started(shared, width, count), "raw binary, tops array<double>").toLocalIterator():
+        u, tops = u + np.frombuffer(r["raw"]), np.maximum(tops, r["tops"])
+    scales = (1.0 + tops).tolist()
+    problems = [Problem(i, [n - lo, s / (n - lo)], [hi - n, s / (hi - n)], s, u) for i, s in enumerate(scales)]
     ones = lambda v: F.transform("kappa", lambda _: F.lit(float(v)))
-    empty = F.array().cast("array<double>")
+    known = F.array(*[F.lit(s) for s in scales])
+    scale = lambda v: F.transform("kappa", lambda _, i: F.get(known, F.floor(i / F.size("poss")).cast("int")) / F.lit(float(v)))
     state = blocks.select(
-        "blk", "poss", "row_ids", "x", "kappa", ones(1).alias("b"), ones(scale).alias("z0"), ones(scale / (BOX - 1)).alias("z1"),
-        ones(0).alias("db"), ones(0).alias("dz0"), ones(0).alias("dz1"), F.lit(0.0).alias("top"), empty.alias("fb"), empty.alias("fdb"),
+        "blk", "poss", "row_ids", "x", "kappa", ones(1).alias("b"), scale(1).alias("z0"), scale(BOX - 1).alias("z1"),
+        ones(0).alias("db"), ones(0).alias("dz0"), ones(0).alias("dz1"), F.array().cast("array<double>").alias("tops"),
     )
-    lower, upper = [n - lo, scale / (n - lo)], [hi - n, scale / (hi - n)]  # slack and multiplier of the sum's bounds
-
-    def ones_product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(rank)
-        for pdf in batches:
-            for x in pdf["x"]:
-                out += shared.value.rows(x.reshape(-1, width)).sum(0)
-        yield pd.DataFrame({"raw": [out.tobytes()]})
-
-    u = total(blocks.select("x").mapInPandas(ones_product, "raw binary"), rank)
-    step, damp, table, steps = 0.0, 0.1, None, 0
-    while True:
-        bound = upper[1] - lower[1]
-        sums = total(state.mapInPandas(system(shared, u, step, width, bound), "raw binary"), rank * rank + 3 * rank + 6)
-        m, v, s = sums[: rank * rank].reshape(rank, rank), sums[rank * rank : -6].reshape(rank, 3), sums[-6:]
-        gap = (s[3] + lower[0] * lower[1] + upper[0] * upper[1]) / (2 * n + 2)
-        if steps >= MAX_STEPS or (gap <= GAP * scale and math.sqrt(s[5]) <= 1e-7 * scale):
+    table = None
+    while todo := [p for p in problems if not p.done]:
+        sums = state.mapInPandas(system(shared, todo, width), "k int, raw binary")
+        sums = sums.repartitionById(len(todo), F.col("k")).mapInPandas(solving(rank), "k int, raw binary")
+        for r in sums.toLocalIterator():
+            todo[r["k"]].turn(Sums.unpack(bytes(r["raw"]), rank), n)
+        todo = [p for p in todo if not p.done]
+        if not todo:
             break
-        goal = damp * gap
-        m = m + np.eye(rank)
-        w1, w2 = np.linalg.solve(m, np.stack([v[:, 0] + goal * v[:, 1], v[:, 2]], 1)).T
-        sum_p, sum_q = s[0] + goal * s[1] - v[:, 2] @ w1, s[2] - v[:, 2] @ w2
-        weight = lower[1] * upper[0] + upper[1] * lower[0]
-        soft, shift = lower[0] * upper[0] / weight, goal * (upper[0] - lower[0]) / weight
-        nu = (sum_p - shift) / (sum_q + soft)
-        move = nu * soft + shift
-        ends = [[move, goal / lower[0] - lower[1] - lower[1] / lower[0] * move], [-move, goal / upper[0] - upper[1] + upper[1] / upper[0] * move]]
-        new = reliable(state.mapInPandas(direction(shared, u, step, width, goal, nu, w1 - nu * w2), STATE))
+        seen = Observation()
+        new = state.mapInPandas(direction(shared, problems, width), STATE)
+        new = reliable(new.observe(seen, *[F.min(F.get("tops", F.lit(p.at))).alias(f"top{p.at}") for p in todo]))
         if table is not None:
             drop_table(table)
         state = table = new
-        room = state.agg(F.min("top")).first()[0]
-        room = min([room, *(-x / d for pair, ds in ((lower, ends[0]), (upper, ends[1])) for x, d in zip(pair, ds) if d < 0)])
-        step = min(1.0, 0.995 * room)
-        sides = state.select(F.posexplode(F.arrays_zip("fb", "fdb")).alias("i", "f")).groupBy("i").agg(F.sum("f.fb").alias("b"), F.sum("f.fdb").alias("d"))
-        u = np.zeros(rank)
-        for r in sides.collect():
-            u[r["i"]] = r["b"] + step * r["d"]
-        for pair, ds in ((lower, ends[0]), (upper, ends[1])):
-            pair[0], pair[1] = pair[0] + step * ds[0], pair[1] + step * ds[1]
-        damp = 0.02 if step > 0.9 else 0.2 if step > 0.5 else 0.6
-        steps += 1
-    beta = F.zip_with("b", "db", lambda b, d: b + F.lit(step) * d)
-    rows = state.select(F.explode(F.arrays_zip("poss", "row_ids", "kappa", beta.alias("beta"))).alias("r"))
-    return rows.select(F.col("r.poss").alias("pos"), F.col("r.row_ids").alias("row_id"), "r.kappa", "r.beta"), steps
+        for p in problems:
+            if p.done:
+                p.step = 0.0
+            else:
+                p.go(seen.get[f"top{p.at}"])
+    part = lambda c: F.slice(c, F.col("problem") * F.size("poss") + 1, F.size("poss"))
+    step = F.get(F.array(*[F.lit(p.step) for p in problems]), F.col("problem"))
+    rows = state.select("poss", "row_ids", "kappa", "b", "db", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("problem"))
+    beta = F.zip_with(part("b"), part("db"), lambda b, d: b + step * d)
+    rows = rows.select("problem", F.explode(F.arrays_zip("poss", "row_ids", part("kappa").alias("kappa"), beta.alias("beta"))).alias("r"))
+    rows = rows.select("problem", F.col("r.poss").alias("pos"), F.col("r.row_ids").alias("row_id"), "r.kappa", "r.beta")
+    return rows, [p.steps for p in problems]

@@ -3,7 +3,8 @@
 Bag rows are packed into blocks; a pair of bags becomes a set of (train block, test block) tasks whose ids
 come from arithmetic on the bag sizes. Each task evaluates one small matrix in NumPy and returns only its row
 sums, so no pair of rows ever becomes a row, and a test bag that holds most of the table is spread over as
-many tasks as it has blocks.
+many tasks as it has blocks. Where the blocks of a side are too large to broadcast, both sides are dealt to the
+cells of a grid by one exchange instead (tiles.py).
 """
 
 import math
@@ -16,15 +17,20 @@ from pyspark.sql import functions as F
 
 from reweight.functions.dense import kernel_dot, median_distance, sq_dists
 from reweight.functions.qp import BOX, project, sum_bounds
-from reweight.operators.bags import Bags, one_bag, whole_bag, width_of
-from reweight.operators.lineage import broadcast_if, reliable, task_count
+from reweight.functions.uniform import uniform
+from reweight.functions.vectors import sq_distance
+from reweight.operators.bags import DRAWS_PER_PARTITION, Bags, one_bag, whole_bag, width_of
+from reweight.operators.index import row_index
+from reweight.operators.lineage import broadcast_if, reliable, small_enough, task_count
+from reweight.operators.tiles import STRIPE_BYTES, grid, tiled
 
 # Bytes and rows of a block; a bag that is solved in one task may have at most BAG_ROWS rows.
 BLOCK_BYTES = 256 * 1024
 BLOCK_ROWS = (64, 1024)
 BAG_ROWS = 4096
-# Digits of the radix selection over pair distances.
-DIGIT_BITS = 16
+# Bins of a pass over pair distances, and how many distances of one bin come to the driver.
+BINS = 1 << 16
+SHIPPED = 1_000_000
 
 
 def block_rows(width: int) -> int:
@@ -55,16 +61,22 @@ def pack(rows: DataFrame, bag: str, rows_per_block: int, *extra: str) -> DataFra
     )
 
 
+def kernel_sums(x: np.ndarray, z: np.ndarray, w: np.ndarray | None, width: int, gamma: float) -> np.ndarray:
+    """Kernel row sums of one block pair. `w` holds weights of the right-hand rows, set by set; so does the result."""
+    a, b = x.reshape(-1, width), z.reshape(-1, width)
+    if w is None or len(w) == len(b):
+        return kernel_dot(a, b, w, gamma)
+    return kernel_dot(a, b, w.reshape(-1, len(b)).T, gamma).T.ravel()
+
+
 def sum_udf(width: int, weighted: bool):
     """Kernel row sums of one block pair, optionally weighted by the right-hand row."""
 
     def plain(x: pd.Series, z: pd.Series, gamma: pd.Series) -> pd.Series:
-        rows = zip(x, z, gamma, strict=True)
-        return pd.Series([kernel_dot(a.reshape(-1, width), b.reshape(-1, width), None, g) for a, b, g in rows])
+        return pd.Series([kernel_sums(a, b, None, width, g) for a, b, g in zip(x, z, gamma, strict=True)])
 
     def with_weight(x: pd.Series, z: pd.Series, gamma: pd.Series, w: pd.Series) -> pd.Series:
-        rows = zip(x, z, gamma, w, strict=True)
-        return pd.Series([kernel_dot(a.reshape(-1, width), b.reshape(-1, width), c, g) for a, b, g, c in rows])
+        return pd.Series([kernel_sums(a, b, c, width, g) for a, b, g, c in zip(x, z, gamma, w, strict=True)])
 
     return F.pandas_udf(with_weight if weighted else plain, "array<double>")
 
@@ -143,19 +155,65 @@ def block_sums(
     left: DataFrame | None = None,
     right: DataFrame | None = None,
 ) -> DataFrame:
-    """Packed train blocks with `ksum`, their kernel row sums over one test block each.
+    """Packed train blocks with `ksum`, their kernel row sums over one test block or a stripe of them.
 
     `left` and `right` take blocks that are already packed.
     """
     n_pairs = pairs.count() if n_pairs is None else n_pairs
-    tasks, _ = block_tasks(tr, te, pairs, n_pairs, width)
     extra = [weight] if weight else []
     left = packed_left(tr, width, gamma) if left is None else left
     right = packed_right(te, width, *extra) if right is None else right
-    joined = tasks.join(broadcast_if(left, tr.table_rows * (width + 2) * 8), ["tr_bag", "tr_blk"]).join(
-        broadcast_if(right, te.table_rows * (width + 1) * 8), ["te_bag", "te_blk"]
-    )
-    return joined.withColumn("ksum", sum_udf(width, bool(weight))("x", "z", "gamma", *extra)).drop("z", *extra)
+    sizes = tr.table_rows * (width + 2) * 8, te.table_rows * (width + 1) * 8
+    if not all(map(small_enough, sizes)):
+        return tiled_sums(tr, te, pairs, width, left, right, sizes, n_pairs=n_pairs, weight=weight)
+    tasks, _ = block_tasks(tr, te, pairs, n_pairs, width)
+    joined = tasks.join(F.broadcast(left), ["tr_bag", "tr_blk"]).join(F.broadcast(right), ["te_bag", "te_blk"])
+    return joined.withColumn("ksum", sum_udf(width, bool(weight))("x", "z", "gamma", *extra)).drop("z", "te_blk", *extra)
+
+
+SUMS = "tr_bag int, te_bag int, tr_blk int, poss array<int>, row_ids array<long>, x array<double>, gamma double, ksum array<double>"
+
+
+def blocks_of(bags: Bags, rows: int) -> int:
+    """Blocks of a full bag."""
+    return max(1, -(-bags.size // rows))
+
+
+def grouped_sides(tr: Bags, te: Bags, pairs: DataFrame, left: DataFrame, right: DataFrame, width: int, n_pairs: int):
+    """Both sides with `grp` and `at` for the grid, the number of groups, and blocks a group on either side.
+
+    Where every train bag meets every test bag all blocks are one group; else a group is a pair.
+    """
+    rows = blocks_of(tr, left_rows(tr, width)), blocks_of(te, block_rows(width))
+    if n_pairs == tr.count * te.count:
+        one, two = left.withColumn("grp", F.lit(0).cast("long")), right.withColumn("grp", F.lit(0).cast("long"))
+        counts = 1, tr.count * rows[0], te.count * rows[1]
+    else:
+        known = broadcast_if(pairs.select(F.col("pair_id").alias("grp"), "tr_bag", "te_bag"), 16 * n_pairs)
+        one, two = left.join(known.drop("te_bag"), "tr_bag"), right.join(known.drop("tr_bag"), "te_bag")
+        counts = n_pairs, rows[0], rows[1]
+    at = lambda bag, blk, n: (F.col(bag).cast("long") * n + F.col(blk)).alias("at")
+    return one.select("*", at("tr_bag", "tr_blk", rows[0])), two.select("*", at("te_bag", "te_blk", rows[1])), *counts
+
+
+def tiled_sums(
+    tr: Bags, te: Bags, pairs: DataFrame, width: int, left: DataFrame, right: DataFrame, sizes: tuple, *, n_pairs: int, weight: str | None
+) -> DataFrame:
+    """:func:`block_sums` by cells of a grid: the blocks of either side cross the network once per stripe of the other."""
+    one, two, groups, down, across = grouped_sides(tr, te, pairs, left, right, width, n_pairs)
+    shape = grid(groups, down, across, *sizes, task_count(pairs, groups * down * across))
+
+    def visit(a, b):
+        w = getattr(b, weight) if weight else None
+        a.add(b.te_bag, kernel_sums(a.x, b.z, w, width, a.gamma))
+
+    def finish(a):
+        for te_bag, ksum in a.sums.items():
+            row = (a.tr_bag, te_bag, a.tr_blk, a.poss, a.row_ids, a.x, a.gamma, ksum)
+            yield pd.DataFrame([row], columns=[c.split()[0] for c in SUMS.split(", ")])
+
+    rows = tiled(one, two, shape, groups, SUMS, visit, finish)
+    return rows.join(broadcast_if(pairs, 16 * n_pairs), ["tr_bag", "te_bag"])
 
 
 def pair_sums(tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None, width: int, **how) -> DataFrame:
@@ -190,24 +248,32 @@ def self_pairs(tr: Bags) -> DataFrame:
     )
 
 
+GRAM = "bag_id int, pos int, blk int, k array<double>"
+
+
 def gram(tr: Bags, gamma: float | None = None) -> DataFrame:
     """(bag_id, pos, blk, k): rows of each bag's Gram matrix, cut into array pieces of one block."""
     width = tr.width
-    tasks, _ = block_tasks(tr, tr, self_pairs(tr), tr.count, width)
-    right = packed_right(tr, width)
+    pairs, left, right = self_pairs(tr), packed_left(tr, width, gamma), packed_right(tr, width)
     size = tr.table_rows * (width + 2) * 8
-    joined = tasks.join(broadcast_if(packed_left(tr, width, gamma), size), ["tr_bag", "tr_blk"]).join(
-        broadcast_if(right, size), ["te_bag", "te_blk"]
-    )
+
+    def piece(a, b) -> pd.DataFrame:
+        k = np.exp(-a.gamma * sq_dists(a.x.reshape(-1, width), b.z.reshape(-1, width)))
+        return pd.DataFrame({"bag_id": a.tr_bag, "pos": a.poss, "blk": b.te_blk, "k": list(k)})
+
+    if not small_enough(size):
+        one, two, groups, down, across = grouped_sides(tr, tr, pairs, left, right, width, tr.count)
+        shape = grid(groups, down, across, size, size, task_count(pairs, groups * down * across))
+        return tiled(one, two, shape, groups, GRAM, piece)
+    tasks, _ = block_tasks(tr, tr, pairs, tr.count, width)
+    joined = tasks.join(F.broadcast(left), ["tr_bag", "tr_blk"]).join(F.broadcast(right), ["te_bag", "te_blk"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                k = np.exp(-r.gamma * sq_dists(r.x.reshape(-1, width), r.z.reshape(-1, width)))
-                yield pd.DataFrame({"bag_id": r.tr_bag, "pos": r.poss, "blk": r.te_blk, "k": list(k)})
+                yield piece(r, r)
 
-    cols = joined.select("tr_bag", "te_blk", "poss", "x", "z", "gamma")
-    return cols.mapInPandas(rows, "bag_id int, pos int, blk int, k array<double>")
+    return joined.select("tr_bag", "te_blk", "poss", "x", "z", "gamma").mapInPandas(rows, GRAM)
 
 
 def kmm_bounds(bags: DataFrame) -> DataFrame:
@@ -248,34 +314,43 @@ def clipped(v):
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(BOX))
 
 
-def sum_shift(moved: DataFrame, total: float, lo: float, hi: float) -> float:
-    """Number to subtract from every `v` before clipping so that the sum meets its nearer bound.
+def sum_shifts(moved: DataFrame, key: str, bounds: dict[int, tuple[float, float]]) -> dict[int, float]:
+    """Per key the number to subtract from its `v` before clipping so that the sum meets its nearer bound.
 
-    Safeguarded Newton on a piecewise linear function: each pass is one aggregate, and on the last piece the
-    step is exact.
+    Safeguarded Newton on piecewise linear functions: each pass is one aggregate for all keys that are not there yet, and
+    on the last piece the step is exact.
     """
-    if lo <= total <= hi:
-        return 0.0
-    target = lo if total < lo else hi
-    low, high = moved.agg(F.min("v"), F.max("v")).first()
-    low, high, lam = low - hi, high, 0.0
+    lam = dict.fromkeys(bounds, 0.0)
+    state = {}
+    for r in moved.groupBy(key).agg(F.sum(clipped(F.col("v"))).alias("total"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+        lo, hi = bounds[r[key]]
+        if not lo <= r["total"] <= hi:
+            state[r[key]] = [lo if r["total"] < lo else hi, r["low"] - hi, r["high"]]
     for _ in range(60):
-        v = F.col("v") - F.lit(lam)
-        inner = (v > 0.0) & (v < BOX)
-        now, slope = moved.agg(F.sum(clipped(v)), F.sum(inner.cast("double"))).first()
-        if abs(now - target) <= 1e-12 * max(1.0, target):
+        if not state:
             break
-        low, high = (lam, high) if now > target else (low, lam)
-        step = lam + (now - target) / slope if slope else math.nan
-        lam = step if low < step < high else 0.5 * (low + high)
+        now = F.create_map(*[F.lit(x) for k in state for x in (k, lam[k])])
+        v = F.col("v") - F.element_at(now, F.col(key))
+        inner = (v > 0.0) & (v < BOX)
+        some = moved.where(F.col(key).isin(list(state)))
+        for r in some.groupBy(key).agg(F.sum(clipped(v)).alias("now"), F.sum(inner.cast("double")).alias("slope")).collect():
+            k = r[key]
+            target, low, high = state[k]
+            if abs(r["now"] - target) <= 1e-12 * max(1.0, target):
+                del state[k]
+                continue
+            low, high = (lam[k], high) if r["now"] > target else (low, lam[k])
+            step = lam[k] + (r["now"] - target) / r["slope"] if r["slope"] else math.nan
+            state[k] = [target, low, high]
+            lam[k] = step if low < step < high else 0.5 * (low + high)
     return lam
 
 
 def kmm_residual(grads: DataFrame, rate: float) -> DataFrame:
     """(bag_id, residual): largest move of one projected step.
 
-    Bags of at most BAG_ROWS rows are projected in one task each. A larger one is projected by passes of sums, so
-    none is gathered; there are at most rows / BAG_ROWS of those.
+    Bags of at most BAG_ROWS rows are projected in one task each. Larger ones are projected by passes of sums, all of them
+    in each pass, so none is gathered; there are at most rows / BAG_ROWS of those.
     """
     moved = F.col("beta") - F.lit(float(rate)) * F.col("grad")
     rows = grads.select("bag_id", "beta", moved.alias("v"))
@@ -287,12 +362,17 @@ def kmm_residual(grads: DataFrame, rate: float) -> DataFrame:
         return pd.Series([np.abs(b - project(m[None])[0]).max() for b, m in zip(beta, moved, strict=True)])
 
     out = packed.select("bag_id", F.pandas_udf(largest, "double")(F.col("r.beta"), F.col("r.v")).alias("residual"))
-    for bag, n in sorted(large.items()):
-        own = reliable(rows.where(F.col("bag_id") == bag))
-        lam = sum_shift(own, own.agg(F.sum(clipped(F.col("v")))).first()[0], *sum_bounds(n))
-        far = F.max(F.abs(clipped(F.col("v") - F.lit(lam)) - F.col("beta")))
-        out = out.unionByName(own.groupBy("bag_id").agg(far.alias("residual")))
-    return out
+    if not large:
+        return out
+    own = reliable(rows.where(F.col("bag_id").isin(list(large))))
+    return out.unionByName(moves(own, "bag_id", {b: sum_bounds(n) for b, n in large.items()}))
+
+
+def moves(rows: DataFrame, key: str, bounds: dict[int, tuple[float, float]]) -> DataFrame:
+    """(key, residual): per key the largest difference between `beta` and the feasible point nearest to `v`."""
+    lam = sum_shifts(rows, key, bounds)
+    shift = F.element_at(F.create_map(*[F.lit(x) for k in lam for x in (k, lam[k])]), F.col(key))
+    return rows.groupBy(key).agg(F.max(F.abs(clipped(F.col("v") - shift) - F.col("beta"))).alias("residual"))
 
 
 def bag_widths(bags: Bags) -> DataFrame:
@@ -305,8 +385,9 @@ def kernel_width(
 ) -> float:
     """Exact median distance over all pairs of rows of the table.
 
-    Beyond one block the two middle order statistics are found by radix selection on the bits of the squared
-    distances: each pass counts the next 16 bits per block pair, so only counts leave a task.
+    Beyond one block the middle order statistics of the squared distances are found by passes over all pairs of blocks,
+    cut into cells of a grid: a pass counts the distances in equal bins between known bounds, and once a bin with a wanted
+    rank has few distances, the next pass ships those. Two passes are usual; nothing but counts leaves a task before.
     """
     n = df.count() if n is None else n
     if n < 2:
@@ -316,46 +397,126 @@ def kernel_width(
     if n <= bag_rows:
         return packed_left(bag, width, None).first()["gamma"]
     rows = block_rows(width)
-    # Read by every pass, on both sides of the join.
-    blocks = reliable(pack(bag.df, "bag_id", rows).select("blk", "x"))
-    size = n * (width + 2) * 8
-    last = -(-n // rows)
-    ids = df.sparkSession.range(last).select(F.col("id").cast("int").alias("a"))
-    tasks = ids.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(last - 1))))
-    tasks = tasks.repartition(task_count(df, last * (last + 1) // 2))
-    joined = tasks.join(
-        broadcast_if(blocks.select(F.col("blk").alias("a"), "x"), size), "a"
-    ).join(broadcast_if(blocks.select(F.col("blk").alias("b"), F.col("x").alias("z")), size), "b")
-
-    pairs = n * (n - 1) // 2
-    found = {k: (0, k) for k in {(pairs - 1) // 2, pairs // 2}}
-    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
-        prefixes = sorted({p for p, _ in found.values()})
-        digits = joined.mapInPandas(_digit_counts(width, prefixes, shift), "prefix long, digit int, n long")
-        counts = digits.groupBy("prefix", "digit").agg(F.sum("n").alias("n")).orderBy("prefix", "digit").collect()
-        for k, (prefix, rank) in found.items():
-            for c in (c for c in counts if c["prefix"] == prefix):
-                if rank < c["n"]:
-                    found[k] = ((prefix << DIGIT_BITS) | c["digit"], rank)
+    # Read by every pass, on both sides of the grid.
+    blocks = pack(bag.df, "bag_id", rows).select(F.lit(0).cast("long").alias("grp"), F.col("blk").cast("long").alias("at"), "x")
+    pairs = PairDistances(reliable(blocks), n, width, -(-n // rows))
+    ranks = sorted({(n * (n - 1) // 2 - 1) // 2, n * (n - 1) // 2 // 2})
+    return float(np.sqrt([pairs.order_statistic(r) for r in ranks]).mean())
+
+
+class PairDistances:
+    """Squared distances of all pairs of rows of packed blocks (grp, at, x), by their order."""
+
+    def __init__(self, blocks: DataFrame, n: int, width: int, count: int):
+        self.blocks, self.width = blocks, width
+        size = n * width * 8.0
+        tasks = task_count(blocks, count * (count + 1) // 2)
+        side = max(math.ceil(size / STRIPE_BYTES), math.ceil(math.sqrt(2 * tasks)))
+        self.side = max(1, min(side, count))
+        # Of each range that was counted: bins with how many distances, the least and the largest.
+        self.counted: dict[tuple[float, float], list] = {}
+        self.shipped: dict[tuple[float, float], np.ndarray] = {}
+
+    def spans(self) -> tuple[float, float]:
+        """Bounds of all squared distances, from the range of each feature."""
+        width = self.width
+
+        def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = np.concatenate(pdf["x"].to_list()).reshape(-1, width)
+                yield pd.DataFrame({"at": np.arange(width, dtype="int32"), "low": x.min(0), "high": x.max(0)})
+
+        rows = self.blocks.select("x").mapInPandas(ranges, "at int, low double, high double")
+        rows = rows.groupBy("at").agg((F.max("high") - F.min("low")).alias("d")).collect()
+        return 0.0, sum(r["d"] ** 2 for r in rows) * (1 + 1e-9)
+
+    def each(self, schema: str, one, ended) -> DataFrame:
+        """`one(shared, distances)` for each pair of blocks, `ended(shared)` once per cell."""
+        width = self.width
+
+        def visit(a, b):
+            d2 = sq_dists(a.x.reshape(-1, width), b.x.reshape(-1, width))
+            one(a.shared, d2[np.triu_indices(len(d2), 1)] if a.at == b.at else d2.ravel())
+
+        def finish(a):
+            if a.shared:
+                yield ended(a.shared)
+                a.shared.clear()
+
+        side = (self.side, self.side)
+        return tiled(self.blocks, self.blocks, side, 1, schema, visit, finish, upper=True)
+
+    def bins(self, low: float, high: float) -> list:
+        if (low, high) in self.counted:
+            return self.counted[low, high]
+        scale = BINS / (high - low)
+
+        def one(shared, d2):
+            if not shared:
+                shared |= {"n": np.zeros(BINS, np.int64), "low": np.full(BINS, np.inf), "high": np.full(BINS, -np.inf)}
+            d2 = d2[(d2 >= low) & (d2 <= high)]
+            at = np.minimum(((d2 - low) * scale).astype(np.int64), BINS - 1)
+            shared["n"] += np.bincount(at, minlength=BINS)
+            np.minimum.at(shared["low"], at, d2)
+            np.maximum.at(shared["high"], at, d2)
+
+        def ended(shared):
+            at = np.flatnonzero(shared["n"])
+            return pd.DataFrame({"bin": at.astype("int32"), **{c: shared[c][at] for c in ("n", "low", "high")}})
+
+        rows = self.each("bin int, n long, low double, high double", one, ended)
+        rows = rows.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        self.counted[low, high] = sorted(map(tuple, rows.collect()))
+        return self.counted[low, high]
+
+    def values(self, low: float, high: float) -> np.ndarray:
+        """All distances of a range that has few, in order."""
+        if (low, high) not in self.shipped:
+
+            def one(shared, d2):
+                shared.setdefault("d2", []).append(d2[(d2 >= low) & (d2 <= high)])
+
+            rows = self.each("d2 double", one, lambda shared: pd.DataFrame({"d2": np.concatenate(shared["d2"])}))
+            self.shipped[low, high] = np.sort(rows.toArrow().column(0).to_numpy())
+        return self.shipped[low, high]
+
+    def order_statistic(self, rank: int) -> float:
+        """The squared distance of that rank, from 0."""
+        low, high = self.spans() if not self.counted else next(iter(self.counted))
+        while low < high:
+            for _, n, first, last in self.bins(low, high):
+                if rank < n:
                     break
-                rank -= c["n"]
-    mids = np.array([p for p, _ in found.values()], dtype=np.int64).view(np.float64)
-    return float(np.sqrt(mids).mean())
+                rank -= n
+            if n <= SHIPPED:
+                return float(self.values(first, last)[rank])
+            low, high = first, last
+        return low
 
 
-def _digit_counts(width: int, prefixes: list[int], shift: int):
-    """Counts of the next digit of the squared distances that start with one of the prefixes."""
+def sampled_width(df: DataFrame, pairs: int = 1_000_000, seed: int = 0, *, n: int | None = None, z: float = 3.29) -> DataFrame:
+    """One row (gamma, low, high, pairs, exact): the median distance of pairs drawn with replacement, with bounds.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                d2 = sq_dists(r.x.reshape(-1, width), r.z.reshape(-1, width))
-                bits = (d2[np.triu_indices(len(d2), 1)] if r.a == r.b else d2.ravel()).view(np.int64)
-                high = bits >> (shift + DIGIT_BITS) if shift + DIGIT_BITS < 64 else np.zeros_like(bits)
-                for p in prefixes:
-                    digit = (bits[high == p] >> shift) & ((1 << DIGIT_BITS) - 1)
-                    counts = np.bincount(digit)
-                    seen = np.flatnonzero(counts)
-                    yield pd.DataFrame({"prefix": p, "digit": seen.astype("int32"), "n": counts[seen]})
-
-    return count
+    A cheap width for tables whose pairs are too many; nothing uses it unless asked, and `exact` is false. A pair is two
+    different positions, each drawn by a hash of its number; no other pairs are listed. `low` and `high` are order
+    statistics of the draws, `z` deviations of a fair coin away from the middle: the exact median is between them with
+    the probability of the normal law (0.999 at 3.29), whatever the distances are.
+    """
+    rows = row_index(df, n=n) if "idx" not in df.columns else df
+    n = df.count() if n is None else n
+    if n < 2:
+        raise ValueError("a pair needs two rows")
+    spark = df.sparkSession
+    parts = max(1, -(-pairs // DRAWS_PER_PARTITION))
+    draw = spark.range(0, pairs, 1, parts).withColumnRenamed("id", "draw")
+    first = F.floor(uniform("width-a", seed, "draw") * n)
+    draw = draw.withColumn("i", first).withColumn("j", F.floor(uniform("width-b", seed, "draw") * (n - 1)))
+    draw = draw.withColumn("j", F.col("j") + F.when(F.col("j") >= F.col("i"), 1).otherwise(0))
+    side = lambda c, f: rows.select(F.col("idx").alias(c), F.col("features").alias(f))
+    drawn = draw.join(side("i", "a"), "i").join(side("j", "b"), "j").select(F.sqrt(sq_distance("a", "b")).alias("d"))
+    away = z * math.sqrt(pairs) / 2
+    ranks = [max(0, math.floor((pairs - 1) / 2 - away)), min(pairs - 1, math.ceil((pairs - 1) / 2 + away))]
+    at = [0.5, *[r / max(1, pairs - 1) for r in ranks]]
+    cut = drawn.agg(F.percentile("d", F.array(*[F.lit(float(p)) for p in at])).alias("p"))
+    names = [F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("gamma", "low", "high"))]
+    return cut.select(*names, F.lit(pairs).cast("long").alias("pairs"), F.lit(False).alias("exact"))

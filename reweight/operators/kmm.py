@@ -20,12 +20,13 @@ from reweight.operators.kernel import (
     clipped,
     kappa_scale,
     kernel_width,
+    moves,
     pack,
     packed_left,
     packed_right,
     pair_sums,
     self_pairs,
-    sum_shift,
+    sum_shifts,
 )
 from reweight.operators.lineage import broadcast_if, drop_table, reliable, small_enough, task_count
 
@@ -87,8 +88,8 @@ def bag_weights(
 
     Without `gamma` each train bag uses its own median distance. With a global one and repeated rows, pass the
     drawn table as `source` (row_id, idx, features): kernel sums are then made once per table row and test bag
-    instead of once per draw. Train bags of more than `bag_rows` rows do not fit one task; their pairs are
-    solved one after the other, each as a distributed iteration limited by `max_steps` and `tolerance`.
+    instead of once per draw. Train bags of more than `bag_rows` rows do not fit one task; each is solved with all its
+    test bags by one distributed iteration. `max_steps` and `tolerance` limit the one of bags without a low-rank factor.
     """
     width = tr.width
     if tr.size > bag_rows:
@@ -157,84 +158,95 @@ def kmm_whole(
 def _large_bags(
     tr: Bags, te: Bags, pairs: DataFrame, gamma: float | None, max_steps: int, tolerance: float
 ) -> DataFrame:
-    """Each pair of large bags in turn; only the ids of the pairs come to the driver."""
+    """Large train bags, each with all its test bags as one iteration; only the ids of the pairs come to the driver."""
     spark = pairs.sparkSession
+    mine: dict[int, list[tuple[int, int]]] = {}
+    for pair_id, a, b in pairs.select("pair_id", "tr_bag", "te_bag").orderBy("tr_bag", "pair_id").toLocalIterator():
+        mine.setdefault(a, []).append((pair_id, b))
     out = spark.createDataFrame([], SOLVED)
-    widths: dict[int, float] = {}
-    for pair_id, a, b in pairs.select("pair_id", "tr_bag", "te_bag").orderBy("pair_id").toLocalIterator():
+    for a, partners in mine.items():
         start = time.perf_counter()
-        mine, other = one_bag(tr, a), one_bag(te, b)
-        if gamma is None and a not in widths:
-            rows = mine.df.select(F.col("idx").alias("row_id"), "idx", "features")
-            widths[a] = kernel_width(rows, mine.total, width=tr.width)
-        weights, worst, steps = _solve_large(mine, other, widths.get(a, gamma), max_steps, tolerance)
-        solved = reliable(
-            weights.select(
-                F.lit(pair_id).cast("long").alias("pair_id"),
-                F.lit(a).alias("tr_bag"),
-                F.lit(b).alias("te_bag"),
-                "pos",
-                "row_id",
-                "beta",
-                F.lit(float(worst)).alias("residual"),
-                F.lit(steps).alias("steps"),
-                F.lit(time.perf_counter() - start).alias("seconds"),
-            )
-        )
-        out = out.unionByName(solved)
+        bag = one_bag(tr, a)
+        own = gamma
+        if own is None:
+            rows = bag.df.select(F.col("idx").alias("row_id"), "idx", "features")
+            own = kernel_width(rows, bag.total, width=tr.width)
+        weights, facts = _solve_large(bag, te, [b for _, b in partners], own, max_steps, tolerance)
+        spent = (time.perf_counter() - start) / len(partners)
+        known = [(i, p, b, *facts[i], spent) for i, (p, b) in enumerate(partners)]
+        names = spark.createDataFrame(known, "problem int, pair_id long, te_bag int, residual double, steps int, seconds double")
+        solved = weights.join(F.broadcast(names), "problem").withColumn("tr_bag", F.lit(a))
+        out = out.unionByName(reliable(solved.select(*[c.split()[0] for c in SOLVED.split(", ")])))
     return out
 
 
-def _solve_large(tr: Bags, te: Bags, gamma: float, max_steps: int, tolerance: float) -> tuple[DataFrame, float, int]:
-    """One pair of bags: (pos, row_id, beta), the residual at these weights, and the steps.
+def _solve_large(
+    tr: Bags, te: Bags, partners: list[int], gamma: float, max_steps: int, tolerance: float
+) -> tuple[DataFrame, list[tuple[float, int]]]:
+    """One train bag with test bags: (problem, pos, row_id, beta), and per problem the residual at these weights and the steps.
 
-    An interior-point iteration on a low-rank factor of the Gram matrix. A matrix without one, such as that of
-    well-separated rows, is well conditioned; it takes accelerated projected gradient steps. Either way the
+    The problems share the Gram matrix and differ in their linear term. An interior-point iteration on a low-rank factor
+    of the matrix moves all of them in each step. A matrix without such a factor, as of well-separated rows, is
+    well conditioned; its problems take accelerated projected gradient steps one after the other. Either way the
     residual is measured with the matrix itself, and weights that miss the tolerance are an error.
     """
-    n, width = tr.total, tr.width
+    n, width, count = tr.total, tr.width, len(partners)
     rows = block_rows(width)
+    spark = tr.df.sparkSession
     base = reliable(tr.df.select("bag_id", "pos", "row_id", "idx", "features"))
     bag = Bags(base, 1, tr.size, tr.total, width)
-    pairs = cartesian_pairs(base.sparkSession, 1, 1)
     mine = self_pairs(bag)
     left = reliable(packed_left(bag, width, gamma))
     right = reliable(packed_right(bag, width))
-    kappas = pair_sums(bag, te, pairs, gamma, width, n_pairs=1, left=left)
-    kappas = reliable(kappas.select("pos", (F.col("ksum") * kappa_scale(bag, te)).alias("kappa")))
+    if partners == list(range(te.count)):
+        pairs = cartesian_pairs(spark, 1, count)
+    else:
+        pairs = spark.createDataFrame([(i, 0, b) for i, b in enumerate(partners)], "pair_id long, tr_bag int, te_bag int")
+    sums = pair_sums(bag, te, pairs, gamma, width, n_pairs=count, left=left)
+    kappas = reliable(sums.select(F.col("pair_id").cast("int").alias("problem"), "pos", (F.col("ksum") * kappa_scale(bag, te)).alias("kappa")))
+    block = F.floor(F.col("pos") / rows).cast("int")
 
-    def times(vector: DataFrame) -> DataFrame:
-        blocks = (
-            vector.groupBy(F.floor(F.col("pos") / rows).cast("int").alias("te_blk"))
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).getField("w").alias("w"))
-            .join(right, "te_blk")
-        )
-        sums = pair_sums(bag, bag, mine, gamma, width, weight="w", n_pairs=1, left=left, right=blocks)
-        return sums.select("pos", F.col("ksum").alias("kw"))
+    def times(vectors: DataFrame, sets: int) -> DataFrame:
+        """(problem, pos, kw) for (problem, pos, w): the Gram matrix times each vector, its entries evaluated once."""
+        packed = vectors.groupBy(block.alias("te_blk")).agg(F.sort_array(F.collect_list(F.struct("problem", "pos", "w"))).getField("w").alias("w"))
+        got = block_sums(bag, bag, mine, gamma, width, weight="w", n_pairs=1, left=left, right=packed.join(right, "te_blk"))
+        own = F.slice("ksum", F.col("problem") * F.size("poss") + 1, F.size("poss")).alias("kw")
+        got = got.select("poss", "ksum", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("problem"))
+        got = got.select("problem", F.explode(F.arrays_zip("poss", own)).alias("r"))
+        return got.groupBy("problem", F.col("r.poss").alias("pos")).agg(F.sum("r.kw").alias("kw"))
 
-    def checked(weights: DataFrame) -> tuple[DataFrame, float]:
+    def checked(weights: DataFrame, problems: list[int]) -> tuple[DataFrame, dict[int, float]]:
         """The largest move of one projected gradient step from these weights, as for small bags."""
-        lipschitz = times(weights.select("pos", F.lit(1.0).alias("w"))).agg(F.max("kw")).first()[0]
-        grad = times(weights.select("pos", F.col("beta").alias("w")))
+        sets = max(problems) + 1
+        ones = base.select(F.lit(sets).alias("problem"), "pos", F.lit(1.0).alias("w"))
+        vectors = weights.select("problem", "pos", F.col("beta").alias("w")).unionByName(ones)
+        grad = reliable(times(vectors, sets + 1))
+        lipschitz = grad.where(F.col("problem") == sets).agg(F.max("kw")).first()[0]
         target = F.col("beta") - (F.col("kw") + F.col("kappa")) / F.lit(lipschitz)
-        moved = reliable(weights.join(grad, "pos").select("pos", "row_id", "beta", target.alias("v")))
-        lam = sum_shift(moved, moved.agg(F.sum(clipped(F.col("v")))).first()[0], lo, hi)
-        worst = moved.agg(F.max(F.abs(clipped(F.col("v") - F.lit(lam)) - F.col("beta")))).first()[0]
-        return moved.select("pos", "row_id", "beta"), worst
+        near = reliable(weights.join(grad, ["problem", "pos"]).select("problem", "pos", "row_id", "beta", target.alias("v")))
+        worst = moves(near, "problem", dict.fromkeys(problems, sum_bounds(n))).collect()
+        drop_table(grad)
+        return near.select("problem", "pos", "row_id", "beta"), {r["problem"]: r["residual"] for r in worst}
 
-    lo, hi = sum_bounds(n)
-    blocks = pack(base.drop("bag_id").join(kappas, "pos").withColumn("bag_id", F.lit(0)), "bag_id", rows, "kappa")
-    blocks = reliable(blocks.select("blk", "poss", "row_ids", "x", "kappa"))
+    terms = kappas.groupBy(block.alias("blk")).agg(F.sort_array(F.collect_list(F.struct("problem", "pos", "kappa"))).getField("kappa").alias("kappa"))
+    blocks = pack(base.withColumn("bag_id", F.lit(0)), "bag_id", rows).select("blk", "poss", "row_ids", "x")
+    blocks = reliable(blocks.join(terms, "blk"))
     try:
-        found, steps = interior.solve(blocks, n, width, gamma)
+        found, steps = interior.solve(blocks, n, width, gamma, count)
+        found, worst = checked(found, list(range(count)))
     except interior.TooManyPivots:
-        found, steps = _iterate(base, kappas, times, n, max_steps, tolerance)
-    found, worst = checked(found)
-    if worst > tolerance:
-        raise RuntimeError(f"the weights of a bag of {n} rows stopped {worst} from optimal after {steps} steps")
+        found, worst, steps = None, {}, []
+        for i in range(count):
+            one, taken = _iterate(base, kappas.where(F.col("problem") == i).select("pos", "kappa"), lambda v: times(v.withColumn("problem", F.lit(0)), 1), n, max_steps, tolerance)
+            one, bad = checked(one.withColumn("problem", F.lit(0)), [0])
+            found = one.withColumn("problem", F.lit(i)) if found is None else found.unionByName(one.withColumn("problem", F.lit(i)))
+            worst[i], steps = bad[0], [*steps, taken]
+    for i, (bad, taken) in enumerate(zip((worst[i] for i in range(count)), steps)):
+        if not bad <= tolerance:
+            raise RuntimeError(f"the weights of a bag of {n} rows stopped {bad} from optimal after {taken} steps")
     for table in (left, right, kappas, blocks, base):
         drop_table(table)
-    return found, worst, steps
+    return found, [(float(worst[i]), steps[i]) for i in range(count)]
 
 
 def _iterate(base: DataFrame, kappas: DataFrame, times, n: int, max_steps: int, tolerance: float) -> tuple[DataFrame, int]:
@@ -250,7 +262,7 @@ def _iterate(base: DataFrame, kappas: DataFrame, times, n: int, max_steps: int,
     # a few power steps tighten it.
     v, lipschitz = state.select("pos", F.lit(1.0).alias("w")), 1.0
     for _ in range(3):
-        ratio = reliable(times(v).join(v, "pos").select("pos", "kw", (F.col("kw") / F.col("w")).alias("r")))
+        ratio = reliable(times(v).drop("problem").join(v, "pos").select("pos", "kw", (F.col("kw") / F.col("w")).alias("r")))
         lipschitz = ratio.agg(F.max("r")).first()[0]
         v = ratio.select("pos", (F.col("kw") / F.lit(lipschitz)).alias("w"))
 
@@ -258,13 +270,13 @@ def _iterate(base: DataFrame, kappas: DataFrame, times, n: int, max_steps: int,
     momentum, step, worst, moved = 1.0, 0, math.inf, None
     while step < max_steps and worst > 0.1 * tolerance:
         step += 1
-        grad = times(state.select("pos", F.col("y").alias("w")))
+        grad = times(state.select("pos", F.col("y").alias("w"))).drop("problem")
         target = F.col("y") - (F.col("kw") + F.col("kappa")) / F.lit(lipschitz)
         before = moved
         moved = reliable(state.join(grad, "pos").select("pos", "kappa", "beta", "y", target.alias("v")))
         if before is not None:
             drop_table(before)
-        lam = sum_shift(moved, moved.agg(F.sum(clipped(F.col("v")))).first()[0], lo, hi)
+        lam = sum_shifts(moved.withColumn("bag", F.lit(0)), "bag", {0: (lo, hi)})[0]
         nxt = moved.withColumn("new", clipped(F.col("v") - F.lit(lam)))
         worst, uphill = nxt.agg(
             F.max(F.abs(F.col("new") - F.col("y"))),

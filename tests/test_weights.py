@@ -183,13 +183,100 @@ def test_wide_distances_keep_their_digits():
     assert d2[0, 1] == pytest.approx(((x[0] - x[1]) ** 2).sum(), rel=1e-9)
 
 
-def test_sum_shift_meets_its_bound(spark):
+def test_sum_shifts_meet_their_bounds(spark):
     v = np.array([3.0, -1.0, 0.5, 2.0, 9.0])
-    df = spark.createDataFrame([(float(a),) for a in v], "v double")
-    for lo, hi in ((1.0, 4.0), (20.0, 30.0)):
-        lam = K.sum_shift(df, float(np.clip(v, 0, qp.BOX).sum()), lo, hi)
-        total = np.clip(v - lam, 0, qp.BOX).sum()
-        assert lo - 1e-9 <= total <= hi + 1e-9
+    bounds = {0: (1.0, 4.0), 1: (20.0, 30.0), 2: (0.0, 99.0)}
+    df = spark.createDataFrame([(k, float(a)) for k in bounds for a in v], "k int, v double")
+    lam = K.sum_shifts(df, "k", bounds)
+    assert lam[2] == 0.0
+    for k, (lo, hi) in bounds.items():
+        assert lo - 1e-9 <= np.clip(v - lam[k], 0, qp.BOX).sum() <= hi + 1e-9
+
+
+def test_problems_of_one_large_bag_step_together(spark, points, monkeypatch):
+    """Five test bags against one train bag beyond a task: one sequence, weights as of a solve of its own."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", (16, 16))
+    sequences = []
+    monkeypatch.setattr(interior, "sequence", lambda *a, run=interior.sequence: sequences.append(a[-1]) or run(*a))
+    tr, te = B.whole_bag(points(X), 40), B.partition_bags(points(Z, 500), 20, 5, tail="keep")
+    pairs = B.cartesian_pairs(spark, 1, te.count)
+    rows = M.bag_weights(tr, te, pairs, 0.7, bag_rows=0).collect()
+    assert sequences == [5] and len(rows) == 200 and max(r.residual for r in rows) < 1e-6
+    for bag in range(5):
+        got = {r.row_id: r.beta for r in rows if r.te_bag == bag}
+        z = Z[20 * bag :][:20]
+        want = {i: b for i, b in enumerate(direct(X, z, 0.7))}
+        assert objective(X, z, 0.7, got) == pytest.approx(objective(X, z, 0.7, want), rel=1e-8)
+    # Fewer at once where their matrices are large, and some of the pairs only; the weights are the same.
+    monkeypatch.setattr(interior, "SYSTEM_CELLS", 1)
+    some = spark.createDataFrame([(0, 0, 3), (1, 0, 1)], "pair_id long, tr_bag int, te_bag int")
+    again = {(r.te_bag, r.row_id): r.beta for r in M.bag_weights(tr, te, some, 0.7, bag_rows=0).collect()}
+    assert sequences == [5, 1, 1] and len(again) == 80
+    first = {(r.te_bag, r.row_id): r.beta for r in rows}
+    assert max(abs(first[k] - b) for k, b in again.items()) < 1e-6
+
+
+def exchanges(df):
+    """Shuffles in the plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    return [line for line in plan.split("\n") if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_kernel_sums_without_broadcasts_send_blocks_once(spark, points, monkeypatch):
+    """Packing, then one exchange into the cells of the grid; sums by pair, with pairs of all bags and of some."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", (16, 16))
+    tr, te = B.partition_bags(points(X), 20, 2), B.partition_bags(points(Z), 30, 3)
+    every, some = B.cartesian_pairs(spark, 2, 3), spark.createDataFrame([(0, 1, 2), (1, 0, 0)], "pair_id long, tr_bag int, te_bag int")
+    key = lambda df: {(r.pair_id, r.te_bag, r.row_id): r.kappa for r in df.collect()}
+    want = [key(K.kappa(tr, te, p, 0.7)) for p in (every, some)]
+    grams = {(r.bag_id, r.pos, r.blk): r.k for r in K.gram(tr, 0.7).collect()}
+    monkeypatch.setattr("reweight.operators.lineage.BROADCAST_BYTES", 4096)
+    monkeypatch.setattr(K, "small_enough", lambda size: False)
+    for n, (pairs, right) in enumerate(zip((every, some), want)):
+        got = key(K.kappa(tr, te, pairs, 0.7))
+        assert got.keys() == right.keys() and max(abs(got[k] - right[k]) for k in got) < 1e-9
+    assert {(r.bag_id, r.pos, r.blk): r.k for r in K.gram(tr, 0.7).collect()} == grams
+    # At most: left and right blocks packed, dealt to the cells, sums added up; positions of the points aside.
+    plan = exchanges(K.kappa(tr, te, every, 0.7, n_pairs=6))
+    assert len(plan) <= len(exchanges(tr.df)) + len(exchanges(te.df)) + 4
+    assert sum("tr_blk" in line or "te_blk" in line for line in plan) == 0 and sum("cell" in line for line in plan) == 1
+
+
+def test_grids_cover_all_pairs_of_blocks_once(spark):
+    from reweight.operators import tiles
+
+    blocks = spark.range(7).select((F.col("id") % 1).alias("grp"), F.col("id").alias("at"))
+    import pandas as pd
+
+    def pair(a, b):
+        return pd.DataFrame({"a": [a.at], "b": [b.at]})
+
+    for shape in ((1, 1), (3, 2), (7, 7)):
+        rows = [tuple(r) for r in tiles.tiled(blocks, blocks, shape, 1, "a long, b long", pair).collect()]
+        assert sorted(rows) == [(a, b) for a in range(7) for b in range(7)]
+        if shape[0] == shape[1]:
+            rows = [tuple(r) for r in tiles.tiled(blocks, blocks, shape, 1, "a long, b long", pair, upper=True).collect()]
+            assert sorted(rows) == [(a, b) for a in range(7) for b in range(a, 7)]
+    assert tiles.grid(1, 100, 1000, 1e6, 1e8, 64) == (1, 64)
+    assert tiles.grid(1, 10, 10, 20 * tiles.STRIPE_BYTES, 1.0, 1)[0] == 10
+
+
+def test_sampled_width_brackets_the_median(points):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 2)), 1)
+    exact = dense.median_distance(x)
+    r = K.sampled_width(points(x), 20_000, 5).first()
+    assert r.low <= exact <= r.high and r.low <= r.gamma <= r.high and r.high - r.low < 0.1 and not r.exact and r.pairs == 20_000
+    with pytest.raises(ValueError, match="two rows"):
+        K.sampled_width(points(x[:1]))
+
+
+def test_width_by_bins_of_equal_and_skewed_distances(points, small_blocks, monkeypatch):
+    """A bin that keeps too many distances is cut again, down to one value."""
+    monkeypatch.setattr(K, "SHIPPED", 3)
+    monkeypatch.setattr(K, "BINS", 4)
+    for x in (np.ones((40, 2)), np.repeat([[0.0], [1.0], [1e-6]], 14, axis=0), X[:33] ** 7):
+        assert K.kernel_width(points(x), bag_rows=0) == pytest.approx(dense.median_distance(x), rel=1e-12, abs=1e-12)
 
 
 def test_train_splits_have_mean_one(train, test):
