@@ -8,8 +8,15 @@ SLICE_CELLS = 2**17
 LOOP_WIDTH = 32
 
 
-def sq_dists(x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances; works on (n, d) and on stacks (g, n, d)."""
+def matrix(x: np.ndarray, width: int):
+    """Rows of a packed block: an array of so many columns, or sparse rows where `width` is a :class:`SparseRows`."""
+    return Sparse(x) if isinstance(width, SparseRows) else x.reshape(-1, width)
+
+
+def sq_dists(x, z) -> np.ndarray:
+    """Squared Euclidean distances; works on (n, d), on stacks (g, n, d), and on sparse rows."""
+    if isinstance(x, Sparse):
+        return np.maximum(x.norms()[:, None] + z.norms()[None, :] - 2.0 * x.products(z), 0.0)
     if x.shape[-1] > LOOP_WIDTH:
         # Around a common centre the products keep their digits.
         centre = z.mean(-2, keepdims=True)
@@ -26,10 +33,10 @@ def sq_dists(x: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def gram_stack(x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """Gaussian Gram matrices of a stack of bags (g, n, d) with one gamma per bag."""
-    k = np.exp(-gamma[:, None, None] * sq_dists(x, x))
+    """Gaussian Gram matrices of a stack of bags (g, n, d), or a list of sparse ones, with one gamma per bag."""
+    k = np.exp(-gamma[:, None, None] * (np.stack([sq_dists(b, b) for b in x]) if isinstance(x, list) else sq_dists(x, x)))
     k = 0.5 * (k + np.swapaxes(k, -1, -2))
-    i = np.arange(x.shape[1])
+    i = np.arange(k.shape[1])
     k[:, i, i] = 1.0
     return k
 
@@ -39,6 +46,10 @@ def kernel_dot(x: np.ndarray, z: np.ndarray, w: np.ndarray | None, gamma: float)
 
     `w` may have several columns, each with weights of its own; so has the result then. The exponent is one matrix product of widened vectors, around a common centre so that it keeps its digits.
     """
+    if isinstance(x, Sparse):
+        step = max(1, SLICE_CELLS // len(z))
+        parts = [np.exp(-gamma * sq_dists(x.rows(lo, lo + step), z)) for lo in range(0, len(x), step)]
+        return np.concatenate([k.sum(1) if w is None else k @ w for k in parts])
     centre = z.mean(0)
     x, z = x - centre, z - centre
     xx, zz = -gamma * (x * x).sum(1, keepdims=True), -gamma * (z * z).sum(1, keepdims=True)
@@ -59,3 +70,59 @@ def median_distance(x: np.ndarray) -> float:
         return float("nan")
     d2 = sq_dists(x, x)[np.triu_indices(len(x), 1)]
     return float(np.median(np.sqrt(d2)))
+
+
+class SparseRows(int):
+    """In place of a width: the table has `entries`, about so many a row."""
+
+
+class Sparse:
+    """Rows of a block by their entries: row lengths, feature numbers and values, packed in one array after the row count."""
+
+    def __init__(self, packed: np.ndarray):
+        n = int(packed[0])
+        self.sizes = packed[1 : n + 1].astype(np.int64)
+        self.index, self.value = np.split(packed[n + 1 :], 2)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def rows(self, low: int, high: int) -> "Sparse":
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        part = slice(ends[low], ends[min(high, len(self))])
+        out = object.__new__(Sparse)
+        out.sizes, out.index, out.value = self.sizes[low:high], self.index[part], self.value[part]
+        return out
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.sizes)
+
+    def norms(self) -> np.ndarray:
+        return np.bincount(self.row(), self.value**2, len(self))
+
+    def products(self, other: "Sparse") -> np.ndarray:
+        """Inner products of all rows with all rows of the other block, from features that both blocks have.
+
+        Entries are grouped by feature; each shared feature adds the products of its entries on either side. They are
+        spelled out in runs of at most SLICE_CELLS, or of one feature where it has more, and summed by pair of rows.
+        """
+        out = np.zeros(len(self) * len(other))
+        a, b = np.argsort(self.index, kind="stable"), np.argsort(other.index, kind="stable")
+        names, first, count = np.unique(self.index[a], return_index=True, return_counts=True)
+        names2, first2, count2 = np.unique(other.index[b], return_index=True, return_counts=True)
+        _, i, j = np.intersect1d(names, names2, assume_unique=True, return_indices=True)
+        first, count, first2, count2 = first[i], count[i], first2[j], count2[j]
+        row, row2 = self.row()[a], other.row()[b]
+        value, value2 = self.value[a], other.value[b]
+        work = np.cumsum(count * count2)
+        low = 0
+        while low < len(work):
+            done = work[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(work, done + SLICE_CELLS, side="right")))
+            c, c2 = count[low:high], count2[low:high]
+            feature = np.repeat(np.arange(high - low), c * c2)
+            place = np.arange(len(feature)) - np.repeat(np.cumsum(c * c2) - c * c2, c * c2)
+            left, right = first[low:high][feature] + place // c2[feature], first2[low:high][feature] + place % c2[feature]
+            out += np.bincount(row[left] * len(other) + row2[right], value[left] * value2[right], len(out))
+            low = high
+        return out.reshape(len(self), len(other))

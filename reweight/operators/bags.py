@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reweight.functions.dense import SparseRows
 from reweight.functions.uniform import uniform
 from reweight.operators.index import row_index, shuffle_index
 
@@ -20,7 +21,7 @@ DRAWS_PER_PARTITION = 250_000
 
 @dataclass(frozen=True)
 class Bags:
-    """Bag rows (bag_id INT, pos INT, row_id LONG, idx LONG, features) with ids 0..count-1.
+    """Bag rows (bag_id INT, pos INT, row_id LONG, idx LONG, features or entries) with ids 0..count-1.
 
     `repeats`: drawn with replacement, every bag full. `cycle`: bags per repetition when several independent
     cuts of the same table are held side by side, numbered repetition by repetition.
@@ -76,10 +77,11 @@ def width_of(df: DataFrame) -> int:
     """Length of the feature vectors; 0 for an empty table or one without features.
 
     Blocks are cut by this length, so vectors that are missing, of another length or with null components are an
-    error. One aggregate over the features.
+    error. One aggregate over the features. For sparse rows, `entries` without `features`, it is the mean number of
+    entries, marked as such; missing entries or null values are an error as well.
     """
     if "features" not in df.columns:
-        return 0
+        return entries_of(df) if "entries" in df.columns else 0
     size = F.coalesce(F.size("features"), F.lit(-1))
     holes = F.coalesce(F.exists("features", lambda v: v.isNull()), F.lit(False))
     low, high, bad = df.agg(F.min(size), F.max(size), F.max(holes.cast("int"))).first()
@@ -91,6 +93,14 @@ def width_of(df: DataFrame) -> int:
     return low
 
 
+def entries_of(df: DataFrame) -> int:
+    holes = F.col("entries").isNull() | F.exists(F.map_values("entries"), lambda v: v.isNull())
+    mean, wrong = df.agg(F.avg(F.size("entries")), F.sum(holes.cast("int"))).first()
+    if wrong:
+        raise ValueError(f"{wrong} rows have missing or incomplete entries")
+    return SparseRows(math.ceil(mean)) if mean is not None else 0
+
+
 def _place(df: DataFrame, size: int, *first: str) -> DataFrame:
     """bag_id and pos of a row from its position."""
     rest = [c for c in df.columns if c not in ("idx", *first)]

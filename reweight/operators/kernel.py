@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reweight.functions.dense import kernel_dot, median_distance, sq_dists
+from reweight.functions.dense import SparseRows, kernel_dot, matrix, median_distance, sq_dists
 from reweight.functions.qp import BOX, project, sum_bounds
 from reweight.functions.uniform import uniform
 from reweight.functions.vectors import sq_distance
@@ -33,9 +33,14 @@ BINS = 1 << 16
 SHIPPED = 1_000_000
 
 
+def row_bytes(width: int) -> int:
+    """Bytes of a row in a block; on average for sparse rows."""
+    return 16 * int(width) + 32 if isinstance(width, SparseRows) else 8 * (width + 2)
+
+
 def block_rows(width: int) -> int:
     low, high = BLOCK_ROWS
-    return int(min(high, max(low, BLOCK_BYTES // (8 * max(width, 1)))))
+    return int(min(high, max(low, BLOCK_BYTES // max(8, row_bytes(width) - 16))))
 
 
 def feature_width(df: DataFrame) -> DataFrame:
@@ -44,7 +49,14 @@ def feature_width(df: DataFrame) -> DataFrame:
 
 
 def pack(rows: DataFrame, bag: str, rows_per_block: int, *extra: str) -> DataFrame:
-    """(bag, blk, row_ids, x, extra...): at most `rows_per_block` rows per block, x row-major, by `pos`."""
+    """(bag, blk, row_ids, x, extra...): at most `rows_per_block` rows per block, by `pos`; x row-major, or sparse rows."""
+    if "features" not in rows.columns:
+        rows = rows.withColumn("features", F.array_sort(F.map_entries("entries")))
+        flat = lambda c: F.flatten(F.transform("rows.features", lambda r: F.transform(r, lambda e: e[c].cast("double"))))
+        sizes = F.transform("rows.features", lambda r: F.size(r).cast("double"))
+        x = F.concat(F.array(F.size("rows").cast("double")), sizes, flat("key"), flat("value"))
+    else:
+        x = F.flatten("rows.features")
     item = F.struct("pos", "row_id", "features", *extra)
     return (
         rows.withColumn("blk", F.floor(F.col("pos") / rows_per_block).cast("int"))
@@ -55,7 +67,7 @@ def pack(rows: DataFrame, bag: str, rows_per_block: int, *extra: str) -> DataFra
             "blk",
             F.col("rows.pos").alias("poss"),
             F.col("rows.row_id").alias("row_ids"),
-            F.flatten("rows.features").alias("x"),
+            x.alias("x"),
             *[F.col(f"rows.{e}").alias(e) for e in extra],
         )
     )
@@ -63,7 +75,7 @@ def pack(rows: DataFrame, bag: str, rows_per_block: int, *extra: str) -> DataFra
 
 def kernel_sums(x: np.ndarray, z: np.ndarray, w: np.ndarray | None, width: int, gamma: float) -> np.ndarray:
     """Kernel row sums of one block pair. `w` holds weights of the right-hand rows, set by set; so does the result."""
-    a, b = x.reshape(-1, width), z.reshape(-1, width)
+    a, b = matrix(x, width), matrix(z, width)
     if w is None or len(w) == len(b):
         return kernel_dot(a, b, w, gamma)
     return kernel_dot(a, b, w.reshape(-1, len(b)).T, gamma).T.ravel()
@@ -85,11 +97,16 @@ def width_udf(width: int):
     """Median pair distance of one packed bag."""
 
     def median(x: pd.Series) -> pd.Series:
-        return x.map(lambda a: median_distance(a.reshape(-1, width)))
+        return x.map(lambda a: median_distance(matrix(a, width)))
 
     return F.pandas_udf(median, "double")
 
 
+def holder(df: DataFrame) -> str:
+    """The column that holds a row's features."""
+    return "features" if "features" in df.columns else "entries"
+
+
 def left_rows(tr: Bags, width: int) -> int:
     """Rows per block on the train side: a bag that fits one task stays whole."""
     return max(tr.size, 1) if tr.size <= BAG_ROWS else block_rows(width)
@@ -104,7 +121,7 @@ def packed_left(tr: Bags, width: int, gamma: float | None, *extra: str) -> DataF
     if tr.size > BAG_ROWS:
         # Few bags, each with its own selection over block pairs.
         own = [one_bag(tr, b) for b in range(tr.count)]
-        rows = [b.df.select(F.col("idx").alias("row_id"), "idx", "features") for b in own]
+        rows = [b.df.select(F.col("idx").alias("row_id"), "idx", holder(b.df)) for b in own]
         widths = [(b, kernel_width(r, o.total, width=width, bag_rows=BAG_ROWS)) for b, (r, o) in enumerate(zip(rows, own, strict=True))]
         table = tr.df.sparkSession.createDataFrame(widths, "tr_bag int, gamma double")
         return blocks.join(broadcast_if(table, 16 * len(widths)), "tr_bag")
@@ -163,7 +180,7 @@ def block_sums(
     extra = [weight] if weight else []
     left = packed_left(tr, width, gamma) if left is None else left
     right = packed_right(te, width, *extra) if right is None else right
-    sizes = tr.table_rows * (width + 2) * 8, te.table_rows * (width + 1) * 8
+    sizes = tr.table_rows * row_bytes(width), te.table_rows * row_bytes(width)
     if not all(map(small_enough, sizes)):
         return tiled_sums(tr, te, pairs, width, left, right, sizes, n_pairs=n_pairs, weight=weight)
     tasks, _ = block_tasks(tr, te, pairs, n_pairs, width)
@@ -255,10 +272,10 @@ def gram(tr: Bags, gamma: float | None = None) -> DataFrame:
     """(bag_id, pos, blk, k): rows of each bag's Gram matrix, cut into array pieces of one block."""
     width = tr.width
     pairs, left, right = self_pairs(tr), packed_left(tr, width, gamma), packed_right(tr, width)
-    size = tr.table_rows * (width + 2) * 8
+    size = tr.table_rows * row_bytes(width)
 
     def piece(a, b) -> pd.DataFrame:
-        k = np.exp(-a.gamma * sq_dists(a.x.reshape(-1, width), b.z.reshape(-1, width)))
+        k = np.exp(-a.gamma * sq_dists(matrix(a.x, width), matrix(b.z, width)))
         return pd.DataFrame({"bag_id": a.tr_bag, "pos": a.poss, "blk": b.te_blk, "k": list(k)})
 
     if not small_enough(size):
@@ -409,7 +426,7 @@ class PairDistances:
 
     def __init__(self, blocks: DataFrame, n: int, width: int, count: int):
         self.blocks, self.width = blocks, width
-        size = n * width * 8.0
+        size = n * row_bytes(width)
         tasks = task_count(blocks, count * (count + 1) // 2)
         side = max(math.ceil(size / STRIPE_BYTES), math.ceil(math.sqrt(2 * tasks)))
         self.side = max(1, min(side, count))
@@ -418,9 +435,17 @@ class PairDistances:
         self.shipped: dict[tuple[float, float], np.ndarray] = {}
 
     def spans(self) -> tuple[float, float]:
-        """Bounds of all squared distances, from the range of each feature."""
+        """Bounds of all squared distances, from the range of each feature, or for sparse rows from the largest norm."""
         width = self.width
 
+        def norms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"norm": [max(matrix(x, width).norms().max() for x in pdf["x"])]})
+
+        if isinstance(width, SparseRows):
+            norm = self.blocks.select("x").mapInPandas(norms, "norm double").agg(F.max("norm")).first()[0]
+            return 0.0, 4.0 * norm * (1 + 1e-9)
+
         def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x = np.concatenate(pdf["x"].to_list()).reshape(-1, width)
@@ -435,7 +460,7 @@ class PairDistances:
         width = self.width
 
         def visit(a, b):
-            d2 = sq_dists(a.x.reshape(-1, width), b.x.reshape(-1, width))
+            d2 = sq_dists(matrix(a.x, width), matrix(b.x, width))
             one(a.shared, d2[np.triu_indices(len(d2), 1)] if a.at == b.at else d2.ravel())
 
         def finish(a):
@@ -502,6 +527,8 @@ def sampled_width(df: DataFrame, pairs: int = 1_000_000, seed: int = 0, *, n: in
     statistics of the draws, `z` deviations of a fair coin away from the middle: the exact median is between them with
     the probability of the normal law (0.999 at 3.29), whatever the distances are.
     """
+    if "features" not in df.columns:
+        raise ValueError("pairs are drawn from rows with features")
     rows = row_index(df, n=n) if "idx" not in df.columns else df
     n = df.count() if n is None else n
     if n < 2:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reweight.functions.dense import gram_stack
+from reweight.functions.dense import SparseRows, gram_stack, matrix
 from reweight.functions.qp import solve_stack, sum_bounds
 from reweight.operators import interior
 from reweight.operators.bags import Bags, cartesian_pairs, one_bag, whole_bag, width_of
@@ -25,6 +25,7 @@ from reweight.operators.kernel import (
     packed_left,
     packed_right,
     pair_sums,
+    row_bytes,
     self_pairs,
     sum_shifts,
 )
@@ -51,7 +52,10 @@ def solve_bags(ready: DataFrame, width: int) -> DataFrame:
                 for lo in range(0, len(same), stack):
                     part = same.iloc[lo : lo + stack]
                     start = time.perf_counter()
-                    x = np.stack(part["x"].to_list()).reshape(len(part), n, width)
+                    if isinstance(width, SparseRows):
+                        x = [matrix(v, width) for v in part["x"]]
+                    else:
+                        x = np.stack(part["x"].to_list()).reshape(len(part), n, width)
                     k = gram_stack(x, part["gamma"].to_numpy())
                     beta, res, steps = solve_stack(k, np.stack(part["kappa"].to_list()))
                     spent = (time.perf_counter() - start) / len(part)
@@ -93,12 +97,14 @@ def bag_weights(
     """
     width = tr.width
     if tr.size > bag_rows:
+        if isinstance(width, SparseRows):
+            raise ValueError(f"a bag of {tr.size} sparse rows is beyond the {bag_rows} that one task solves; take smaller bags")
         return _large_bags(tr, te, pairs, gamma, max_steps, tolerance)
     n_pairs = pairs.count() if n_pairs is None else n_pairs
     scale = kappa_scale(tr, te)
     shared = gamma is not None and source is not None and tr.repeats and tr.table_rows >= tr.total
     one_block = te.size <= block_rows(width)
-    small = max(tr.table_rows, te.table_rows) * (width + 2) * 8
+    small = max(tr.table_rows, te.table_rows) * row_bytes(width)
     parts = task_count(tr.df, n_pairs)
     if one_block and not shared:
         sums = block_sums(tr, te, pairs, gamma, width, n_pairs=n_pairs)

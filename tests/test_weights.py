@@ -336,3 +336,50 @@ def test_nmse_by_definition(spark):
     want = ((b / b.sum() - t / t.sum()) ** 2).mean()
     got = V.nmse(V.align_truth(df.select("row_id", "beta"), df)).first()
     assert got["rows"] == 30 and got["nmse"] == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def sparse_rows():
+    """Rows of few of 5,000 features, some of them shared by most rows, and an empty one."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(45):
+        own = {int(j): float(v) for j, v in zip(rng.choice(5000, 12, replace=False), rng.normal(size=12))}
+        rows.append({} if i == 7 else own | {int(j): float(rng.normal()) for j in rng.choice(6, 3, replace=False)})
+    return rows
+
+
+def tables(spark, rows):
+    """The same rows with their entries, and filled, over the features that occur."""
+    names = sorted({j for r in rows for j in r})
+    sparse = spark.createDataFrame(list(enumerate(rows)), "row_id long, entries map<int,double>").repartition(3)
+    filled = [(i, [r.get(j, 0.0) for j in names]) for i, r in enumerate(rows)]
+    return sparse, spark.createDataFrame(filled, "row_id long, features array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_kernels_of_sparse_rows_equal_those_of_filled_rows(spark, sparse_rows, monkeypatch, shuffled):
+    monkeypatch.setattr(K, "BLOCK_ROWS", (8, 8))
+    monkeypatch.setattr(dense, "SLICE_CELLS", 50)
+    if shuffled:
+        monkeypatch.setattr(K, "small_enough", lambda size: False)
+    found = []
+    for df in tables(spark, sparse_rows):
+        tr, te = B.partition_bags(df.where("row_id < 20"), 10, 2), B.partition_bags(df.where("row_id >= 20"), 13, 2, tail="keep")
+        pairs = B.cartesian_pairs(spark, 2, 2)
+        out = {("kappa", r.pair_id, r.row_id): r.kappa for r in K.kappa(tr, te, pairs, 0.05).collect()}
+        out |= {("gram", r.bag_id, r.pos, r.blk, i): v for r in K.gram(tr).collect() for i, v in enumerate(r.k)}
+        out |= {("width", r.bag_id): r.gamma for r in K.bag_widths(tr).collect()}
+        out |= {("all", n): K.kernel_width(df, bag_rows=n) for n in (0, 100)}
+        out |= {("beta", r.pair_id, r.row_id): r.beta for r in M.bag_weights(tr, te, pairs, 0.05).collect()}
+        found.append(out)
+    assert found[0].keys() == found[1].keys()
+    assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-8
+
+
+def test_sparse_rows_that_cannot_be_weighted(spark, sparse_rows):
+    sparse, _ = tables(spark, sparse_rows)
+    with pytest.raises(ValueError, match="1 rows have missing"):
+        B.width_of(sparse.withColumn("entries", F.when(F.col("row_id") > 0, F.col("entries"))))
+    with pytest.raises(ValueError, match="smaller bags"):
+        M.bag_weights(B.whole_bag(sparse, 45), B.whole_bag(sparse, 45), B.cartesian_pairs(spark, 1, 1), 1.0, bag_rows=10)
