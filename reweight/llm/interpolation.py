@@ -167,8 +167,8 @@ def numbers(raw: bytes) -> np.ndarray:
 
 
 # What the cutting hands to the matching: documents; pairs of frequent words; pairs that end in a rare word; pairs that begin
-# with one; pairs of rare words; counts of frequent pairs. What comes out: documents, pairs with their counts, ...
-DOCUMENT, FREQUENT, RARE_END, RARE_START, RARE, TALLY, DEV = range(7)
+# with one; pairs of rare words; counts of frequent pairs. Then: counts in documents set aside, and sums of documents.
+DOCUMENT, FREQUENT, RARE_END, RARE_START, RARE, TALLY, DEV, SUM = range(8)
 ROW = "kind int, bucket int, rid long, doc_id long, role int, p long, q long, base double, x binary, y binary, z binary, t binary"
 COLUMNS = {c.split()[0]: k for c, k in zip(ROW.split(", "), [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.float64()] + [pa.binary()] * 4)}
 
@@ -232,7 +232,7 @@ def cutting(shared, parts: int, most: int):
             places, many = at.astype("<u4"), times.astype("<u4")
             slices = list(zip(ends, ends[1:]))
             yield rows_of(
-                docs, kind=[DOCUMENT] * docs, bucket=bucket_of(rids.view(np.uint64)), rid=rids, role=roles, p=sizes, q=known, base=base,
+                docs, kind=[DOCUMENT] * docs, bucket=document_bucket(rids, parts), rid=rids, role=roles, p=sizes, q=known, base=base,
                 doc_id=ids.tolist(), x=[places[s:e].tobytes() for s, e in slices], t=[many[s:e].tobytes() for s, e in slices],
             )
             if len(at):
@@ -261,7 +261,7 @@ def cutting(shared, parts: int, most: int):
             if rare.any():
                 n, own = int(rare.sum()), doc[rare]
                 pair = [names[rare].view(np.int64), tokens[rare].view(np.int64)]
-                yield rows_of(n, kind=[RARE] * n, bucket=bucket_of(rids[own].view(np.uint64)), rid=rids[own], role=roles[own], p=pair[0], q=pair[1])
+                yield rows_of(n, kind=[RARE] * n, bucket=document_bucket(rids[own], parts), rid=rids[own], role=roles[own], p=pair[0], q=pair[1])
 
     return run
 
@@ -451,53 +451,116 @@ def logs(weights, pair, context, word, total: int, distinct: int) -> np.ndarray:
     return np.log10((weights[:, bucket(context)] * parts_of(pair, context, word, total, distinct)).sum(0))
 
 
-SUM = "rid long, score double, base double, known long, copies long"
+class Totals:
+    """Sums per document, handed on as one packed row per bucket of documents."""
 
+    def __init__(self, parts: int):
+        self.parts, self.held, self.size = parts, [], 0
 
-def summing(weights: np.ndarray, total: int, distinct: int):
+    def add(self, rids, score, base=None, known=None, copies=None):
+        zero = np.zeros(len(rids))
+        self.held.append((rids, *(zero if v is None else v for v in (score, base, known, copies))))
+        self.size += len(rids)
+        return self.rows() if self.size >= CUT else None
+
+    def rows(self):
+        if not self.size:
+            return rows_of(0)
+        rids, *sums = (np.concatenate(c) for c in zip(*self.held))
+        self.held, self.size = [], 0
+        rids, at = np.unique(rids, return_inverse=True)
+        sums = np.stack([np.bincount(at, v) for v in sums])
+        bucket = document_bucket(rids, self.parts)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rids, sums = bucket[order], rids[order], sums[:, order]
+        cut = np.flatnonzero(np.diff(bucket)) + 1
+        spans = list(zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]))
+        packed = [rids[s:e].tobytes() for s, e in spans], [sums[:, s:e].tobytes() for s, e in spans]
+        return rows_of(len(spans), kind=[SUM] * len(spans), bucket=[int(bucket[s]) for s, _ in spans], x=packed[0], y=packed[1])
+
+
+def document_bucket(rids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(rids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def summing(weights: np.ndarray, total: int, distinct: int, parts: int):
     """Packed pairs with counts to sums per document."""
 
     def run(batches):
+        totals = Totals(parts)
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y, z, t = (c[i].as_py() for c in batch.columns)
                 rids, sizes = np.frombuffer(x, "<i8"), numbers(y).astype(np.int64)
                 pair, context, word, times = numbers(z).astype(float).reshape(4, -1)
-                base, known = np.frombuffer(t).reshape(2, -1)
                 doc = np.repeat(np.arange(len(rids)), sizes)
                 score = np.bincount(doc, times * logs(weights, pair, context, word, total, distinct), len(rids))
-                cols = [pa.array(rids), pa.array(score), pa.array(base), pa.array(known.astype(np.int64)), pa.array(np.zeros(len(rids), np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SUM.split(", ")])
+                if (full := totals.add(rids, score, *np.frombuffer(t).reshape(2, -1))) is not None:
+                    yield full
+        yield totals.rows()
 
     return run
 
 
-def of_rare(weights: np.ndarray, total: int, distinct: int):
-    """(rid, c, ch, cw) of pairs of rare words to their part of the score."""
+def of_rare(weights: np.ndarray, total: int, distinct: int, parts: int):
+    """(rid, c, ch, cw) of pairs of rare words to sums per document."""
 
     def run(batches):
+        totals = Totals(parts)
         for batch in batches:
-            c, ch, cw = (batch.column(i).to_numpy().astype(float) for i in (1, 2, 3))
-            score = logs(weights, c, ch, cw, total, distinct) if len(c) else c
-            zero = pa.array(np.zeros(len(c), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(np.zeros(len(c))), zero, zero], [c.split()[0] for c in SUM.split(", ")])
+            if batch.num_rows:
+                c, ch, cw = (batch.column(i).to_numpy().astype(float) for i in (1, 2, 3))
+                if (full := totals.add(batch.column(0).to_numpy(), logs(weights, c, ch, cw, total, distinct))) is not None:
+                    yield full
+        yield totals.rows()
 
     return run
 
 
-DONE = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+def of_copies(parts: int):
+    """(rid) to how many documents have it, as a sum of its documents."""
+
+    def run(batches):
+        totals = Totals(parts)
+        for batch in batches:
+            if batch.num_rows:
+                rids = batch.column(0).to_numpy()
+                if (full := totals.add(rids, np.zeros(len(rids)), copies=np.ones(len(rids)))) is not None:
+                    yield full
+        yield totals.rows()
+
+    return run
+
+
+DONE = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def finishing(shared):
-    """Documents beside their sums, with what frequent pairs add."""
+    """Sums of a bucket of documents, then its documents, to finished rows; frequent pairs are looked up."""
 
     def run(batches):
-        table = shared.value
+        table, held, rids, sums = shared.value, [], None, None
         for batch in batches:
-            score = batch.column(6).to_numpy().copy()
-            for i, (x, t) in enumerate(zip(batch.column(7).to_pylist(), batch.column(8).to_pylist())):
-                score[i] += table[np.frombuffer(x, "<u4")] @ np.frombuffer(t, "<u4")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], [c.split()[0] for c in DONE.split(", ")])
+            kinds = batch.column("kind").to_numpy()
+            for i in np.flatnonzero(kinds == SUM).tolist():
+                own = np.frombuffer(batch.column("x")[i].as_py(), "<i8")
+                held.append((own, np.frombuffer(batch.column("y")[i].as_py()).reshape(4, -1)))
+            docs = batch.filter(pa.array(kinds == DOCUMENT))
+            if not docs.num_rows:
+                continue
+            if rids is None:
+                rids, at = np.unique(np.concatenate([r for r, _ in held]), return_inverse=True)
+                sums = np.stack([np.bincount(at, v) for v in np.concatenate([v for _, v in held], axis=1)])
+                held = []
+            score, base, known, copies = sums[:, np.searchsorted(rids, docs.column("rid").to_numpy())]
+            score = score / copies
+            for i, (x, t) in enumerate(zip(docs.column("x"), docs.column("t"))):
+                score[i] += table[np.frombuffer(x.as_py(), "<u4")] @ np.frombuffer(t.as_py(), "<u4")
+            known = docs.column("q").to_numpy() + np.rint(known / copies).astype(np.int64)
+            base = docs.column("base").to_numpy() + base / copies
+            held_out = pa.array(docs.column("role").to_numpy() == HELD_OUT)
+            cols = [docs.column("doc_id"), held_out, docs.column("p"), pa.array(known), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in DONE.split(", ")])
 
     return run
 
@@ -554,15 +617,13 @@ def score(docs: DataFrame) -> DataFrame:
     a, b = split(hot.pairs)
     table = spark.sparkContext.broadcast(logs(weights, count, hot.c[a], hot.c[b], total, distinct))
 
-    sums = rows.where(F.col("kind") == FREQUENT).select("x", "y", "z", "t").mapInArrow(summing(weights, total, distinct), SUM)
-    alone = rare.select("rid", "c", "ch", "cw").mapInArrow(of_rare(weights, total, distinct), SUM)
+    # Sums meet their documents in the documents' buckets, and come first there.
+    sums = rows.where(F.col("kind") == FREQUENT).select("x", "y", "z", "t").mapInArrow(summing(weights, total, distinct, parts), ROW)
+    alone = rare.select("rid", "c", "ch", "cw").mapInArrow(of_rare(weights, total, distinct, parts), ROW)
     own = rows.where(F.col("kind") == DOCUMENT)
-    copies = own.select("rid", F.lit(0.0).alias("score"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), F.lit(1).cast("long").alias("copies"))
-    sums = sums.unionByName(alone).unionByName(copies).groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "copies")])
-    sums = sums.select("rid", (F.col("score") / F.col("copies")).alias("s"), (F.col("base") / F.col("copies")).alias("b"), F.expr("known div copies").alias("k"))
-    full = own.select("rid", "doc_id", "role", "p", "q", "base", "x", "t").join(sums, "rid")
-    full = full.select("rid", "doc_id", (F.col("role") == HELD_OUT).alias("held_out"), "p", (F.col("q") + F.col("k")).alias("known"), (F.col("base") + F.col("b")).alias("base"), "s", "x", "t")
-    done = full.mapInArrow(finishing(table), DONE)
+    copies = own.select("rid").mapInArrow(of_copies(parts), ROW)
+    full = own.unionByName(sums).unionByName(alone).unionByName(copies).repartitionById(parts, F.col("bucket"))
+    done = full.sortWithinPartitions(F.desc("kind")).mapInArrow(finishing(table), DONE)
     floor = F.log10(F.lit(float(total + distinct + 1)))
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score")
 
