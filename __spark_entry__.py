@@ -7,9 +7,8 @@ runs its general solver. Larger bags appear as property checks (feasible, optima
 
 from __future__ import annotations
 
-import importlib.util
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -30,13 +29,18 @@ from reweight.operators import kmm as M
 from reweight.operators import split as S
 from reweight.operators import stats as T
 from reweight.operators.index import row_index
+from reweight.operators.lineage import shared_folder
 from reweight.plans import pipelines as P
 from reweight.plans import study as Y
 from reweight.sources import tables as W
 from reweight.sources import text as X
 
-# The training-data operators are a part that may be left out of an installation.
-HAS_LLM = bool(importlib.util.find_spec("reweight.llm") and importlib.util.find_spec("corpus_pipeline"))
+# The training-data operators are a part that may be left out of an installation, or lack a library that they need.
+try:
+    import corpus_pipeline
+    from reweight.llm import registry
+except ImportError:
+    corpus_pipeline = registry = None
 
 SEED = 17
 
@@ -86,9 +90,9 @@ def r6(*cols: str) -> list:
     return [F.round(c, 6).alias(c) for c in cols]
 
 
-def scratch() -> str:
-    """A fresh folder for a round trip; on a cluster this would be a shared folder."""
-    return tempfile.mkdtemp(prefix="reweight-run-")
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder for a round trip, where all executors see it."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 # --- queries ----------------------------------------------------------------------------------------------
@@ -103,7 +107,7 @@ def write_parts(df: DataFrame, line, key: str, header: str, folder: str) -> None
 
 
 def arff(spark, sf, size=None):
-    folder = scratch()
+    folder = scratch(spark)
     ev = feats(spark, sf, "events").join(table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "event_type"), "row_id")
     line = F.concat_ws(",", F.get("features", F.lit(0)), F.get("features", F.lit(1)), "event_type")
     head = "@relation events\n@attribute value numeric\n@attribute hour numeric\n@attribute kind string\n@DATA\n\n"
@@ -112,7 +116,7 @@ def arff(spark, sf, size=None):
 
 
 def sparse(spark, sf, size=None):
-    folder = scratch()
+    folder = scratch(spark)
     v = vectors(spark, sf)
     entries = F.filter(
         F.transform("features", lambda x, i: F.when(x > 0, F.concat_ws(":", i + 1, x))), lambda e: e.isNotNull()
@@ -169,7 +173,7 @@ def q_project_features(spark, sf):
 
 
 def q_split_round_trip(spark, sf):
-    folder = scratch()
+    folder = scratch(spark)
     W.write_split(split_of(spark, sf, "customer"), folder)
     back = W.read_split(spark, folder)
     train = xy(back.train, "row_id").join(back.train.select("row_id", F.round("true_beta", 4).alias("true_beta")), "row_id")
@@ -179,15 +183,24 @@ def q_split_round_trip(spark, sf):
 
 
 def q_append_report(spark, sf):
-    folder = scratch()
+    folder = scratch(spark)
     stats = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     for run in (1, 2):
         W.append_report(stats.withColumn("run", F.lit(run)), f"{folder}/report")
     return spark.read.schema("event_type string, n long, mean double, run int").json(f"{folder}/report")
 
 
+def q_append_report_runs(spark, sf):
+    """The first run is appended twice, as by a job that is retried."""
+    folder = scratch(spark)
+    stats = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    for run in ("1", "1", "2"):
+        W.append_report(stats, f"{folder}/report", run)
+    return W.read_report(spark, f"{folder}/report", "event_type string, n long, mean double")
+
+
 def q_write_column(spark, sf):
-    folder = scratch()
+    folder = scratch(spark)
     W.write_column(split_of(spark, sf, "customer").train, "true_beta", f"{folder}/beta")
     W.write_column(split_of(spark, sf, "customer").train, "true_beta", f"{folder}/beta")
     return spark.read.text(f"{folder}/beta").select(F.round(F.col("value").cast("double"), 4).alias("beta"))
@@ -240,6 +253,38 @@ def q_kernel_width_selected(spark, sf):
     return one_value(spark, K.kernel_width(df, bag_rows=0))
 
 
+WIDTH_DRAWS = 20_000
+
+
+def q_kernel_width_sampled(spark, sf):
+    """The opt-in estimate from drawn pairs, with its bounds."""
+    row = K.sampled_width(feats(spark, sf, "part"), WIDTH_DRAWS, SEED)
+    return row.select(*r6("gamma", "low", "high"), "pairs", "exact")
+
+
+def q_kernel_width_sparse(spark, sf):
+    """Over rows with entries, by the distributed passes; no row is filled."""
+    return one_value(spark, K.kernel_width(entries_of(spark, sf), bag_rows=0))
+
+
+def q_gram_sparse(spark, sf):
+    df = entries_of(spark, sf)
+    n = df.count()
+    rows = K.gram(B.partition_bags(df, 50, n // 50, n))
+    total = F.aggregate("k", F.lit(0.0), lambda a, v: a + v)
+    moment = F.aggregate(F.transform("k", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("bag_id", "pos", F.size("k").alias("n"), F.round(total, 5).alias("total"), F.round(moment, 4).alias("moment"))
+
+
+def q_kappa_sparse(spark, sf):
+    """Bags of 40 rows against random thirds of the same table, with the rate of each bag's own width."""
+    df = entries_of(spark, sf)
+    n = df.count()
+    tr, te = B.partition_bags(df, 40, n // 40, n), B.random_disjoint(df, -(-n // 3), SEED, n)
+    rows = K.kappa(tr, te, B.cartesian_pairs(spark, tr.count, te.count))
+    return rows.select("pair_id", "tr_bag", "te_bag", "pos", "row_id", F.round("kappa", 5).alias("kappa"))
+
+
 def q_kernel_width_bags(spark, sf):
     bags = B.bootstrap_bags(feats(spark, sf, "part"), 40, 50, SEED)
     return K.bag_widths(bags).select("bag_id", *r6("gamma"))
@@ -471,6 +516,33 @@ def q_kmm_whole_iterated(spark, sf):
     return out.join(F.broadcast(same), F.lit(True))  # one row each
 
 
+def q_bag_weights_together(spark, sf):
+    """One train bag against eight test bags by the solver of large bags, all in one iteration; each objective must be that
+    of the solver of small bags."""
+    s = split_of(spark, sf, "supplier")
+    width = K.kernel_width(s.train, s.train_rows)
+    whole = B.whole_bag(s.train, s.train_rows)
+    parts = B.partition_bags(s.test, -(-s.test_rows // 8), 8, s.test_rows, tail="keep")
+    pairs = B.cartesian_pairs(spark, 1, parts.count)
+    kappas = K.kappa(whole, parts, pairs, width).select(F.col("te_bag").alias("bag_id"), "pos", "kappa")
+
+    def solved(**limit):
+        rows = M.bag_weights(whole, parts, pairs, width, n_pairs=parts.count, **limit)
+        own = rows.select(F.col("te_bag").alias("bag_id"), "pos", "beta", "residual").join(whole.df.drop("bag_id"), "pos")
+        bags = B.Bags(own, parts.count, whole.size, whole.total, whole.width, repeats=True)
+        best = K.kmm_objective(K.kmm_gradient(bags, kappas, width)).withColumnRenamed("objective", "best")
+        return rows, best
+
+    rows, best = solved(bag_rows=0)
+    _, want = solved()
+    near = F.abs(F.col("best") - F.col("want")) <= 1e-8 * F.abs("want")
+    same = best.join(want.withColumnRenamed("best", "want"), "bag_id").select("bag_id", near.alias("optimum"))
+    n = float(s.train_rows)
+    total = F.sum("beta").between(n**0.5 - 1e-6, 2 * n - n**0.5 + 1e-6) & (F.min("beta") >= 0) & (F.max("residual") <= 1e-6)
+    out = rows.groupBy(F.col("te_bag").alias("bag_id")).agg(F.count(F.lit(1)).alias("n"), total.alias("feasible"))
+    return out.join(same, "bag_id")
+
+
 def q_mean_weights(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("beta"))
     return E.mean_weights(rows).select("row_id", *r6("beta"))
@@ -505,7 +577,7 @@ def q_unsampled_rows(spark, sf):
 def q_bagged_kmm(mode):
     def run(spark, sf):
         s = split_of(spark, sf, "part")
-        shape = {"tr_size": 2, "te_count": 3, "te_size": 300 if mode != 1 else None}
+        shape = {"tr_size": 2, "te_count": 3, "te_size": s.test_rows // 3 if mode != 1 else None}
         if mode in (1, 3):
             shape["tr_count"] = s.train_rows // 4
         return P.bagged_kmm(s.train, s.test, mode, SEED, **shape, **how(s)).select("row_id", *r6("beta"))
@@ -532,7 +604,7 @@ def q_flagship(spark, sf):
 def q_bagged_kmm_orders(spark, sf):
     """Bags of 100 rows over partitions of the whole orders table, one weight for each row of the bags."""
     s = split_of(spark, sf, "orders")
-    w = P.bagged_kmm(s.train, s.test, 2, SEED, tr_size=100, te_size=1000, te_count=2, **how(s))
+    w = P.bagged_kmm(s.train, s.test, 2, SEED, tr_size=100, te_size=s.test_rows // 2, te_count=2, **how(s))
     return w.select("row_id", (F.col("beta") >= 0).alias("feasible"))
 
 
@@ -562,7 +634,7 @@ def q_align_truth(spark, sf):
 
 def q_run_stats(spark, sf):
     s = split_of(spark, sf, "part")
-    row = Y.run_stats(s, "bagged", SEED, mode=2, tr_size=2, te_size=300, te_count=3)
+    row = Y.run_stats(s, "bagged", SEED, mode=2, tr_size=2, te_size=s.test_rows // 3, te_count=3)
     seconds = [c for c in row.columns if c.endswith("_seconds")]
     sane = F.col("total_seconds") >= F.col("compute_seconds")
     scale = F.col("train_rows") * F.col("train_rows")
@@ -587,11 +659,11 @@ def q_run_stats_test_ensemble(spark, sf):
 
 def q_file_to_report(spark, sf):
     """The two jobs of a run: a text file is read, split and handed over; the split is read, weighted, scored and reported."""
-    folder = scratch()
+    folder = scratch(spark)
     table = row_index(arff(spark, sf)).select(F.col("idx").alias("row_id"), "features")
     W.write_split(S.biased_split(table, table.count() // 5, SEED), f"{folder}/split")
     s = W.read_split(spark, f"{folder}/split")
-    weights = P.bagged_kmm(s.train, s.test, 2, SEED, tr_size=2, te_size=300, te_count=3)
+    weights = P.bagged_kmm(s.train, s.test, 2, SEED, tr_size=2, te_size=s.test_rows // 3, te_count=3)
     W.append_report(scaled_nmse(V.nmse(V.align_truth(weights, s.train))), f"{folder}/report")
     return spark.read.schema("rows long, nmse double").json(f"{folder}/report")
 
@@ -663,6 +735,15 @@ def q_sweep_grid(spark, sf):
     return rows.select("method", "k", "s", "rep", scored_ok.alias("scored"))
 
 
+def q_run_study(spark, sf):
+    """Two data sets, two fresh splits of each, every method and setting scored."""
+    sets = {name: feats(spark, sf, name) for name in ("supplier", "part")}
+    size = min(t.count() for t in sets.values()) // 5
+    rows = Y.run_study(sets, size, [2], [3], 2, SEED, escalate=False)
+    scored_ok = (F.col("nmse") >= 0) & (F.col("nmse") < 1)
+    return rows.select("dataset", "method", "k", "s", "rep", scored_ok.alias("scored"), (F.col("seconds") > 0).alias("timed"))
+
+
 def q_study_report(spark, sf):
     metrics = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("dataset"),
@@ -685,10 +766,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named |= {f"bag_strategy_{m}": q_bag_strategy(m) for m in (1, 2, 3, 4)}
     named |= {f"bagged_kmm_{m}": q_bagged_kmm(m) for m in (1, 2, 3, 4)}
     named |= {f"bagged_kmm_{m}_table": q_bagged_kmm_table(m) for m in (2, 3, 4)}
-    if HAS_LLM:
-        import corpus_pipeline
-        from reweight.llm import registry
-
+    if registry:
         named |= registry.queries() | {"pipeline": corpus_pipeline.run}
     return named
 
@@ -697,9 +775,6 @@ def oracle_sql() -> dict[str, str]:
     from oracle_queries import statements
 
     out = statements(FEATURES, SEED, RATE)
-    if HAS_LLM:
-        import corpus_pipeline
-        from reweight.llm import registry
-
+    if registry:
         out |= registry.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return out

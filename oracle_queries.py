@@ -1,5 +1,7 @@
 """DuckDB statements equal to the queries of the driver entry, over the same Parquet tables."""
 
+import math
+
 LO, HI = "sqrt(2e0)", "(4e0 - sqrt(2e0))"
 
 
@@ -233,6 +235,36 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
         SELECT row_id, CASE WHEN rn <= (SELECT count(*) // 5 FROM ds) THEN 'train' ELSE 'test' END AS side,
           CASE WHEN rn <= (SELECT count(*) // 5 FROM ds) THEN round(true_beta, 4) END AS true_beta FROM rk"""
 
+    # Distances of sparse rows, whose missing entries are zeros.
+    apart = "sqrt(sum((a.v - c.v) * (a.v - c.v)))"
+    placed = f"{sparse}, r AS (SELECT *, dense_rank() OVER (ORDER BY row_id) - 1 AS idx FROM e), t AS (SELECT count(*) // 64 AS n FROM e)"
+    out["kernel_width_sparse"] = f"""{sparse}, d AS (SELECT {apart} AS d FROM e a JOIN e c ON a.pos = c.pos AND a.row_id < c.row_id GROUP BY a.row_id, c.row_id)
+        SELECT round(median(d), 6) AS gamma FROM d"""
+    def bagged(size: int) -> str:
+        return f"""{placed}, d AS (SELECT (idx // {size})::INT AS bag_id, (idx % {size})::INT AS spot, row_id, pos, v FROM r WHERE idx // {size} < (SELECT n // {size} FROM t)),
+        g AS (SELECT bag_id, median(d) AS g FROM (SELECT a.bag_id, {apart} AS d FROM d a JOIN d c ON a.bag_id = c.bag_id AND a.pos = c.pos AND a.spot < c.spot
+              GROUP BY a.bag_id, a.spot, c.spot) GROUP BY 1)"""
+
+    out["gram_sparse"] = f"""{bagged(50)}, k AS (SELECT bag_id, a.spot, c.spot AS j, sum((a.v - c.v) * (a.v - c.v)) AS d2 FROM d a JOIN d c USING (bag_id, pos) GROUP BY 1, 2, 3)
+        SELECT bag_id, spot AS pos, count(*)::INT AS n, round(sum(exp(-g * d2)), 5) AS total, round(sum(exp(-g * d2) * (j + 1)), 4) AS moment
+        FROM k JOIN g USING (bag_id) GROUP BY 1, 2"""
+    out["kappa_sparse"] = f"""{bagged(40)},
+        ids AS (SELECT DISTINCT row_id FROM e), mx AS (SELECT row_id, row_number() OVER (ORDER BY {u('disjoint', seed, 'row_id')}, row_id) - 1 AS rank0 FROM ids),
+        tb AS (SELECT (rank0 // ((n + 2) // 3))::INT AS te_bag, e.row_id, pos, v FROM mx JOIN e USING (row_id), t),
+        x AS (SELECT d.bag_id, d.spot, any_value(d.row_id) AS row_id, te_bag, tb.row_id AS other, sum((d.v - tb.v) * (d.v - tb.v)) AS d2 FROM d JOIN tb USING (pos) GROUP BY d.bag_id, d.spot, te_bag, tb.row_id)
+        SELECT bag_id::BIGINT * 3 + te_bag AS pair_id, bag_id AS tr_bag, te_bag, spot AS pos, row_id, round(-(40e0 / count(*)) * sum(exp(-g * d2)), 5) AS kappa
+        FROM x JOIN g USING (bag_id) GROUP BY bag_id, te_bag, spot, row_id"""
+    draws, away = 20_000, 3.29 * 20_000**0.5 / 2
+    ends = [0.5, math.floor((draws - 1) / 2 - away) / (draws - 1), math.ceil((draws - 1) / 2 + away) / (draws - 1)]
+    out["kernel_width_sampled"] = f"""WITH {s.base('part')}, {ix}, n AS (SELECT count(*) AS n FROM b),
+        p AS (SELECT draw, floor({u('width-a', seed, 'draw')} * n)::BIGINT AS i, floor({u('width-b', seed, 'draw')} * (n - 1))::BIGINT AS j FROM (SELECT unnest(range({draws})) AS draw), n),
+        d AS (SELECT {dist} AS d FROM p JOIN i a ON a.idx = p.i JOIN i c ON c.idx = p.j + (p.j >= p.i)::INT)
+        SELECT {', '.join(f'round(quantile_cont(d, {q!r}), 6) AS {c}' for q, c in zip(ends, ('gamma', 'low', 'high')))}, {draws}::BIGINT AS pairs, FALSE AS exact FROM d"""
+    out["bag_weights_together"] = """WITH n AS (SELECT count(*) // 5 AS tr, count(*) - count(*) // 5 AS te FROM supplier)
+        SELECT i::INT AS bag_id, tr AS n, TRUE AS feasible, TRUE AS optimum FROM n, (SELECT unnest(range(8)) AS i) WHERE i < (te + (te + 7) // 8 - 1) // ((te + 7) // 8)"""
+    out["append_report_runs"] = """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, run FROM events,
+        (SELECT unnest(['1', '2']) AS run) GROUP BY event_type, run"""
+
     out["mean_weights"] = "SELECT l_orderkey AS row_id, round(avg(l_quantity), 6) AS beta FROM lineitem GROUP BY 1"
     shared = "SELECT row_id, round(sum(beta * nte) / (SELECT n FROM nte), 6) AS beta FROM w GROUP BY 1"
     mean = " SELECT row_id, round(avg(beta), 6) AS beta FROM w GROUP BY 1"
@@ -249,7 +281,8 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
     out["unsampled_rows"] = f"{o}, {s.boot('d', 'bag_id', 'i', '300', '20', 'boot')} SELECT row_id FROM b WHERE row_id NOT IN (SELECT row_id FROM d)"
 
     quarter, half = "(SELECT n // 4 FROM ntr)", "(SELECT n // 2 FROM ntr)"
-    te_boot = s.boot("tb", "te_bag", "te", "300", "3", "boot-test")
+    third = "(SELECT n // 3 FROM nte)"
+    te_boot = s.boot("tb", "te_bag", "te", third, "3", "boot-test")
     modes = {
         1: (s.boot("dr", "tr_bag", "tr", "2", quarter, "boot-train"), s.cut("tb", "te_bag", "te", "(SELECT n // 3 FROM nte)", "3"), s.pairs()),
         2: (s.cut("dr", "tr_bag", "tr", "2", half), te_boot, s.pairs()),
@@ -272,7 +305,7 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
         a AS (SELECT row_id, avg(beta) AS beta FROM w GROUP BY 1),
         j AS (SELECT beta / sum(beta) OVER () AS sb, true_beta / sum(true_beta) OVER () AS st FROM a JOIN tr USING (row_id))
         SELECT 'bagged' AS method, 2 AS mode, (SELECT n FROM ntr) AS train_rows, (SELECT n FROM nte) AS test_rows,
-          2::BIGINT AS tr_bag_size, {half} AS tr_bags, 300::BIGINT AS te_bag_size, 3::BIGINT AS te_bags, (SELECT n % 2 FROM ntr) AS train_left_out, 0::BIGINT AS test_left_out, TRUE AS timed,
+          2::BIGINT AS tr_bag_size, {half} AS tr_bags, {third} AS te_bag_size, 3::BIGINT AS te_bags, (SELECT n % 2 FROM ntr) AS train_left_out, 0::BIGINT AS test_left_out, TRUE AS timed,
           round(avg((sb-st)*(sb-st)) * (SELECT n FROM ntr) * (SELECT n FROM ntr), 4) AS nmse FROM j"""
 
     def two_stats(method: str, cut: str, te_size: str, te_bags: str, left: str) -> str:
@@ -282,7 +315,6 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
           1::BIGINT AS tr_bags, {te_size} AS te_bag_size, {te_bags}::BIGINT AS te_bags, 0::BIGINT AS train_left_out,
           {left} AS test_left_out, TRUE AS timed, round(avg((sb-st)*(sb-st)) * 4, 4) AS nmse FROM j"""
 
-    third = "(SELECT n // 3 FROM nte)"
     out["run_stats_whole"] = two_stats("whole", s.whole("tb", "te_bag", "te"), "(SELECT n FROM nte)", "1", "0::BIGINT")
     out["run_stats_test_ensemble"] = two_stats("test_ensemble", s.cut("tb", "te_bag", "te", third, "3"), third, "3", "(SELECT n % 3 FROM nte)")
     # Rows of the file are numbered from 0 in the order of event_id.
@@ -337,6 +369,19 @@ def statements(features, seed: int, rate: float) -> dict[str, str]:
         ss AS (SELECT k, 5 AS s FROM ks UNION SELECT k, ceil(-2e0 / ((n // k) * log10(1e0 - 1e0 / n)))::INT FROM ks, n)
         SELECT method, k, s, rep, TRUE AS scored FROM ss, (SELECT unnest([0, 1])::INT AS rep),
           (SELECT unnest(['test_split', 'train_split', 'train_bags', 'train_bags_test_split']) AS method)"""
+    out["run_study"] = """WITH n AS (SELECT least((SELECT count(*) FROM supplier), (SELECT count(*) FROM part)) // 5 AS n),
+        ss AS (SELECT 2 AS k, 3 AS s UNION SELECT 2, ceil(-2e0 / ((n // 2) * log10(1e0 - 1e0 / n)))::INT FROM n),
+        m AS (SELECT method, k, s FROM ss, (SELECT unnest(['test_split', 'train_split', 'train_bags', 'train_bags_test_split']) AS method) UNION ALL SELECT 'whole', 1, 0)
+        SELECT dataset, method, k, s, rep, TRUE AS scored, TRUE AS timed FROM m, (SELECT unnest(['supplier', 'part']) AS dataset), (SELECT unnest([0, 1])::INT AS rep)"""
+    # Whole tables as train: what must hold of the weights, which the queries check one by one.
+    fifth = "(SELECT count(*) // 5 FROM part)"
+    for name in ("test_split_weights_table", "test_ensemble_kmm_table"):
+        out[name] = f"SELECT {fifth} AS n, {fifth} AS ids, TRUE AS feasible"
+    for name in ("run_stats_whole_table", "run_stats_test_ensemble_table"):
+        out[name] = f"SELECT {fifth} AS train_rows, TRUE AS scored"
+    out["compare_methods_table"] = "SELECT unnest(['test_split', 'train_split', 'train_bags', 'train_bags_test_split', 'whole']) AS method, TRUE AS scored"
+    for mode in (2, 3, 4):
+        out[f"bagged_kmm_{mode}_table"] = "SELECT TRUE AS weighted, TRUE AS feasible, TRUE AS once"
     out["study_report"] = """SELECT l_returnflag AS dataset, l_linestatus AS method, l_linenumber AS k, l_quantity::INT AS s,
         round(avg(l_discount), 6) AS nmse, round(avg(l_tax), 6) AS seconds FROM lineitem GROUP BY 1, 2, 3, 4"""
     return out

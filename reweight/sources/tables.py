@@ -1,5 +1,7 @@
 """Hand-off tables and reports."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,29 @@ def read_split(spark: SparkSession, folder: str) -> Split:
     return Split(train, test, train.count(), test.count())
 
 
-def append_report(df: DataFrame, folder: str) -> None:
-    """Add rows of run statistics to a JSON report."""
-    df.write.mode("append").json(folder)
+def append_report(df: DataFrame, folder: str, run: str | None = None) -> None:
+    """Add rows of run statistics to a JSON report.
+
+    With the key of a `run` its rows have a folder of their own, which a repeated append of the same run replaces: a job
+    that is retried counts once. Read such a report with :func:`read_report`.
+    """
+    if run is None:
+        df.write.mode("append").json(folder)
+        return
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
+        raise ValueError(f"a run is named by letters, digits, - and _: {run!r}")
+    df.write.mode("overwrite").json(f"{folder.rstrip('/')}/run={run}")
+
+
+def read_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all runs whose append was completed, with the key in `run`; what a failed append left is not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/run=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    done = sorted(str(f.getPath().getParent()) for f in found or [])
+    if not done:
+        return spark.createDataFrame([], f"{schema}, run string")
+    rows = spark.read.schema(f"{schema}, run string").option("basePath", folder).json(done)
+    return rows.withColumn("run", F.col("run").cast("string"))
 
 
 def write_column(df: DataFrame, column: str, folder: str) -> bool:

@@ -81,3 +81,18 @@ def test_round_trips(spark, points, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "beta")).collect()] == ["1.5"]
     assert not W.write_column(cut.train.limit(0), "true_beta", str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_a_run_that_is_appended_again_counts_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5)], "method string, nmse double")
+    folder = str(tmp_path / "report")
+    read = lambda: sorted(map(tuple, W.read_report(spark, folder, "method string, nmse double").collect()))
+    assert read() == []
+    for run in ("r-1", "r-1", "007"):
+        W.append_report(df, folder, run)
+    assert read() == [("a", 1.5, "007"), ("a", 1.5, "r-1")]
+    # An append that broke off has no marker and is not read.
+    (tmp_path / "report" / "run=r-1" / "_SUCCESS").unlink()
+    assert read() == [("a", 1.5, "007")]
+    with pytest.raises(ValueError, match="named by"):
+        W.append_report(df, folder, "a/b")
