@@ -299,7 +299,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, exhaustive: bool = False) ->
         near = F.slice(F.filter(F.coalesce("near", F.array().cast("array<struct<s:double,vec_id:bigint>>")), lambda x: x["vec_id"] != F.col("query_id")), 1, NEAREST)
         return own.select("query_id", "cid", near.alias("near"))
 
-    first = ranked(search(ask, exhaustive))
+    # Read twice below, and what it took to find should not be done again for that.
+    first = reliable(ranked(search(ask, exhaustive)))
     if not exhaustive:
         lacking = first.where(F.size("near") < NEAREST).select("cid").distinct()
         again = ask.join(lacking, "cid", "left_semi")
