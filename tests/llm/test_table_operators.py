@@ -250,6 +250,20 @@ def test_exact_passage_of_frequent_lines(spark, documents):
     assert seen == set(holders)
 
 
+def test_copies_are_one_class(spark, documents):
+    """Hundreds of copies of two texts that share a passage: each copy meets the least id of its class, the classes each other."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = text(60)
+    one, two = text(40) + " " + shared, shared + " " + text(45)
+    rows = [(i, one, "s") for i in range(300)] + [(1000 + i, two, "s") for i in range(300)] + [(7, one, "s")] * 50 + [(None, two, "s")] * 2 + [(5000 + i, "too short", "s") for i in range(9)]
+    got = Counter((r.doc_a, r.doc_b, r.a_end - r.a_start, r.edits) for r in passages.query(spark, documents(rows)).collect())
+    want = [(0, i, 100, 0) for i in range(1, 300)] + [(1000, i, 105, 0) for i in [*range(1001, 1300), None]]
+    between = [k for k in got if {k[0], k[1]} == {0, 1000}]
+    assert len(between) == 1 and between[0][2:] == (60, 0)
+    assert got == Counter(want) + Counter(between)
+
+
 def test_passages_with_mixed_edits(spark, documents):
     """Replaced, inserted and deleted words, about one in eight, anywhere in 60 to 120 words."""
     rng = random.Random(12)
