@@ -234,9 +234,14 @@ def _solve_large(
         drop_table(grad)
         return near.select("problem", "pos", "row_id", "beta"), {r["problem"]: r["residual"] for r in worst}
 
-    terms = kappas.groupBy(block.alias("blk")).agg(F.sort_array(F.collect_list(F.struct("problem", "pos", "kappa"))).getField("kappa").alias("kappa"))
-    blocks = pack(base.withColumn("bag_id", F.lit(0)), "bag_id", rows).select("blk", "poss", "row_ids", "x")
-    blocks = reliable(blocks.join(terms, "blk"))
+    # Blocks of the iteration: several for each core, and a partition for each core, which the state then keeps.
+    cores = spark.sparkContext.defaultParallelism
+    small = max(64, min(rows, -(-n // (4 * cores))))
+    own = F.floor(F.col("pos") / small).cast("int")
+    terms = kappas.groupBy(own.alias("blk")).agg(F.sort_array(F.collect_list(F.struct("problem", "pos", "kappa"))).getField("kappa").alias("kappa"))
+    blocks = pack(base.withColumn("bag_id", F.lit(0)), "bag_id", small).select("blk", "poss", "row_ids", "x").join(terms, "blk")
+    parts = max(1, min(cores, -(-n // small)))
+    blocks = reliable(blocks.repartitionById(parts, F.pmod(F.col("blk"), F.lit(parts)).cast("int")))
     try:
         found, steps = interior.solve(blocks, n, width, gamma, count)
         found, worst = checked(found, list(range(count)))
