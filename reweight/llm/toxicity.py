@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 # Rows that the model is fitted on at most: labelled documents in the order of a hash of their id.
 TRAIN_ROWS = 20_000
 BITS = 18
-# Hashed terms that enter the model: those whose rate among toxic documents is so many deviations off.
+# Hashed terms that enter the model by themselves: those whose rate among toxic documents is so many deviations off.
 DEVIATIONS = 4.0
+# Terms that are also tried in pairs, the most frequent ones of toxic documents; and the log likelihood ratio at which the
+# toxic documents with both terms are not what the single terms expect. It outweighs the number of pairs tried.
+PAIR_TERMS = 3072
+EVIDENCE = 20.0
+# Rows whose terms are unfolded at a time for it.
+FOLD = 1024
 FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -29,13 +35,13 @@ def terms(word: str) -> set[int]:
 
 
 def hashed(batches):
-    """(label, text) to (label, terms), the terms as 32-bit numbers."""
+    """(doc_id, label, text) to (doc_id, label, terms), the terms as 32-bit numbers."""
     for batch in batches:
         out = []
-        for text in batch.column(1):
+        for text in batch.column(2):
             ids = set().union(*map(terms, set(WORD.findall(text.as_py().lower()))))
             out.append(np.array(sorted(ids), np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["label", "terms"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["doc_id", "label", "terms"])
 
 
 def chosen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -61,16 +67,65 @@ def logits(w: np.ndarray, v: np.ndarray, at: np.ndarray, starts: np.ndarray):
     return np.add.reduceat(w[at], starts) + 0.5 * (sums**2 - squares).sum(1), sums
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Hashed terms of pairs that say more than `expected`, the chance by single terms, in ascending order.
+
+    For each pair of the PAIR_TERMS terms: toxic documents that hold both against the sum of their chances, as Poisson counts.
+    So a term enters that is equally frequent in both labels, if some other term beside it tells them apart.
+    """
+    count = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(r for r, y in zip(rows, labels) if y)]), minlength=1 << BITS)
+    ids = np.sort(np.argsort(-count, kind="stable")[:PAIR_TERMS])
+    ids = ids[count[ids] > 0]
+    place = np.full(1 << BITS, -1)
+    place[ids] = np.arange(len(ids))
+    seen, hoped = np.zeros((len(ids),) * 2, np.float32), np.zeros((len(ids),) * 2, np.float32)
+    for start in range(0, len(rows), FOLD):
+        part = [p[p >= 0] for p in (place[r] for r in rows[start : start + FOLD])]
+        on = np.zeros((len(part), len(ids)), np.float32)
+        on[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)] = 1
+        toxic = on[labels[start : start + FOLD] == 1]
+        seen += toxic.T @ toxic
+        hoped += on.T @ (on * expected[start : start + FOLD, None].astype(np.float32))
+    strong = np.zeros(len(ids), bool)
+    for i in range(len(ids)):
+        k, mean = seen[i].astype(float), np.maximum(hoped[i], 1e-9)
+        ratio = k * np.log(np.maximum(k, 1e-9) / mean) - k + mean
+        ratio[i] = 0
+        strong[i] = ratio.max() >= EVIDENCE
+    return ids[strong]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> dict:
-    """Weights by AdaGrad on the log loss; a sample of one label or none gives a constant score."""
+    """A machine over the terms that tell labels apart by themselves, then one that has the terms of telling pairs as well.
+
+    A sample of one label or none gives a constant score.
+    """
     if len(rows) == 0 or labels.min() == labels.max():
         rate = (labels.sum() + 0.0) / max(1, len(labels))
         bias = 30.0 * (2 * rate - 1) if len(rows) else -30.0
         return {"ids": np.zeros(0, np.int64), "w": np.array([bias]), "v": np.zeros((1, FACTORS))}
-    ids = chosen(rows, labels)
-    place = np.full(1 << BITS, -1)
+    single = descend(rows, labels, chosen(rows, labels), seed)
+    place = placed(single["ids"])
+    # A part of the sample at a time, so that the factors of all its terms are never held at once.
+    z = [logits(single["w"], single["v"], *flat(known(rows[i : i + FOLD], place)))[0] for i in range(0, len(rows), FOLD)]
+    ids = np.union1d(single["ids"], paired(rows, labels, 1 / (1 + np.exp(-np.clip(np.concatenate(z), -40, 40)))))
+    return single if len(ids) == len(single["ids"]) else descend(rows, labels, ids, seed)
+
+
+def placed(ids: np.ndarray) -> np.ndarray:
+    """For every hashed term its place in the model from 1, or 0."""
+    place = np.zeros(1 << BITS, np.int64)
     place[ids] = np.arange(1, len(ids) + 1)
-    rows = [p[p > 0] for p in (place[r] for r in rows)]
+    return place
+
+
+def known(rows: list[np.ndarray], place: np.ndarray) -> list[np.ndarray]:
+    return [p[p > 0] for p in (place[r] for r in rows)]
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, seed: int) -> dict:
+    """Weights of the terms `ids` by AdaGrad on the log loss."""
+    rows = known(rows, placed(ids))
     rng = np.random.default_rng(seed)
     w = np.zeros(len(ids) + 1)
     v = rng.normal(0, 0.02, (len(ids) + 1, FACTORS))
@@ -107,17 +162,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Fit on at most `rows` labelled documents, the first in the order of a hash of their id.
 
     The sample of labels has a fixed bound, so it is broadcast and no text is shuffled; the driver gets hashed
-    terms of the sample only.
+    terms of the sample only. Of an id that repeats with different texts one text is learnt from, the least by a hash.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     # A threshold on the hash leaves few more rows than wanted, so that the cut to `rows` stays small work.
-    share = min(1.0, (1.2 * rows + 100) / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    share = min(1.0, (1.2 * rows + 100) / max(1, marked.count()))
+    drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = drawn.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(rows)
-    texts = docs.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
-    texts = texts.select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.mapInArrow(hashed, "label int, terms binary").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    # An id counts once, however many rows repeat it: its least text by hash is reduced to before anything is collected.
+    own = texts.mapInArrow(hashed, "doc_id long, label int, terms binary")
+    got = own.groupBy("doc_id", "label").agg(F.min_by("terms", F.struct(F.xxhash64("terms"), "terms")).alias("terms")).select("label", "terms").toArrow()
     data = [np.frombuffer(b, np.uint32) for b in got.column("terms").to_pylist()]
     y = np.array(got.column("label").to_pylist(), float)
     # The order in which tasks end must not change the model.

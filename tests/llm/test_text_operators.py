@@ -252,6 +252,78 @@ def test_toxicity_learns_pairs_and_keeps_out_the_held_out(spark, documents):
     assert np.abs(model["v"]).max() > 0.1
 
 
+@pytest.mark.parametrize("background", [0, 30])
+def test_toxicity_learns_pairs_of_words_that_say_nothing_alone(spark, documents, background):
+    """Two of four words per text, each as frequent in either label; only which two they are is toxic."""
+    rng = random.Random(7)
+    names = ["alphaone", "betatwo", "gammathree", "deltafour"]
+    rows, labels = [], []
+    for i in range(2400):
+        one, two = rng.sample(range(4), 2)
+        words = [names[one], names[two], *(f"plain{rng.randrange(300)}" for _ in range(background))]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "src0"))
+        labels.append((i, int({one, two} in ({0, 1}, {2, 3}))))
+    got = toxicity.query(spark, documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    yes = [r.score for r in got if r.held_out and truth[r.doc_id]]
+    no = [r.score for r in got if r.held_out and not truth[r.doc_id]]
+    assert np.mean([(a > b) + (a == b) / 2 for a in yes for b in no]) > 0.99
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out]) > 0.97
+
+
+def test_toxicity_has_no_pairs_in_noise():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 2000, 200)).astype(np.uint32) for _ in range(1500)]
+    labels = (rng.random(1500) < 0.1).astype(float)
+    assert len(toxicity.paired(rows, labels, np.full(1500, 0.1))) == 0
+
+
+def test_toxicity_evidence_of_pairs_by_brute_force(monkeypatch):
+    """Terms of pairs whose Poisson log likelihood ratio reaches the bar, pair by pair."""
+    monkeypatch.setattr(toxicity, "EVIDENCE", 2.0)
+    monkeypatch.setattr(toxicity, "FOLD", 50)
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.uint32) for _ in range(300)]
+    labels, expected = (rng.random(300) < 0.3).astype(float), rng.uniform(0.1, 0.5, 300)
+    want = set()
+    for a in range(40):
+        for b in range(a):
+            both = [i for i, r in enumerate(rows) if a in r and b in r]
+            k, mean = sum(labels[both]), max(1e-9, sum(expected[both]))
+            if (k * np.log(k / mean) if k else 0.0) - k + mean >= 2.0:
+                want |= {a, b}
+    assert want and set(toxicity.paired(rows, labels, expected).tolist()) == want
+
+
+def test_toxicity_scores_are_those_of_a_factorization_machine():
+    rng = np.random.default_rng(1)
+    words = ["fool", "martians", "plain", "other"]
+    ids = np.array(sorted(set().union(*map(toxicity.terms, words[:3]))))
+    model = {"ids": ids, "w": rng.normal(size=len(ids) + 1), "v": rng.normal(size=(len(ids) + 1, toxicity.FACTORS))}
+    model["v"][0] = 0
+    place = {int(t): i + 1 for i, t in enumerate(ids)}
+    texts = ["", "Fool FOOL other", "plain martians", "fool martians plain"]
+    for text, got in zip(texts, toxicity.scores(texts, model, place, {})):
+        on = sorted({place[t] for w in text.lower().split() for t in toxicity.terms(w) if t in place})
+        z = model["w"][0] + sum(model["w"][i] for i in on)
+        z += sum(model["v"][i] @ model["v"][j] for i in on for j in on if i < j)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_learns_from_one_text_of_an_id(spark, documents, monkeypatch):
+    """Rows that repeat an id are reduced before they are collected; a column named like an own one does no harm."""
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels, seed=5: sizes.append(len(rows)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    rows = [(1, f"text number {i}", "src0") for i in range(200)] + [(i, "some text", "src0") for i in range(20)]
+    docs = documents(rows)
+    toxicity.train(docs, labels)
+    toxicity.train(docs.selectExpr("*", "1 AS label", "'x' AS terms"), labels)
+    want = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20))
+    assert sizes == [want, want]
+
+
 def test_toxicity_edges(spark, documents, edge_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.query(spark, documents(edge_rows), none).collect()
