@@ -43,19 +43,117 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def placed(text: Column, matches: Column) -> Column:
-    """Matches in order with their code points: the first place of a match's string after the match before it."""
-    kind = "array<struct<start:int,stop:int,s:string>>"
-    first = F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("out"))
+SPAN = "array<struct<start:int,stop:int,s:string,before:string,after:string>>"
+# Elements that a scan appends to one list before it begins the next.
+BLOCK = 512
 
-    def step(acc, m):
-        def add(p):
-            own = F.struct((p - 1).alias("start"), (p - 1 + F.length(m)).alias("stop"), m.alias("s"))
-            return F.struct((p + F.length(m)).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
 
-        return let(F.call_function("locate", m, text, acc["at"]), add)
+def scan(items: Column, state: Column, kind: str, step) -> Column:
+    """What `step(state, item)` gives for the items in order: the next state, and an array of results to append.
 
-    return F.when(F.size(matches) > 0, F.aggregate(matches, first, step)["out"]).otherwise(F.array().cast(kind))
+    Results are kept in blocks, so that the work grows with the items and not with their square. `items` is a column of the
+    table, as each block is taken from it.
+    """
+    none = F.array().cast(kind)
+
+    def each(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc, i):
+        own = F.aggregate(F.slice(items, i * BLOCK + 1, BLOCK), F.struct(acc["now"]["state"].alias("state"), none.alias("out")), each)
+        return F.struct(own.alias("now"), F.concat(acc["done"], F.array(acc["now"]["out"])).alias("done"))
+
+    first = F.struct(F.struct(state.alias("state"), none.alias("out")).alias("now"), F.array().cast(f"array<{kind}>").alias("done"))
+    ended = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), first, block)
+    return F.when(F.size(items) > 0, let(ended, lambda e: F.flatten(F.concat(e["done"], F.array(e["now"]["out"]))))).otherwise(none)
+
+
+def between(matches: Column, pieces: Column) -> Column:
+    """Matches `s` with the text `gap` before each and the two characters `after` it.
+
+    `pieces` is what the same pattern splits the text into, one more than matches.
+    """
+    n = F.size(matches)
+    behind = F.concat(F.slice(matches, 2, n), F.array(F.lit("")))
+    after = F.zip_with(F.slice(pieces, 2, n), behind, lambda gap, s: F.substring(F.concat(gap, s), 1, 2))
+    items = F.zip_with(F.slice(pieces, 1, n), matches, lambda gap, s: F.struct(gap.alias("gap"), s.alias("s")))
+    items = F.zip_with(items, after, lambda x, c: F.struct(x["gap"].alias("gap"), x["s"].alias("s"), c.alias("after")))
+    return F.when(n > 0, items).otherwise(F.array().cast("array<struct<gap:string,s:string,after:string>>"))
+
+
+def placed(items: Column) -> Column:
+    """Matches with their code points, the CONTEXT characters before them and the two behind.
+
+    Places are running sums of lengths, so no match looks through the text from its beginning.
+    """
+
+    def step(state, x):
+        start, before = state["at"] + F.length(x["gap"]), F.right(F.concat(state["tail"], x["gap"]), F.lit(CONTEXT))
+        stop = start + F.length(x["s"])
+        own = F.struct(start.alias("start"), stop.alias("stop"), x["s"].alias("s"), before.alias("before"), x["after"].alias("after"))
+        return F.struct(stop.alias("at"), F.right(F.concat(before, x["s"]), F.lit(CONTEXT)).alias("tail")), F.array(own)
+
+    return scan(items, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), SPAN, step)
+
+
+def cut_runs(runs: Column) -> Column:
+    """Placed runs of digits and separators, cut where two separators meet; parts too short for a card go."""
+
+    def parts(run):
+        pieces = F.split(F.regexp_replace(run["s"], "[ -]+$", ""), "[ -]{2,}")
+        first = F.struct(F.lit(1).alias("at"), F.array().cast(SPAN).alias("out"))
+
+        def step(acc, s):
+            def add(p):
+                before = F.right(F.concat(run["before"], F.substring(run["s"], F.lit(1), p - 1)), F.lit(CONTEXT))
+                after = F.substring(F.concat(F.substring(run["s"], p + F.length(s), F.lit(2)), run["after"]), 1, 2)
+                start = run["start"] + p - 1
+                own = F.struct(start.alias("start"), (start + F.length(s)).alias("stop"), s.alias("s"), before.alias("before"), after.alias("after"))
+                return F.struct((p + F.length(s)).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+            return let(F.call_function("locate", s, run["s"], acc["at"]), add)
+
+        return F.aggregate(F.filter(pieces, lambda s: F.length(s) >= 16), first, step)["out"]
+
+    return F.flatten(F.transform(runs, parts))
+
+
+EVENT = "struct<start:int,stop:int,own:int,kind:int,s:string,before:string,after:string>"
+
+
+def events(base: Column, proposals: Column) -> Column:
+    """Base spans (own = 0) and proposals (own = 1) in the order of their starts; none if there is no proposal."""
+    text = F.lit("")
+
+    def solid(b):
+        return F.struct(b["start"], b["stop"], F.lit(0).alias("own"), F.lit(0).alias("kind"), text.alias("s"), text.alias("before"), text.alias("after"))
+
+    def loose(c):
+        return F.struct(c["start"], c["stop"], F.lit(1).alias("own"), c["kind"], c["s"], c["before"], c["after"])
+
+    every = F.array_sort(F.concat(F.transform(base, solid), F.transform(proposals, loose)))
+    return F.when(F.size(proposals) > 0, every).otherwise(F.array().cast(f"array<{EVENT}>"))
+
+
+def beyond(every: Column) -> Column:
+    """Events without the proposals that begin before a base span ahead of them ends; last first."""
+
+    def up(far, e):
+        stays = (e["own"] == 0) | (far <= e["start"])
+        return F.when(e["own"] == 0, F.greatest(far, e["stop"])).otherwise(far), F.when(stays, F.array(e)).otherwise(F.array().cast(f"array<{EVENT}>"))
+
+    return F.reverse(scan(every, F.lit(0), f"array<{EVENT}>", up))
+
+
+def ahead(left: Column) -> Column:
+    """The proposals among what `beyond` leaves that end before the next base span begins, first ones first."""
+
+    def down(near, e):
+        stays = (e["own"] == 1) & (near >= e["stop"])
+        return F.when(e["own"] == 0, e["start"]).otherwise(near), F.when(stays, F.array(e)).otherwise(F.array().cast(f"array<{EVENT}>"))
+
+    return F.reverse(scan(left, F.lit((1 << 31) - 1), f"array<{EVENT}>", down))
 
 
 def found(text: Column, pattern: str, when: Column) -> Column:
@@ -92,26 +190,13 @@ def valid_of(kind: str, s: Column) -> Column:
     }[kind]
 
 
-def base_matches(text: Column) -> dict[str, Column]:
-    """The contract's matches by kind, before the checks."""
-    some = text.rlike("[0-9]")
-    runs = found(text, CARD_RUN, some)
-    pieces = F.flatten(F.transform(runs, lambda r: F.split(F.regexp_replace(r, "[ -]+$", ""), "[ -]{2,}")))
-    return {
-        "email": placed(text, found(text, EMAIL, text.contains("@"))),
-        "ip": placed(text, found(text, IP, some)),
-        "card": placed(text, F.filter(pieces, lambda p: F.length(p) >= 16)),
-        "phone": placed(text, found(text, PHONE, some & text.contains("+"))),
-    }
-
-
-def features(text: Column, kind: str, c: Column, label: Column) -> Column:
+def features(kind: str, c: Column, label: Column) -> Column:
     """A candidate with its format and context, all in small whole numbers. A phone's country sign is left out:
     it is what the base pattern asks for, and the point is to find spans that are alike otherwise."""
     s = c["s"]
     own = F.regexp_replace(s, r"^(?:\+|00)[0-9]{0,3}[ .-]*", "") if kind == "phone" else s
     n = F.length(digits_of(own))
-    context = F.when(c["start"] > 0, F.substring(text, F.greatest(F.lit(1), c["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), c["start"]))).otherwise("")
+    context = c["before"]
     before = F.when(context.rlike(AGAINST), 0).when(context.rlike(FOR), 2).otherwise(1)
     shape = {
         "email": s.rlike("@[^ ]+$"),
@@ -129,7 +214,7 @@ def features(text: Column, kind: str, c: Column, label: Column) -> Column:
         valid_of(kind, s).cast("int").alias("valid"),
         before.alias("before"),
         context.rlike(r"[A-Za-z0-9_/=#$.-]$").cast("int").alias("left"),
-        F.substring(text, c["stop"] + 1, F.lit(2)).rlike(r"^(?:[A-Za-z0-9_/=#$%-]|\.[0-9])").cast("int").alias("right"),
+        c["after"].rlike(r"^(?:[A-Za-z0-9_/=#$%-]|\.[0-9])").cast("int").alias("right"),
         label.alias("label"),
     )
 
@@ -143,7 +228,21 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*keep, text.alias("text"))
     t = F.col("text")
-    rows = rows.select("*", *[m.alias(f"m_{k}") for k, m in base_matches(t).items()])
+    some = t.rlike("[0-9]")
+    base = {
+        "email": (EMAIL, t.contains("@")),
+        "ip": (IP, some),
+        "card": (CARD_RUN, some),
+        "phone": (PHONE, some & t.contains("+")),
+    }
+    more = {k: (MORE[k], t.rlike(EMAIL_SIGN) if k == "email" else some) for k in KINDS}
+    searches = {f"{g}_{k}": search for g, group in (("m", base), ("g", more)) for k, search in group.items()}
+    # One step each, so that no search is written out, and made, twice.
+    rows = rows.select("*", *[found(t, pattern, when).alias(c) for c, (pattern, when) in searches.items()])
+    rows = rows.select("*", *[F.when(F.size(c) > 0, F.split(t, p)).alias(f"p{c}") for c, (p, _) in searches.items()])
+    rows = rows.select(*keep, "text", *[between(F.col(c), F.col(f"p{c}")).alias(c) for c in searches])
+    rows = rows.select(*keep, "text", *[placed(F.col(c)).alias(c) for c in searches])
+    rows = rows.withColumn("m_card", F.when(F.size("m_card") > 0, cut_runs(F.col("m_card"))).otherwise(F.col("m_card")))
 
     def valid(kind, c):
         return valid_of(kind, c["s"])
@@ -151,23 +250,26 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     def bare(kind, c):
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
 
-    good = [F.transform(F.filter(f"m_{k}", of(valid, k)), of(bare, k)) for k in KINDS]
-    rows = rows.withColumn("base", F.concat(*good))
-    some = t.rlike("[0-9]")
-    when = {"email": t.rlike(EMAIL_SIGN), "ip": some, "card": some, "phone": some}
-    rows = rows.select("*", *[placed(t, found(t, MORE[k], when[k])).alias(f"g_{k}") for k in KINDS])
+    def tagged(kind, c):
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), *[c[f].alias(f) for f in ("start", "stop", "s", "before", "after")])
 
-    def free(c):
-        return ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    good = [F.transform(F.filter(f"m_{k}", of(valid, k)), of(bare, k)) for k in KINDS]
+    loose = [F.transform(f"g_{k}", of(tagged, k)) for k in KINDS]
+    rows = rows.select("*", F.concat(*good).alias("base"), F.concat(*loose).alias("loose"))
+    rows = rows.withColumn("every", events(F.col("base"), F.col("loose")))
+    rows = rows.withColumn("left", beyond(F.col("every"))).withColumn("free", ahead(F.col("left")))
 
     def checked(kind, c):
-        return features(t, kind, c, valid_of(kind, c["s"]).cast("int"))
+        return features(kind, c, valid_of(kind, c["s"]).cast("int"))
 
     def proposed(kind, c):
-        return features(t, kind, c, F.lit(0))
+        return features(kind, c, F.lit(0))
+
+    def is_kind(kind, c):
+        return c["kind"] == KINDS.index(kind)
 
     parts = [F.transform(f"m_{k}", of(checked, k)) for k in KINDS]
-    parts += [F.transform(F.filter(f"g_{k}", free), of(proposed, k)) for k in KINDS]
+    parts += [F.transform(F.filter("free", of(is_kind, k)), of(proposed, k)) for k in KINDS]
     return rows.select("text", *keep, "base", F.concat(*parts).alias("proposed"))
 
 
@@ -229,8 +331,9 @@ def boost(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> dict:
 
 def train(docs: DataFrame) -> dict:
     """Fit on every proposal of the table, counted by cell of features."""
-    cells = candidates(docs).select(F.explode("proposed").alias("c"))
-    by = cells.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.sum("c.label").alias("yes"), F.count(F.lit(1)).alias("n"))
+    # Outer, as Spark would else write out all of `proposed` once more as a filter on its size.
+    cells = candidates(docs).select(F.inline_outer("proposed")).where("kind IS NOT NULL")
+    by = cells.groupBy(*FEATURES).agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
     got = sorted(by.collect())
     x = np.array([[r[f] for f in FEATURES] for r in got], int).reshape(-1, len(FEATURES))
     yes = np.array([r["yes"] for r in got], float)
@@ -268,8 +371,11 @@ def find(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
         return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
 
     more = F.transform(F.filter("proposed", chosen), bare)
-    spans = F.array_sort(F.array_distinct(F.concat("base", more)))
-    return rows.select("text", *keep, "base", F.when(F.size("proposed") > 0, spans).otherwise(F.col("base")).alias("spans"))
+    both = F.when(F.size("proposed") > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base"))
+    rows = rows.select("text", *keep, "base", both.alias("both"))
+    # Equal spans are neighbours by now; array_distinct would compare all with all.
+    spans = F.filter("both", lambda s, i: (i == 0) | (s != F.get("both", i - 1)))
+    return rows.select("text", *keep, "base", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -299,7 +405,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: counts of base spans by kind, the digest of their list, and the list of all spans.
 
     `docs` needs `doc_id, text`; further columns are ignored. A null text is empty and has no spans; null ids and
-    repeated rows keep their rows. No row is shuffled: a document's spans are worked out where it is read.
+    repeated rows keep their rows. No row is shuffled: a document's spans are worked out where it is read. Texts are used
+    whole; time on one text grows with its length and its matches (and with the square of the cards that only separators part).
     """
     rows = find(docs, train(docs), "doc_id")
 

@@ -1,5 +1,6 @@
 """Mixing, sharding, neighbours, passages, personal data and the pipeline, on awkward rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -411,3 +412,29 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_personal_data_proposals_by_brute_force(spark, documents):
+    """Proposals are the generators' matches that meet no base span, at the places where they match."""
+    rng = random.Random(3)
+    bits = ["+", "1", "22", "4444", " ", "-", ".", "@", "a", "ex.org", "(", ")", "[at]", " dot ", "phone: ", "4111 1111 1111 1111"]
+    bits += ["  ", "10.0.0.1", "+44 20 7946 0958", "ü", "😀", "\n", "0"]
+    texts = {i: "".join(rng.choice(bits) for _ in range(rng.randrange(120))) for i in range(300)}
+    for r in pii.candidates(documents([(i, t, "src0") for i, t in texts.items()]), "doc_id").collect():
+        want = []
+        for k, name in enumerate(pii.KINDS):
+            for m in re.finditer(pii.MORE[name], r.text):
+                if (name != "email" or re.search(pii.EMAIL_SIGN, r.text)) and not any(b.start < m.end() and m.start() < b.stop for b in r.base):
+                    want.append((k, *m.span()))
+        got = [(p.kind, p.start, p.stop) for p in r.proposed]
+        assert got[len(got) - len(want) :] == want
+
+
+def test_personal_data_of_a_text_with_20000_matches(spark, documents):
+    text = " ".join(f"host 10.1.{i % 250}.{i // 250 % 250} mail user{i}@ex.org" for i in range(10_000))
+    got = pii.personal_data(documents([(1, text, "src0"), (2, "nothing", "src0")])).collect()
+    one = next(r for r in got if r.doc_id == 1)
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (10_000, 10_000, 0, 0)
+    where = [("email", m) for m in re.finditer(r"user[0-9]+@ex\.org", text)] + [("ip", m) for m in re.finditer(r"10\.1\.[0-9]+\.[0-9]+", text)]
+    want = ",".join(f"{kind}:{m.start()}:{m.end()}" for kind, m in where)
+    assert one.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
