@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,88 @@ def test_best_chain(seed):
         assert max(map(score, found)) <= max(best) + 1e-9
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chain_ends_of_ascending_matches(seed, monkeypatch):
+    """Without the tree the same scores and predecessors."""
+    rng = random.Random(seed)
+    for _ in range(40):
+        a, b = (sorted(rng.sample(range(600), 30)) for _ in range(2))
+        plain = passages.ends_of(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(passages, "ascending", lambda c: False)
+            assert passages.ends_of(a, b) == plain
+
+
+def test_ends_without_three_equal_words_gain_nothing(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))] for _ in range(2))
+        i, j = rng.randrange(len(x)), rng.randrange(len(y))
+        for step in (1, -1):
+            got = [passages.grow(x, y, i, j, step, cost) for cost in passages.EDIT_COSTS]
+            with monkeypatch.context() as m:
+                # Never empty, so that every end is followed.
+                m.setattr(passages, "set", lambda c: type("Any", (), {"isdisjoint": lambda self, d: False})(), raising=False)
+                assert got == [passages.grow(x, y, i, j, step, cost) for cost in passages.EDIT_COSTS]
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(3)
+    for size in (2, 5, 3000):
+        texts = [" ".join(str(rng.randrange(size)) for _ in range(rng.choice([0, 4, 5, 11, 12, 13, 60, 300]))) for _ in range(40)]
+        text, seed, at, near = passages.seeds_of(texts, passages.Names())
+        for i, t in enumerate(texts):
+            _, *alone = passages.seeds_of([t], passages.Names())
+            own = text == i
+            assert all((c[own] == d).all() for c, d in zip((seed, at, near), alone))
+            words, k, n = t.split(), passages.SEED_WORDS, len(t.split()) - passages.SEED_WORDS + 1
+            grams = [tuple(words[j : j + k]) for j in range(max(0, n))]
+            # Every window of SPREAD seeds holds one, be it at another place of a row of the same seed.
+            held = {grams[j] for j in at[own]}
+            assert all(held & set(grams[j : j + passages.SPREAD]) for j in range(max(min(n, 1), n - passages.SPREAD + 1)))
+
+
+def test_partners_of_seeds_across_batches():
+    """Whatever the batches, each occurrence meets the first of its seed and the one before it."""
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(12), rng.choice([0, 1, 2, 1 << 24]), rng.randrange(4), rng.randrange(6)) for _ in range(150))
+    want = []
+    for (seed, near, rid, word), last in zip(rows[1:], rows):
+        first = next(r for r in rows if r[0] == seed)
+        same = last[0] == seed
+        meets = same and last[2] != rid and last[2:] != first[2:]
+        twin = same and last[1] == near and near & ((1 << 24) - 1) != 0
+        begin = first[2:] if same and first[2] != rid else (None, None)
+        if meets or twin or begin[0] is not None:
+            want.append((rid, word, *begin, *(last[2:] if meets or twin else (None, None)), twin, meets))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    for cut in (1, 7, 150):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + cut]), kinds)], passages.SEED_NAMES) for i in range(0, len(rows), cut)]
+        got = [tuple(r.values()) for b in passages.marking(batches) for r in b.to_pylist()]
+        assert got == want
+
+
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_seeds_unpacked_are_the_repeated_ones(limit, monkeypatch):
+    """Beyond the limit single ones come along; no repeated one is lost in either case."""
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.randrange(40)) for _ in range(rng.randrange(60))) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(-25, 25), pa.int64()), pa.array(texts)], ["rid", "text"])
+    text, seed, at, near = passages.seeds_of(texts, passages.Names())
+    rows = Counter(zip(passages.mix(seed).view(np.int64).tolist(), near.view(np.int64).tolist(), (text - 25).tolist(), at.tolist()))
+    count = Counter(r[0] for r in rows.elements())
+    parts = defaultdict(list)
+    monkeypatch.setattr(passages, "PACK_SEEDS", 100)
+    for b in passages.seeding(3)([batch]):
+        for r in range(b.num_rows):
+            parts[b.column(0)[r].as_py()].append(b.slice(r, 1))
+    monkeypatch.setattr(passages, "PART_SEEDS", limit)
+    got = Counter(tuple(r.values()) for p in parts.values() for b in passages.unpacking(p) for r in b.to_pylist())
+    repeated = Counter({r: n for r, n in rows.items() if count[r[0]] > 1})
+    assert len(parts) == 3 and repeated <= got <= rows
+    assert limit == 10 or got == repeated
+
+
 def test_passages(spark, documents, edge_rows):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
