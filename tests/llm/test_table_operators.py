@@ -242,7 +242,7 @@ def test_partners_of_seeds_across_batches():
         twin = same and last[1] == near and near & ((1 << 24) - 1) != 0
         begin = first[2:] if same and first[2] != rid else (None, None)
         if meets or twin or begin[0] is not None:
-            want.append((rid, word, *begin, *(last[2:] if meets or twin else (None, None)), twin, meets))
+            want.append((rid, word, *begin, *(last[2:] if same else (None, None)), twin, meets))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     for cut in (1, 7, 150):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + cut]), kinds)], passages.SEED_NAMES) for i in range(0, len(rows), cut)]
