@@ -1,6 +1,7 @@
 """Kernel sums, bag weights, the whole-table iteration, ensembles and pipelines."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,49 @@ def test_grids_cover_all_pairs_of_blocks_once(spark):
     assert tiles.grid(1, 10, 10, 20 * tiles.STRIPE_BYTES, 1.0, 1)[0] == 10
 
 
+def test_half_grids_of_fewer_stripes_than_blocks_cover_all_pairs(spark):
+    from reweight.operators import tiles
+
+    blocks = spark.range(7).select((F.col("id") % 1).alias("grp"), F.col("id").alias("at"))
+
+    def pair(a, b):
+        return pd.DataFrame({"a": [min(a.at, b.at)], "b": [max(a.at, b.at)]})
+
+    for side in (1, 3, 6):
+        rows = tiles.tiled(blocks, blocks, (side, side), 1, "a long, b long", pair, upper=True).collect()
+        assert sorted(map(tuple, rows)) == [(a, b) for a in range(7) for b in range(a, 7)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_width_of_more_blocks_than_stripes(points, monkeypatch, width):
+    """Many blocks, close first bounds around the middle, and rows in no order of place."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", (8, 8))
+    monkeypatch.setattr(K, "task_count", lambda df, units: min(units, 4))
+    x = RNG.normal(size=(400, width)) ** 3
+    assert K.kernel_width(points(x), bag_rows=0) == pytest.approx(dense.median_distance(x), rel=1e-12)
+    monkeypatch.setattr(K, "probe", lambda *a: (100.0, 101.0))
+    assert K.kernel_width(points(x), bag_rows=0) == pytest.approx(dense.median_distance(x), rel=1e-12)
+
+
+def test_sums_by_moments_are_those_by_pairs(spark, points, monkeypatch):
+    x, z = RNG.uniform(-2, 3, size=(90, 2)), np.c_[RNG.normal(size=1500), np.full(1500, 0.5)]
+    tr, te = B.bootstrap_bags(points(x), 20, 6, 3), B.random_disjoint(points(z, start=1000), 1100, 4)
+    pairs = B.cartesian_pairs(spark, tr.count, te.count)
+    routes = []
+    for least in (0, 2**62):
+        monkeypatch.setattr(K, "EXPAND_FROM", least)
+        used = K.expansion(tr, te, None, 2, 12)
+        assert (used is not None) == (least == 0)
+        for gamma in (None, 0.8):
+            sums = {(r["pair_id"], r["pos"]): r["kappa"] for r in K.kappa(tr, te, pairs, gamma).collect()}
+            solved = {(r["pair_id"], r["pos"]): r["beta"] for r in M.bag_weights(tr, te, pairs, gamma).collect()}
+            routes.append((sums, solved))
+    for a, b in zip(routes[:2], routes[2:]):
+        assert a[0].keys() == b[0].keys() and len(a[0]) == 240
+        assert all(a[0][k] == pytest.approx(b[0][k], rel=1e-10) for k in a[0])
+        assert all(a[1][k] == pytest.approx(b[1][k], abs=1e-5) for k in a[1])
+
+
 def test_sampled_width_brackets_the_median(points):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(300, 2)), 1)
