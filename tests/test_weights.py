@@ -427,3 +427,55 @@ def test_sparse_rows_that_cannot_be_weighted(spark, sparse_rows):
         B.width_of(sparse.withColumn("entries", F.when(F.col("row_id") > 0, F.col("entries"))))
     with pytest.raises(ValueError, match="smaller bags"):
         M.bag_weights(B.whole_bag(sparse, 45), B.whole_bag(sparse, 45), B.cartesian_pairs(spark, 1, 1), 1.0, bag_rows=10)
+
+
+MANY, OTHERS = np.random.default_rng(5).normal(size=(700, 2)), np.random.default_rng(6).normal(size=(300, 2)) + 0.4
+
+
+def test_a_factor_of_few_columns_gives_the_dense_optimum():
+    kappa = -(700 / 300) * dense.kernel_dot(MANY, OTHERS, None, 0.2)
+    beta, residual, _ = M.solve_factored(MANY, 0.2, kappa)
+    assert residual <= 1e-6 and beta.min() >= 0
+    k = dense.gram_stack(MANY[None], np.array([0.2]))
+    want = qp.solve_stack(k, kappa[None])[0][0]
+    cost = lambda b: 0.5 * b @ k[0] @ b + kappa @ b
+    assert cost(beta) == pytest.approx(cost(want), rel=1e-10)
+    # Well-separated rows have no such factor.
+    assert M.solve_factored(MANY, 1e6, kappa) is None
+
+
+def test_bags_beyond_the_dense_solver_take_one_task_each(spark, points, monkeypatch):
+    """Bags of 600 rows where 100 are the most of the dense solver: no iteration over the cluster, except without a factor."""
+    monkeypatch.setattr(K, "BAG_ROWS", 100)
+    monkeypatch.setattr(M, "BAG_ROWS", 100)
+    iterated = []
+
+    def large(tr, te, pairs, *rest):
+        iterated.extend(sorted(r.pair_id for r in pairs.collect()))
+        return spark.createDataFrame([], M.SOLVED)
+
+    monkeypatch.setattr(M, "_large_bags", large)
+    tr, te = B.partition_bags(points(MANY), 600, 2, tail="keep"), B.partition_bags(points(OTHERS, 5000), 150, 2)
+    pairs = B.cartesian_pairs(spark, tr.count, te.count)
+    rows = M.bag_weights(tr, te, pairs, 0.2, bag_rows=100).collect()
+    assert len(rows) == 1400 and max(r.residual for r in rows) <= 1e-6
+    # The second bag has 100 rows, which the dense solver takes; so nothing is iterated.
+    assert iterated == []
+    for bag in range(2):
+        got = {r.row_id: r.beta for r in rows if r.tr_bag == 0 and r.te_bag == bag}
+        z = OTHERS[150 * bag :][:150]
+        want = dict(enumerate(direct(MANY[:600], z, 0.2)))
+        assert objective(MANY[:600], z, 0.2, got) == pytest.approx(objective(MANY[:600], z, 0.2, want), rel=1e-9)
+    # With this width the factor has too many columns; the pairs of that bag go on to the iteration.
+    again = M.bag_weights(tr, te, pairs, 5.0, bag_rows=100).collect()
+    assert iterated == [0, 1] and {r.pair_id for r in again} == {2, 3}
+
+
+def test_large_bags_are_solved_side_by_side(spark, points, monkeypatch):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(M, "_solve_large", lambda *a, run=M._solve_large: both.wait() is None or run(*a))
+    tr, te = B.partition_bags(points(X), 20, 2), B.whole_bag(points(Z, 500), 90)
+    rows = M.bag_weights(tr, te, B.cartesian_pairs(spark, 2, 1), 0.7, bag_rows=0).collect()
+    assert len(rows) == 40 and max(r.residual for r in rows) < 1e-6
