@@ -17,8 +17,9 @@ DEVIATIONS = 4.0
 # toxic documents with both terms are not what the single terms expect. It outweighs the number of pairs tried.
 PAIR_TERMS = 3072
 EVIDENCE = 20.0
-# Rows whose terms are unfolded at a time for it.
+# Rows whose terms are unfolded at a time for it, and terms whose pairs with all others are counted at a time.
 FOLD = 1024
+STRIP = 512
 FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -44,10 +45,17 @@ def hashed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["doc_id", "label", "terms"])
 
 
+def counts(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each hashed term is; some rows at a time, so that the terms are never copied at once."""
+    out = np.zeros(1 << BITS, np.int64)
+    for start in range(0, len(rows), FOLD):
+        out += np.bincount(np.concatenate(rows[start : start + FOLD]), minlength=1 << BITS)
+    return out
+
+
 def chosen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Hashed terms whose rate differs between the labels by `DEVIATIONS` or more, in ascending order."""
-    width = 1 << BITS
-    count = [np.bincount(np.concatenate([np.zeros(0, np.uint32), *(r for r, y in zip(rows, labels) if y == v)]), minlength=width) for v in (0, 1)]
+    count = [counts([r for r, y in zip(rows, labels) if y == v]) for v in (0, 1)]
     n = [max(1, int((labels == v).sum())) for v in (0, 1)]
     share = (count[0] + count[1] + 1) / (n[0] + n[1] + 2)
     z = (count[1] / n[1] - count[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
@@ -71,27 +79,31 @@ def paired(rows: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) ->
     """Hashed terms of pairs that say more than `expected`, the chance by single terms, in ascending order.
 
     For each pair of the PAIR_TERMS terms: toxic documents that hold both against the sum of their chances, as Poisson counts.
-    So a term enters that is equally frequent in both labels, if some other term beside it tells them apart.
+    So a term enters that is equally frequent in both labels, if some other term beside it tells them apart. The pairs of STRIP
+    terms are counted at a time, as this runs on the driver.
     """
-    count = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(r for r, y in zip(rows, labels) if y)]), minlength=1 << BITS)
+    count = counts([r for r, y in zip(rows, labels) if y])
     ids = np.sort(np.argsort(-count, kind="stable")[:PAIR_TERMS])
     ids = ids[count[ids] > 0]
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int16)
     place[ids] = np.arange(len(ids))
-    seen, hoped = np.zeros((len(ids),) * 2, np.float32), np.zeros((len(ids),) * 2, np.float32)
-    for start in range(0, len(rows), FOLD):
-        part = [p[p >= 0] for p in (place[r] for r in rows[start : start + FOLD])]
-        on = np.zeros((len(part), len(ids)), np.float32)
-        on[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)] = 1
-        toxic = on[labels[start : start + FOLD] == 1]
-        seen += toxic.T @ toxic
-        hoped += on.T @ (on * expected[start : start + FOLD, None].astype(np.float32))
+    kept = [p[p >= 0] for p in (place[r] for r in rows)]
     strong = np.zeros(len(ids), bool)
-    for i in range(len(ids)):
-        k, mean = seen[i].astype(float), np.maximum(hoped[i], 1e-9)
-        ratio = k * np.log(np.maximum(k, 1e-9) / mean) - k + mean
-        ratio[i] = 0
-        strong[i] = ratio.max() >= EVIDENCE
+    for low in range(0, len(ids), STRIP):
+        strip = slice(low, min(low + STRIP, len(ids)))
+        seen, hoped = (np.zeros((strip.stop - low, len(ids)), np.float32) for _ in range(2))
+        for start in range(0, len(rows), FOLD):
+            part = kept[start : start + FOLD]
+            on = np.zeros((len(part), len(ids)), np.float32)
+            on[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)] = 1
+            toxic = on[labels[start : start + FOLD] == 1]
+            seen += toxic[:, strip].T @ toxic
+            hoped += (on[:, strip] * expected[start : start + FOLD, None].astype(np.float32)).T @ on
+        for i in range(len(seen)):
+            k, mean = seen[i].astype(float), np.maximum(hoped[i], 1e-9)
+            ratio = k * np.log(np.maximum(k, 1e-9) / mean) - k + mean
+            ratio[low + i] = 0
+            strong[low + i] = ratio.max() >= EVIDENCE
     return ids[strong]
 
 
@@ -114,7 +126,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> dict:
 
 def placed(ids: np.ndarray) -> np.ndarray:
     """For every hashed term its place in the model from 1, or 0."""
-    place = np.zeros(1 << BITS, np.int64)
+    place = np.zeros(1 << BITS, np.int32)
     place[ids] = np.arange(1, len(ids) + 1)
     return place
 
@@ -175,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     # An id counts once, however many rows repeat it: its least text by hash is reduced to before anything is collected.
     own = texts.mapInArrow(hashed, "doc_id long, label int, terms binary")
     got = own.groupBy("doc_id", "label").agg(F.min_by("terms", F.struct(F.xxhash64("terms"), "terms")).alias("terms")).select("label", "terms").toArrow()
-    data = [np.frombuffer(b, np.uint32) for b in got.column("terms").to_pylist()]
+    # Views of what came, without a copy of each row.
+    data = [np.frombuffer(b.as_buffer(), np.uint32) for b in got.column("terms")]
     y = np.array(got.column("label").to_pylist(), float)
     # The order in which tasks end must not change the model.
     order = sorted(range(len(data)), key=lambda i: (zlib.crc32(data[i].tobytes()), y[i]))

@@ -331,3 +331,20 @@ def test_toxicity_edges(spark, documents, edge_rows):
     some = spark.createDataFrame([(8, 1), (8, 1), (10, None), (None, 1), (77, 0), (3, 0)], "doc_id long, toxic int")
     assert toxicity.query(spark, documents(edge_rows), some).count() == len(edge_rows)
     assert toxicity.query(spark, documents([]), some).count() == 0
+
+
+def test_pairs_of_terms_are_counted_in_little_memory():
+    """On the driver: 3,000 terms, whose whole matrices of pairs would be 36 MB each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 3000, 60)).astype(np.uint32) for _ in range(1500)]
+    labels = (rng.random(1500) < 0.5).astype(float)
+    rows = [np.union1d(r, [3100, 3101]).astype(np.uint32) if y else r for r, y in zip(rows, labels)]
+    rows[0] = np.zeros(0, np.uint32)
+    tracemalloc.start()
+    ids = toxicity.paired(rows, labels, np.full(1500, 0.3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {3100, 3101} <= set(ids.tolist())
+    assert peak < 80e6
