@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -271,6 +272,40 @@ def test_seeds_unpacked_are_the_repeated_ones(limit, monkeypatch):
     assert limit == 10 or got == repeated
 
 
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_seeds_meet_where_they_are_unpacked(limit, monkeypatch):
+    """A part's worker finds the partners itself; beyond the limit it hands the seeds on, which are then sorted and marked."""
+    rng = random.Random(4)
+    seeds = sorted((rng.randrange(20), rng.choice([0, 1, 1 << 24]), rng.randrange(4), rng.randrange(6)) for _ in range(200))
+    kinds = [np.uint64, np.uint64, np.int64, np.uint32]
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(np.array(c, k)) for c, k in zip(zip(*rows), passages.SEED_KINDS)], passages.SEED_NAMES)
+    want = Counter(tuple(r.values()) for b in passages.marking([as_batch(seeds)]) for r in b.to_pylist())
+    pack, rows = zstandard.ZstdCompressor(1).compress, []
+    for i in range(3):
+        seed, near, rid, word = (np.array(c, k) for c, k in zip(zip(*seeds[i::3]), kinds))
+        rows.append(passages.packed_seeds(rid, seed, word, near, pack))
+    packed = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], passages.PACKED)
+    monkeypatch.setattr(passages, "PART_SEEDS", limit)
+    out = [r for b in passages.unpacking([packed], met=True) for r in b.to_pylist()]
+    names = [c.split()[0] for c in passages.MARKED.split(", ")]
+    done = Counter(tuple(r[c] for c in names) for r in out if r["seed"] is None)
+    rest = sorted(tuple(r[c] for c in passages.SEED_NAMES) for r in out if r["seed"] is not None)
+    assert (rest == seeds and not done) if limit == 10 else (not rest and done == want)
+
+
+def test_text_beside_its_chains_is_cut_for_each_of_them():
+    """One row per text and lot of chains becomes one row per chain, with the words around it."""
+    words = [f"w{i}" for i in range(400)]
+    packed = zstandard.ZstdCompressor(1).compress(" ".join(words).encode())
+    chain = lambda a, e: {"b": a, "a_word": a, "a_end": e, "b_word": 1, "b_end": 2}
+    kind = pa.list_(pa.struct([("b", pa.int64()), *((c, pa.int32()) for c in ("a_word", "a_end", "b_word", "b_end"))]))
+    lots = pa.array([[chain(5, 50), chain(100, 200)], [chain(390, 400)]], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7]), lots, pa.array([3, 3]), pa.array([packed] * 2, pa.binary())], ["a", "chains", "doc_id", "packed"])
+    (out,) = passages.cutting([batch])
+    got = [(r["a"], r["b"], r["a_word"], r["doc_id"], r["part"].split(" ")) for r in out.to_pylist()]
+    assert got == [(7, 5, 5, 3, words[:110]), (7, 100, 100, 3, words[40:260]), (7, 390, 390, 3, words[330:])]
+
+
 def test_passages(spark, documents, edge_rows):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
