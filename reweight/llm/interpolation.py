@@ -103,9 +103,15 @@ def counting(batches):
         yield facts(False, zero, tokens[order][at].view(np.int64), n, c, r)
         left = before(tokens, sizes, START)
         pair = mix(left) * np.uint64(3) + tokens
-        kinds, first, n = np.unique(pair, return_index=True, return_counts=True)
+        kinds, n = np.unique(pair, return_counts=True)
         keep = n >= max(2, len(tokens) // HOT_PAIRS)
-        first, n = first[keep], n[keep]
+        kinds, n = kinds[keep], n[keep]
+        # Only the few that are frequent are looked up again, for the words of one occurrence.
+        first = np.zeros(len(n), np.int64)
+        if len(n):
+            at = np.minimum(np.searchsorted(kinds, pair), len(kinds) - 1)
+            hit = np.flatnonzero(kinds[at] == pair)
+            first[at[hit]] = hit
         zero = np.zeros(len(n), np.int64)
         yield facts(True, left[first].view(np.int64), tokens[first].view(np.int64), n, zero, zero)
 
@@ -179,9 +185,10 @@ def rows_of(n: int, **given):
     return pa.RecordBatch.from_arrays(cols, list(COLUMNS))
 
 
-def dealt(kind: int, bucket: np.ndarray, doc: np.ndarray, rids: np.ndarray, roles: np.ndarray, z: np.ndarray, t: np.ndarray):
+def dealt(parts: int, kind: int, bucket: np.ndarray, doc: np.ndarray, rids: np.ndarray, roles: np.ndarray, z: np.ndarray, t: np.ndarray):
     """Pairs of documents (in ascending order) as one packed row per bucket."""
-    order = np.argsort(bucket, kind="stable")
+    # Numbers of 16 bits are sorted by their digits.
+    order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
     bucket, doc, z, t = bucket[order], doc[order], z[order], t[order]
     cut = np.flatnonzero(np.diff(bucket)) + 1
     xs, ys, zs, ts, at = [], [], [], [], []
@@ -226,7 +233,7 @@ def cutting(shared, parts: int, most: int):
                 at, often = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
             if not often.all():
                 rest = ~often
-                yield dealt(FREQUENT, bucket_of(key[rest]), own[rest], rids, roles, key[rest], times[rest])
+                yield dealt(parts, FREQUENT, bucket_of(key[rest]), own[rest], rids, roles, key[rest], times[rest])
             at, own, times = at[often], own[often], times[often]
             ends = np.searchsorted(own, np.arange(docs + 1)).tolist()
             places, many = at.astype("<u4"), times.astype("<u4")
@@ -236,7 +243,7 @@ def cutting(shared, parts: int, most: int):
                 doc_id=ids.tolist(), x=[places[s:e].tobytes() for s, e in slices], t=[many[s:e].tobytes() for s, e in slices],
             )
             if len(at):
-                order = np.argsort(at, kind="stable")
+                order = np.argsort(at)
                 at, own, times = at[order], own[order], times[order]
                 first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 0]))
                 role = roles[own]
@@ -252,11 +259,11 @@ def cutting(shared, parts: int, most: int):
             rare = ~good
             if rare.any():
                 w = tokens[rare]
-                yield dealt(RARE_END, bucket_of(w), doc[rare], rids, roles, w, np.where(left[rare] < 0, NONE, left[rare]))
+                yield dealt(parts, RARE_END, bucket_of(w), doc[rare], rids, roles, w, np.where(left[rare] < 0, NONE, left[rare]))
             rare = good & (left < 0)
             if rare.any():
                 h = names[rare]
-                yield dealt(RARE_START, bucket_of(h), doc[rare], rids, roles, h, right[rare])
+                yield dealt(parts, RARE_START, bucket_of(h), doc[rare], rids, roles, h, right[rare])
             rare = ~good & (left < 0)
             if rare.any():
                 n, own = int(rare.sum()), doc[rare]
@@ -286,7 +293,7 @@ class Pairs:
             own = np.flatnonzero(layer == i)
             if not len(own):
                 continue
-            own = own[np.argsort(key[own], kind="stable")]
+            own = own[np.argsort(key[own])]
             group = np.cumsum(np.concatenate([[True], np.diff(key[own]) != 0])) - 1
             role, n = self.role[own], times[own]
             c[own] = np.bincount(group, n * (role != HELD_OUT))[group]
@@ -299,18 +306,27 @@ class Pairs:
 
 
 def developed(aside: np.ndarray, times, pair, context, word):
-    """Occurrences in documents set aside, once per (kept counts of pair, context and word)."""
+    """Occurrences in documents set aside, once per (kept counts of pair, context and word).
+
+    Where the pair was never seen its estimate is nought, and the context counts by its bucket only: all contexts of a bucket
+    are one there.
+    """
     if not aside.any():
         return rows_of(0)
-    kinds = np.stack([pair[aside], context[aside], word[aside]], 1).astype(np.int64)
-    kinds, at = np.unique(kinds, axis=0, return_inverse=True)
-    n = np.bincount(at.ravel(), times[aside]).astype(np.int64)
-    return rows_of(len(n), kind=[DEV] * len(n), rid=kinds[:, 0], doc_id=kinds[:, 1], p=kinds[:, 2], q=n)
+    pair, context, word, times = (v[aside].astype(np.int64) for v in (pair, context, word, times))
+    context = np.where(pair == 0, least_of(context), context)
+    order = np.lexsort((word, context, pair))
+    pair, context, word = pair[order], context[order], word[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(context) != 0) | (np.diff(word) != 0)]))
+    n = np.add.reduceat(times[order], first)
+    return rows_of(len(n), kind=[DEV] * len(n), rid=pair[first], doc_id=context[first], p=word[first], q=n)
 
 
 def counted(pairs: Pairs, part: slice, keep, times, pair, context, word, base=None, known=None):
     """A run of pairs with their three training counts as a packed row, and what rare words add to their documents."""
-    own, at = np.unique(pairs.doc[part], return_inverse=True)
+    # Documents ascend.
+    new = np.concatenate([[True], np.diff(pairs.doc[part]) != 0])
+    own, at = pairs.doc[part][new], np.cumsum(new) - 1
     extra = np.zeros((2, len(own)))
     if base is not None:
         extra = np.stack([np.bincount(at, v, len(own)) for v in (base, known)])
@@ -392,6 +408,12 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
 
 
+def least_of(context: np.ndarray) -> np.ndarray:
+    """The least count in the bucket of each context."""
+    b = bucket(context)
+    return np.where(b > 0, np.int64(1) << np.maximum(b - 1, 0).astype(np.int64), 0)
+
+
 def parts_of(pair, context, word, total: int, distinct: int):
     """The three estimates: of the word after its context, of the word, and one that all words and an unseen one share."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -399,14 +421,32 @@ def parts_of(pair, context, word, total: int, distinct: int):
     return np.stack([after, word / max(total, 1), np.full(len(after), 1.0 / (distinct + 1))])
 
 
+def together(batches):
+    """(pair, context, word, n) to packed rows of about PIECE of them, which every round of the learning reads."""
+    held, size = [], 0
+
+    def packed():
+        four = np.concatenate([np.concatenate(c) for c in zip(*held)])
+        return pa.RecordBatch.from_arrays([pa.array([planes(four)], pa.binary())], ["four"])
+
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= PIECE:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
+
+
 def expected(weights: np.ndarray, total: int, distinct: int):
-    """(pair, context, word, n) to each estimate's expected share of the occurrences, per bucket."""
+    """Packed (pair, context, word, n) to each estimate's expected share of the occurrences, per bucket."""
 
     def run(batches):
         sums = np.zeros((3, BUCKETS))
         for batch in batches:
-            if batch.num_rows:
-                pair, context, word, n = (c.to_numpy().astype(float) for c in batch.columns)
+            for four in batch.column(0):
+                pair, context, word, n = numbers(four.as_py()).astype(float).reshape(4, -1)
                 b = bucket(context)
                 p = weights[:, b] * parts_of(pair, context, word, total, distinct)
                 p *= n / p.sum(0)
@@ -418,7 +458,7 @@ def expected(weights: np.ndarray, total: int, distinct: int):
 
 
 def learnt(dev: DataFrame, total: int, distinct: int) -> np.ndarray:
-    """Weights of the three estimates per bucket, by expectation maximisation over (pair, context, word, n).
+    """Weights of the three estimates per bucket, by expectation maximisation over packed (pair, context, word, n).
 
     Only sums per bucket come to the driver. A bucket without occurrences has the weights of the next lower one that has
     some, or else of the next higher; without any at all the weights are equal.
@@ -606,7 +646,8 @@ def score(docs: DataFrame) -> DataFrame:
     rare = reliable(rare_pairs(rows, words.where(~often)))
     dev = rows.where(F.col("kind") == DEV).select(F.col("rid").alias("pair"), F.col("doc_id").alias("context"), F.col("p").alias("word"), F.col("q").alias("n"))
     dev = dev.unionByName(rare.where(F.col("role") == ASIDE).select(F.col("r").alias("pair"), F.col("rh").alias("context"), F.col("rw").alias("word"), F.lit(1).cast("long").alias("n")))
-    dev = reliable(dev.groupBy("pair", "context", "word").agg(F.sum("n").alias("n")))
+    dev = dev.groupBy("pair", "context", "word").agg(F.sum("n").alias("n"))
+    dev = reliable(dev.mapInArrow(together, "four binary"))
     weights = learnt(dev, kept, kept_distinct)
     if not total:
         weights[:, 0] = 0, 0, 1

@@ -121,3 +121,18 @@ def test_scores_of_held_out_texts_beat_the_base(spark):
 
     rows = registry.queries()["op12_interpolated_scores"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_unseen_pairs_are_learnt_once_per_bucket_of_their_context():
+    """Contexts 4 to 7 are one bucket; what follows them unseen is one row, what was seen keeps its context."""
+    pair, context, word = (np.array(v) for v in ([0, 0, 0, 0, 2, 2], [4, 7, 6, 8, 4, 7], [3, 3, 5, 3, 3, 3]))
+    aside, times = np.array([True] * 6), np.array([1, 2, 4, 8, 16, 32])
+    rows = interpolation.developed(aside, times, pair, context, word).select(["rid", "doc_id", "p", "q"])
+    got = sorted(tuple(r.values()) for r in rows.to_pylist())
+    assert got == [(0, 4, 3, 3), (0, 4, 5, 4), (0, 8, 3, 8), (2, 4, 3, 16), (2, 7, 3, 32)]
+    # A round of learning gives the same sums from these rows as from the plain ones.
+    weights = np.random.default_rng(1).dirichlet(np.ones(3), interpolation.BUCKETS).T
+    p = weights[:, interpolation.bucket(context)] * interpolation.parts_of(pair, context, word, 50, 9)
+    want = np.stack([np.bincount(interpolation.bucket(context), v, interpolation.BUCKETS) for v in p * times / p.sum(0)])
+    (sums,) = interpolation.expected(weights, 50, 9)(interpolation.together([rows]))
+    assert np.allclose([sums.column(i).to_numpy() for i in (1, 2, 3)], want)
