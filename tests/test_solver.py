@@ -95,3 +95,21 @@ def test_wide_and_narrow_distances_agree():
     rng = np.random.default_rng(5)
     x, z = rng.normal(size=(7, 40)), rng.normal(size=(5, 40))
     assert dense.sq_dists(x, z) == pytest.approx(((x[:, None] - z[None]) ** 2).sum(-1))
+
+
+def test_last_systems_of_a_stack_are_solved_together(monkeypatch):
+    """Two-row bags in thousands: a few calls of the solver for all of them, and the weights are those of each alone."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (2000, 2, 2)).astype(float)
+    k = dense.gram_stack(x, np.full(2000, 1.3))
+    kappa = -rng.uniform(0, 3, (2000, 2))
+    assert (k[:, 0, 1] == 1).any()  # equal rows, whose systems are singular
+    calls, real = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: calls.append(len(a)) or real(a, b))
+    beta, res, _ = qp.solve_stack(k[k[:, 0, 1] < 1], kappa[k[:, 0, 1] < 1])
+    assert len(calls) < 200
+    monkeypatch.undo()
+    beta, res, _ = qp.solve_stack(k, kappa)
+    alone = [qp.solve_stack(k[i : i + 1], kappa[i : i + 1]) for i in range(0, 2000, 20)]
+    assert np.array_equal(beta[::20], np.concatenate([a[0] for a in alone]))
+    assert res.max() < 1e-9
