@@ -202,6 +202,34 @@ def test_chain_ends_of_ascending_matches(seed, monkeypatch):
             assert passages.ends_of(a, b) == plain
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_words_as_characters_give_the_same_passages(seed, monkeypatch):
+    """Texts with edits, against the same steps on the words themselves, by the general chains and without diagonals."""
+    rng = random.Random(seed)
+    for _ in range(25):
+        x = [f"w{rng.randrange(400)}" for _ in range(rng.randint(60, 260))]
+        y = [f"v{rng.randrange(9)}" if rng.random() < 0.06 else w for w in x if rng.random() > 0.04]
+        y = [f"u{rng.randrange(50)}" for _ in range(rng.randint(0, 40))] + y
+        a, b = passages.coded(x, y)
+        assert isinstance(a, str) and len(a) == len(x) and len(b) == len(y)
+        got = passages.passages_of(x, y, (0, 5, 0, 5))
+        with monkeypatch.context() as m:
+            m.setattr(passages, "CHARACTERS", 0)
+            m.setattr(passages, "joined", lambda a, b: None)
+            m.setattr(passages, "few_edits", lambda x, y, most: None)
+            assert passages.coded(x, y) == (x, y)
+            assert passages.passages_of(x, y, (0, 5, 0, 5)) == got
+        assert passages.edits(a, b) == passages.edits(x, y) == naive_edits(x, y)
+
+
+def test_passages_name_both_documents(spark, documents):
+    """The ids of both sides as a pair and as a list."""
+    words = " ".join(f"w{i}" for i in range(70))
+    (row,) = passages.query(spark, documents([(4, "one " + words, "s"), (9, "two " + words, "s")])).collect()
+    assert (row.doc_a, row.doc_b) == (row.doc_id_a, row.doc_id_b) == tuple(row.doc_ids)
+    assert sorted(row.doc_ids) == [4, 9]
+
+
 def test_ends_without_three_equal_words_gain_nothing(monkeypatch):
     rng = random.Random(4)
     for _ in range(300):
