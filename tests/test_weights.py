@@ -479,3 +479,32 @@ def test_large_bags_are_solved_side_by_side(spark, points, monkeypatch):
     tr, te = B.partition_bags(points(X), 20, 2), B.whole_bag(points(Z, 500), 90)
     rows = M.bag_weights(tr, te, B.cartesian_pairs(spark, 2, 1), 0.7, bag_rows=0).collect()
     assert len(rows) == 40 and max(r.residual for r in rows) < 1e-6
+
+
+def test_sums_of_a_block_come_in_few_frames(monkeypatch):
+    """A train block of two rows against 700 test bags."""
+    monkeypatch.setattr(K, "SENT_CELLS", 1000)
+    row = pd.DataFrame({"tr_bag": [3], "tr_blk": [0], "poss": [[0, 1]], "row_ids": [[5, 6]], "x": [[0.0] * 4], "gamma": [1.5]})
+    block = K.Block(next(row.itertuples(index=False)), {})
+    for bag in range(700):
+        block.add(bag, np.array([bag, 2.0 * bag]))
+    frames = list(K.sum_frames(block))
+    assert [len(f) for f in frames] == [500, 200]
+    got = pd.concat(frames)
+    assert got["te_bag"].tolist() == list(range(700)) and [v.tolist() for v in got["ksum"]] == [[b, 2 * b] for b in range(700)]
+    assert list(got.columns) == [c.split()[0] for c in K.SUMS.split(", ")] and set(got["tr_bag"]) == {3}
+
+
+def test_moments_are_cut_by_rows(points, monkeypatch):
+    """A test table in one partition, as adaptive execution leaves a small one, is spread before its moments."""
+    monkeypatch.setattr(K, "EXPAND_FROM", 1)
+    monkeypatch.setattr(K, "MOMENT_ROWS", 500)
+    rng = np.random.default_rng(4)
+    x, z = rng.uniform(size=(2000, 2)), rng.uniform(size=(2000, 2))
+    tr, te = B.whole_bag(points(x), 2000), B.whole_bag(points(z, parts=1).coalesce(1), 2000)
+    seen, real = [], K.bag_moments
+    monkeypatch.setattr(K, "bag_moments", lambda rows, *how: seen.append(rows.rdd.getNumPartitions()) or real(rows, *how))
+    pairs = B.cartesian_pairs(tr.df.sparkSession, 1, 1)
+    got = {r["row_id"]: r["ksum"] for r in K.pair_sums(tr, te, pairs, 0.7, 2, n_pairs=1).collect()}
+    assert seen == [4]
+    assert np.allclose([got[i] for i in range(2000)], dense.kernel_dot(x, z, None, 0.7), rtol=1e-10)
