@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reweight.llm.common import release
+
 # Rows that the model is fitted on at most: labelled documents in the order of a hash of their id.
 TRAIN_ROWS = 20_000
 BITS = 18
@@ -192,7 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     y = np.array(got.column("label").to_pylist(), float)
     # The order in which tasks end must not change the model.
     order = sorted(range(len(data)), key=lambda i: (zlib.crc32(data[i].tobytes()), y[i]))
-    return fit([data[i] for i in order], y[order])
+    model = fit([data[i] for i in order], y[order])
+    # The sample is not needed any more; what the driver freed of it would stay with the process.
+    del data, got
+    release()
+    return model
 
 
 def scores(texts: list[str], model: dict, place: dict, cache: dict) -> np.ndarray:

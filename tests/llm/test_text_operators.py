@@ -311,6 +311,15 @@ def test_toxicity_scores_are_those_of_a_factorization_machine():
         assert got == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_toxicity_gives_the_memory_of_its_sample_back(spark, documents, monkeypatch):
+    docs = documents([(i, f"some words {i}", "s") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    times = []
+    monkeypatch.setattr(toxicity, "release", lambda: times.append(1))
+    toxicity.train(docs, labels)
+    assert times == [1]
+
+
 def test_toxicity_learns_from_one_text_of_an_id(spark, documents, monkeypatch):
     """Rows that repeat an id are reduced before they are collected; a column named like an own one does no harm."""
     sizes = []
