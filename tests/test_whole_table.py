@@ -33,3 +33,8 @@ def test_methods_are_compared_on_a_fifth_of_the_table(spark, folder):
     rows = {r["method"]: r["rows"] for r in both(spark, folder, "compare_methods")}
     assert rows["whole"] == rows["test_split"] == rows["train_split"] == 30
     assert 20 < rows["train_bags"] == rows["train_bags_test_split"] <= 30
+
+
+def test_the_sweep_is_over_a_fifth_of_the_table(spark, folder):
+    """With 30 train rows in one split five bags cover them; with two rows it would be four."""
+    assert {r["s"] for r in both(spark, folder, "sweep")} == {3, 5}
