@@ -508,3 +508,57 @@ def test_moments_are_cut_by_rows(points, monkeypatch):
     got = {r["row_id"]: r["ksum"] for r in K.pair_sums(tr, te, pairs, 0.7, 2, n_pairs=1).collect()}
     assert seen == [4]
     assert np.allclose([got[i] for i in range(2000)], dense.kernel_dot(x, z, None, 0.7), rtol=1e-10)
+
+
+def mixed_rows(rng, n, wide=True):
+    """Packed sparse rows of features that most rows have and, if `wide`, of many that few have."""
+    rows = [{int(j): float(v) for j, v in zip(range(20), rng.normal(size=20)) if rng.random() < 0.6} for _ in range(n)]
+    for r in rows[1:] if wide else []:
+        r.update({int(j): float(rng.normal()) for j in rng.choice(np.arange(20, 3000), 5, replace=False)})
+    names = [sorted(r, reverse=True) for r in rows]
+    return np.concatenate([[n], [len(r) for r in rows], [j for k in names for j in k], [r[j] for r, k in zip(rows, names) for j in k]]).astype(float)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_features_that_many_rows_have_are_one_product(wide):
+    """Filled and listed features together are the products of filled rows, whole and in slices, and nothing is worked out twice."""
+    rng = np.random.default_rng(3)
+    a, b = dense.Sparse(mixed_rows(rng, 30, wide)), dense.Sparse(mixed_rows(rng, 41))
+    names = np.arange(3000.0)
+    want = a.filled(names) @ b.filled(names).T
+    assert np.allclose(a.products(b), want, rtol=0, atol=1e-12) and np.allclose(b.products(a), want.T, rtol=0, atol=1e-12)
+    assert len(a.grouped()[5]) >= 15 and a.grouped() is a.grouped() and a.slices(7) is a.slices(7)
+    assert np.allclose(np.concatenate([s.products(b) for s in a.slices(7)]), want, rtol=0, atol=1e-12)
+    rest = [dense.Sparse(mixed_rows(rng, 10, wide)) for _ in range(2)]
+    assert dense.Stripe.fits([a, *rest]) == (not wide)
+    gamma = rng.uniform(0.01, 0.1, 50)
+    got = dense.Stripe([a, *rest], gamma).sums(b)
+    full = np.concatenate([s.filled(names) for s in (a, *rest)])
+    want = np.exp(-gamma[:, None] * ((full[:, None] - b.filled(names)[None]) ** 2).sum(2)).sum(1)
+    assert np.allclose(got, want, rtol=1e-10)
+
+
+def test_rows_of_a_stripe_have_their_own_rates():
+    rng = np.random.default_rng(8)
+    blocks, z = [rng.normal(size=(n, 3)) for n in (4, 1, 9)], rng.normal(size=(25, 3))
+    gamma = np.repeat([0.5, 0.0, 2.0], [4, 1, 9])
+    want = np.concatenate([dense.kernel_dot(b, z, None, g) for b, g in zip(blocks, (0.5, 0.0, 2.0))])
+    assert np.allclose(dense.Stripe(blocks, gamma).sums(z), want, rtol=1e-13)
+
+
+def test_sparse_width_begins_around_the_middle(spark, monkeypatch):
+    """With enough rows the first pass bins few distances; where the middle is elsewhere all bounds are taken."""
+    rng = np.random.default_rng(2)
+    rows = [{int(j): float(v) for j, v in zip(rng.choice(9, 4, replace=False), rng.normal(size=4))} for _ in range(120)]
+    df, filled = tables(spark, rows)
+    want = dense.median_distance(np.array([r.features for r in filled.collect()]))
+    found = []
+    for wrong in (False, True):
+        if wrong:
+            monkeypatch.setattr(K, "sparse_probe", lambda *a: (0.0, 1e-3))
+        seen, plain = [], K.PairDistances.bins
+        monkeypatch.setattr(K.PairDistances, "bins", lambda self, *b, plain=plain: seen.append(b) or plain(self, *b))
+        found.append(K.kernel_width(df, bag_rows=0))
+        assert (seen[0][0] > 0) == (not wrong)
+        monkeypatch.setattr(K.PairDistances, "bins", plain)
+    assert found == pytest.approx([want, want], rel=1e-10)
