@@ -562,3 +562,40 @@ def test_sparse_width_begins_around_the_middle(spark, monkeypatch):
         assert (seen[0][0] > 0) == (not wrong)
         monkeypatch.setattr(K.PairDistances, "bins", plain)
     assert found == pytest.approx([want, want], rel=1e-10)
+
+
+def test_problems_of_a_bag_share_its_factor(monkeypatch):
+    """One factor and one product with the matrix for all test bags; each problem is at its own optimum."""
+    made, times = [], []
+    monkeypatch.setattr(M.interior, "cholesky", lambda *a, run=M.interior.cholesky: made.append(a) or run(*a))
+    monkeypatch.setattr(M, "kernel_times", lambda *a, run=M.kernel_times: times.append(a) or run(*a))
+    kappas = np.stack([-(700 / 100) * dense.kernel_dot(MANY, OTHERS[i : i + 100], None, 0.2) for i in (0, 100, 200)])
+    beta, residual, _ = M.solve_shared(MANY, 0.2, kappas)
+    assert len(made) == len(times) == 1 and residual.max() <= 1e-6
+    k = dense.gram_stack(MANY[None], np.array([0.2]))
+    for b, kappa in zip(beta, kappas):
+        want = qp.solve_stack(k, kappa[None])[0][0]
+        assert 0.5 * b @ k[0] @ b + kappa @ b == pytest.approx(0.5 * want @ k[0] @ want + kappa @ want, rel=1e-10)
+
+
+def test_the_matrix_times_columns_by_moments_is_that_by_pairs():
+    x, w = np.random.default_rng(1).uniform(size=(2500, 2)), np.random.default_rng(2).uniform(size=(2500, 3))
+    assert np.allclose(M.kernel_times(x, 1.5, w), dense.kernel_dot(x, x, w, 1.5), rtol=1e-11)
+
+
+def test_bags_in_lots_are_at_their_optimum(spark, points, monkeypatch):
+    """Bags of 350 and 150 rows, the second without a factor, against test bags whose moments are the cheaper way."""
+    monkeypatch.setattr(K, "EXPAND_FROM", 1)
+    seen = []
+    monkeypatch.setattr(M, "solve_lots", lambda *a, run=M.solve_lots: seen.append(a[0].count()) or run(*a))
+    x, z = np.random.default_rng(3).uniform(size=(500, 2)), np.random.default_rng(4).uniform(size=(2400, 2)) ** 1.2
+    tr, te = B.partition_bags(points(x), 350, 2, tail="keep"), B.partition_bags(points(z, 5000), 1100, 3, tail="keep")
+    pairs = B.cartesian_pairs(spark, tr.count, te.count)
+    rows = M.bag_weights(tr, te, pairs, 0.4).collect()
+    assert seen and len(rows) == 1500 and max(r.residual for r in rows) <= 1e-6 and {r.pair_id for r in rows} == set(range(6))
+    for a in range(2):
+        for b in range(3):
+            some, others = x[350 * a :][:350], z[1100 * b :][:1100]
+            got = [r.beta for r in sorted((r for r in rows if (r.tr_bag, r.te_bag) == (a, b)), key=lambda r: r.pos)]
+            want = direct(some, others, 0.4)
+            assert objective(some, others, 0.4, dict(enumerate(got))) == pytest.approx(objective(some, others, 0.4, dict(enumerate(want))), rel=1e-8)
