@@ -113,3 +113,41 @@ def test_last_systems_of_a_stack_are_solved_together(monkeypatch):
     alone = [qp.solve_stack(k[i : i + 1], kappa[i : i + 1]) for i in range(0, 2000, 20)]
     assert np.array_equal(beta[::20], np.concatenate([a[0] for a in alone]))
     assert res.max() < 1e-9
+
+
+def shared(rng, n, g, spread=1.0):
+    """Problems of two bags, the second with equal rows, by turns."""
+    k, kappas = [], []
+    own = np.arange(g) % 2
+    for bag in range(2):
+        x = rng.normal(size=(n, 2))
+        if bag:
+            x[3] = x[5] = x[0]
+        k.append(dense.gram_stack(x[None], np.array([1.1]))[0])
+        kappas.append([-(n / 80) * spread * dense.kernel_dot(x, rng.normal(0.3, 1.0, size=(80, 2)), None, 1.1) for _ in range(g)])
+    return np.stack(k), own, np.array([kappas[b][i] for i, b in enumerate(own)])
+
+
+def test_problems_that_share_a_matrix_are_at_their_optimum(monkeypatch):
+    k, own, kappa = shared(np.random.default_rng(4), 30, 60)
+    want, _, _ = qp.solve_stack(k[own], kappa)
+    alone = []
+    monkeypatch.setattr(qp, "solve_stack", lambda a, b, run=qp.solve_stack: alone.append(len(b)) or run(a, b))
+    beta, res, steps = qp.solve_together(k, own, kappa)
+    # The barrier solves the mean problem of each bag and no other.
+    assert alone == [2] and (steps > 0).all() and res.max() <= 1e-10 and beta.min() >= 0
+    cost = lambda b: 0.5 * np.einsum("gi,gij,gj->g", b, k[own], b) + (b * kappa).sum(1)
+    assert (cost(beta) <= cost(want) + 1e-10 * np.abs(cost(want))).all()
+    assert np.allclose(res, qp.residual(k[own], kappa, beta), atol=1e-12)
+    twins = beta[own == 1][:, [0, 3, 5]]
+    assert (np.ptp(twins, 1) == 0).all() and twins.max() > 0
+
+
+def test_shared_problems_beyond_the_bounds_of_the_sum_take_the_barrier():
+    """With a linear term of a hundredth the sum is held at its lower bound; few problems, small and larger bags are stacks as well."""
+    rng = np.random.default_rng(5)
+    for n, g, spread in ((30, 40, 0.01), (30, 6, 1.0), (6, 40, 1.0), (70, 20, 1.0)):
+        k, own, kappa = shared(rng, n, g, spread)
+        beta, res, _ = qp.solve_together(k, own, kappa)
+        want, other, _ = qp.solve_stack(k[own], kappa)
+        assert np.array_equal(beta, want) and np.array_equal(res, other)

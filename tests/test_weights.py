@@ -599,3 +599,22 @@ def test_bags_in_lots_are_at_their_optimum(spark, points, monkeypatch):
             got = [r.beta for r in sorted((r for r in rows if (r.tr_bag, r.te_bag) == (a, b)), key=lambda r: r.pos)]
             want = direct(some, others, 0.4)
             assert objective(some, others, 0.4, dict(enumerate(got))) == pytest.approx(objective(some, others, 0.4, dict(enumerate(want))), rel=1e-8)
+
+
+def test_many_pairs_are_dealt_to_a_grid_and_numbered(spark, points, monkeypatch):
+    """The same weights whether pairs of broadcast blocks are tasks or cells of a grid are, with the ids of the pairs by arithmetic."""
+    tr, te = B.partition_bags(points(X), 10, 4), B.random_disjoint(points(Z, 1000), 9, 3)
+    pairs = B.cartesian_pairs(spark, tr.count, te.count)
+    key = lambda rows: {(r.pair_id, r.tr_bag, r.te_bag, r.pos): r.beta for r in rows.collect()}
+    want = key(M.bag_weights(tr, te, pairs, n_pairs=40))
+    monkeypatch.setattr(K, "SENT_BYTES", 0)
+    monkeypatch.setattr(K, "small_enough", lambda size: size != 16 * 40)
+    asked = []
+    monkeypatch.setattr(K, "numbered", lambda *a, run=K.numbered: asked.append(run(*a)) or asked[-1])
+    got = key(M.bag_weights(tr, te, pairs, n_pairs=40))
+    assert asked == [True] and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+    # Pairs with other numbers keep them.
+    other = pairs.withColumn("pair_id", F.col("pair_id") + 7)
+    assert not K.numbered(pairs.where("pair_id > 0"), 4, 10, 40)
+    got = key(M.bag_weights(tr, te, other, n_pairs=40))
+    assert asked == [True, False, False] and {i[0] - 7 for i in got} == set(range(40))
